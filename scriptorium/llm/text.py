@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 IS_SPACE = np.zeros(256, bool)
@@ -202,7 +203,11 @@ def map_chunks(df: DataFrame, fn: Callable[[Chunk], dict], schema: pa.Schema, bu
 
 
 def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id bigint, text string) of a table; a null text is empty. All other columns are left behind."""
+    """(doc_id bigint, text string) of a table; a null text is empty. All other columns are left behind.
+
+    Arrow batches of the session are held to BATCH_BYTES, for memory.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
