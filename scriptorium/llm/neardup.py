@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets form a class first, so copies never meet
 each other again. Bands of universal-hash minima put classes into buckets.
-Within a bucket the members are compared with one leader, then only members
-that are still in different components with each other; so a group of n near
-copies costs about n comparisons, and no pair of a bucket that could join two
-components goes unseen. Pairs pass an estimate from their signatures and are
-then confirmed on their whole shingle sets.
+Within a bucket the members are compared with one leader. Members that this
+leaves in different components meet only if they share a difference from the
+leader that any link between them would have to share; so a group of n near
+copies costs about n comparisons, and no link between members of a bucket is
+lost. Pairs with the leader pass an estimate from their signatures; all links
+are confirmed on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm import text as tx
@@ -111,6 +112,25 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(same))
 
 
+def _differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How a member's set differs from its leader's: lost and gained shingles, apart by a bit, and how many of them stand for it."""
+    for batch in batches:
+        rows = {"u": batch.column("u"), "v": batch.column("v"), "component": batch.column("component"), "linked": [], "stands": [], "element": []}
+        for a, b in zip(batch.column("words"), batch.column("others"), strict=True):
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            gained, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
+            both = len(a) - len(gained)
+            rows["linked"].append(100 * both >= PERCENT * (len(a) + len(lost)))
+            # at least floor(least) + 1 differences are common with any link of a member that the leader isn't linked with
+            least = (7 * (len(gained) + len(lost)) + len(lost) - len(gained)) // 14
+            rows["stands"].append(len(gained) + len(lost) - least)
+            rows["element"].append(np.concatenate([gained | 1, lost & ~np.int64(1)]))
+        yield pa.RecordBatch.from_pydict(rows, schema=_DIFFERENCES)
+
+
+_DIFFERENCES = EDGES.append(pa.field("component", pa.int64())).append(pa.field("linked", pa.bool_())).append(pa.field("stands", pa.int64())).append(pa.field("element", pa.list_(pa.int64())))
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (u, v) of class representatives that are linked. Sets are made from the texts of candidates only."""
     sizes = lambda side: classes.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("signature").alias(f"sig_{side}"))
@@ -122,19 +142,39 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         .mapInArrow(_agreeing, tx.ddl(EDGES))
     )
     texts = docs.select(F.col("doc_id").alias("u"), "text")
-    left = tx.map_chunks(texts.join(likely, "u").select("u", "text", "v"), _sets, _SETS)
+    left = tx.map_chunks(texts.join(likely.hint("merge"), "u").select("u", "text", "v"), _sets, _SETS)
     heads = likely.select(F.col("v").alias("u")).distinct()
-    right = tx.map_chunks(texts.join(heads, "u").select("u", "text", F.col("u").alias("v")), _sets, _SETS)
+    right = tx.map_chunks(texts.join(heads.hint("merge"), "u").select("u", "text", F.col("u").alias("v")), _sets, _SETS)
     return left.join(right.select("v", F.col("words").alias("others")), "v").select("u", "v", "words", "others").mapInArrow(_alike, tx.ddl(EDGES))
 
 
-def _split_buckets(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, u, component, lead) of the buckets whose members lie in several components; lead is the leader's."""
+def _rest(tested: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links between members of a bucket that its leader doesn't connect.
+
+    Let v lead, x not be linked with v, and y be another member. With the
+    differences of a set from the leader's, x and y can only be linked if they
+    have in common more than |diff(y)| / 2 + (lost(y) - gained(y)) / 14 of
+    them. So among any |diff(y)| less that number of y's differences there is
+    one that x has too, and it is enough to look up y's rarest. Edits are mostly
+    a copy's own, so nearly nothing is found in vain, however large the group.
+    """
     found = components(edges)
-    name = lambda side, to: found.select(F.col("node").alias(side), F.col("component").alias(to))
-    at = members.join(name("u", "of_u"), "u", "left").join(name("v", "of_v"), "v", "left")
-    at = stored(at.select("key", "u", F.coalesce("of_u", "u").alias("component"), F.coalesce("of_v", "v").alias("lead")))
-    return at.join(at.filter("component <> lead").select("key").distinct(), "key", "left_semi")
+    at = stored(tested.join(found.withColumnRenamed("node", "u"), "u", "left").select("u", "v", F.coalesce("component", "u").alias("component")))
+    split = at.groupBy("v").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("v")
+    members = stored(at.join(split, "v"))
+    active = members.select("u").union(members.select("v")).distinct()
+    texts = docs.select(F.col("doc_id").alias("u"), "text")
+    sets = stored(tx.map_chunks(texts.join(active.hint("merge"), "u").select("u", "text", F.col("u").alias("v")), _sets, _SETS).select("u", "words"))
+    others = sets.select(F.col("u").alias("v"), F.col("words").alias("others"))
+
+    compared = members.join(sets, "u").join(others, "v").select("u", "v", "component", "words", "others").mapInArrow(_differences, tx.ddl(_DIFFERENCES))
+    rows = stored(compared.select("v", "u", "component", "linked", "stands", F.explode("element").alias("element")))
+    common = rows.groupBy("v", "element").agg(F.count("*").alias("n")).filter("n > 1")
+    rare = rows.join(common, ["v", "element"], "left").withColumn("place", F.row_number().over(Window.partitionBy("v", "u").orderBy(F.coalesce("n", F.lit(1)), "element")))
+    standing = rare.filter("place <= stands and n > 1").select("v", "element", F.col("u").alias("w"), F.col("component").alias("other"))
+    met = rows.filter("not linked").join(standing, ["v", "element"]).filter("component <> other")
+    pairs = met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
+    return pairs.join(sets, "u").join(others, "v").select("u", "v", "words", "others").mapInArrow(_alike, tx.ddl(EDGES))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -158,26 +198,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {2 * ROWS} + 1, {2 * ROWS}))))")
     filed = classes.select(band.alias("key"), F.col("rep").alias("u"))
-    shared = filed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("last")).filter("v < last").select("key", "v")
-    members = stored(filed.join(shared, "key"))
-
-    tested = stored(members.filter("u <> v").select("u", "v").distinct())
+    shared = stored(filed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("last")).filter("v < last").select("key", "v"))
+    tested = stored(filed.join(shared, "key").filter("u <> v").select("u", "v").distinct())
     edges = stored(confirmed(tested, classes, docs))
-    split = _split_buckets(members, edges)
-    if not split.isEmpty():
-        # a second leader: the least member outside the component of the first
-        leaders = split.filter("component <> lead").groupBy("key").agg(F.min("u").alias("v"))
-        pairs = stored(split.filter("component <> lead").join(leaders, "key").filter("u <> v").select("u", "v").distinct())
-        tested = tested.union(pairs)
-        edges = stored(edges.union(confirmed(pairs, classes, docs)))
-        split = _split_buckets(members, edges)
-    if not split.isEmpty():
-        sized = split.join(classes.select(F.col("rep").alias("u"), "n_shingles"), "u").select("key", "u", "component", "n_shingles")
-        other = sized.select("key", F.col("u").alias("v"), F.col("component").alias("other"), F.col("n_shingles").alias("m"))
-        apart = sized.join(other, "key").filter(f"component < other and 100 * least(n_shingles, m) >= {PERCENT} * greatest(n_shingles, m)")
-        pairs = apart.select("u", "v").distinct()
-        pairs = pairs.join(tested, ["u", "v"], "left_anti").join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-        edges = stored(edges.union(confirmed(pairs, classes, docs)))
+    edges = edges.union(_rest(tested, edges, docs))
 
     found = components(edges)
     named = classes.join(found, classes["rep"] == found["node"], "left").select(*by_set, F.coalesce("component", "rep").alias("component_id"))
