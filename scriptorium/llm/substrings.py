@@ -234,16 +234,17 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     docs = tx.documents_of(docs)
     filed = stored(tx.map_chunks(docs.filter("doc_id is not null"), _stretches, STRETCHES))
-    shared = filed.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol")
+    # written, so that the join reads both sides from exchanges whose large partitions can be split
+    shared = stored(filed.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("symbol"))
     met = stored(filed.join(shared, "symbol"))
     forget(filed)
-    first = met.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("first"))
+    first = stored(met.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("first")))
     several = met.groupBy("symbol").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).filter("a < b").select("symbol")
     removed = met.join(first, ["symbol", "stretch"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("stretch").alias("stretches"))
 
     unsettled = first.join(several, "symbol").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("stretch").alias("unsettled"))
     windows = stored(tx.map_chunks(docs.join(unsettled, "doc_id").select("doc_id", "text", "unsettled"), _windows, WINDOWS))
-    earliest = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first")
+    earliest = stored(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first"))
     later = windows.join(earliest, "window").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
 
     found = stored(removed.join(later, "doc_id", "full"))
