@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 _U = np.uint64
@@ -116,7 +116,7 @@ class Words:
     """The words of a chunk: byte spans, hashes, and the words of each document as first[d]:first[d + 1]."""
 
     def __init__(self, chunk: Chunk):
-        self.chunk = chunk
+        self.buf = chunk.buf
         inside = ~IS_SPACE[chunk.buf]
         n = len(inside)
         before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -139,7 +139,7 @@ class Words:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        return hash_spans(self.chunk.buf, self.starts, self.ends)
+        return hash_spans(self.buf, self.starts, self.ends)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, first words) of the runs of n words that lie in one document."""
