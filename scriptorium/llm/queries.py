@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import decontam, linededup, lm, neardup, packing, quality, substrings, toxicity
+from scriptorium.llm import decontam, linededup, lm, neardup, packing, quality, substrings, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
+    "op5_url_filters": op5_url_filters,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op9_recompression": op9_recompression,
