@@ -142,18 +142,8 @@ def _kept(chunk: tx.Chunk, with_text: bool) -> dict:
     } | ({"text": [t.decode("utf-8", "replace") for t in texts]} if with_text else {})
 
 
-def without_shared_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Delete from each document the blocks of lines that it has in common with an earlier one.
-
-    One row for each row: doc_id, n_lines (parts between newlines), n_removed,
-    kept_sha256 of the lines left, joined by newlines, and with `with_text`
-    these as text. Earlier means a smaller doc_id; each document is compared as
-    it came, and with the first document of each of its lines. Rows that share
-    a doc_id don't change each other; rows with a null doc_id take no part. A
-    null text is one empty line. Columns other than doc_id and text are
-    ignored; an empty table gives no rows.
-    """
-    docs = tx.documents_of(docs).withColumn("row", F.xxhash64("text"))
+def deletions(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, gone) of the documents that lose lines; docs has doc_id, text and row, a hash of the text."""
     lines = stored(tx.map_chunks(docs.filter("doc_id is not null"), _lines, LINES).dropDuplicates(["doc_id", "row"]))
     each = lines.select("doc_id", "row", F.expr("inline(arrays_zip(hashes, words, once))")).filter(f"once and words >= {LINK_WORDS}")
     each = each.select(F.col("hashes").alias("hash"), F.struct("doc_id", "row").alias("here"), "words")
@@ -165,6 +155,55 @@ def without_shared_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
     firsts = lines.select(F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"), F.col("hashes").alias("first"))
     compared = pairs.join(lines.select("doc_id", "row", "hashes", "words"), ["doc_id", "row"]).join(firsts, ["first_id", "first_row"])
     gone = compared.select("doc_id", "row", "first", "hashes", "words").mapInArrow(_deleted, tx.ddl(GONE))
-    gone = stored(gone.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    return stored(gone.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+
+
+def named_rows(docs: DataFrame) -> DataFrame:
+    return tx.documents_of(docs).withColumn("row", F.xxhash64("text"))
+
+
+def without_shared_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """Delete from each document the blocks of lines that it has in common with an earlier one.
+
+    One row for each row: doc_id, n_lines (parts between newlines), n_removed,
+    kept_sha256 of the lines left, joined by newlines, and with `with_text`
+    these as text. Earlier means a smaller doc_id; each document is compared as
+    it came, and with the first document of each of its lines. Rows that share
+    a doc_id don't change each other; rows with a null doc_id take no part. A
+    null text is one empty line. Columns other than doc_id and text are
+    ignored; an empty table gives no rows.
+    """
+    docs = named_rows(docs)
+    gone = deletions(docs)
     schema = RESULT_TEXT if with_text else RESULT
     return tx.map_chunks(docs.join(gone.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "gone"), lambda chunk: _kept(chunk, with_text), schema)
+
+
+def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for t, places in zip(text.to_pylist(), gone.to_pylist(), strict=True):
+        if t is not None:
+            drop = set(places or ())
+            t = "\n".join(line for k, line in enumerate(t.split("\n")) if k not in drop)
+        out.append(t)
+    return pa.array(out, pa.string())
+
+
+def with_lines_removed(docs: DataFrame) -> DataFrame:
+    """The rows of docs with all columns they came with, less the deleted lines.
+
+    A column n_chars follows the text. Rows that had words and are left without
+    any go; all others stay, changed or not. For nulls and repeated rows see
+    without_shared_lines.
+    """
+    gone = deletions(named_rows(docs)).select(F.struct("doc_id", "row").alias("cut_key"), F.col("gone").alias("cut_lines")).hint("merge")
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    at = docs.withColumn("cut_here", key).join(gone, F.col("cut_here") == F.col("cut_key"), "left")
+    # unchanged texts stay out of Python
+    at = at.withColumn("cut_text", F.arrow_udf(_cut, "string")(F.when(F.col("cut_lines").isNotNull(), F.col("text").cast("string")), "cut_lines"))
+    at = at.filter(F.col("cut_text").isNull() | F.col("cut_text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = F.col("cut_text").isNotNull()
+    new = {"text": F.coalesce("cut_text", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return at.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])

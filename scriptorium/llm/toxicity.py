@@ -12,9 +12,11 @@ highest window, in training as in use.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import text as tx
@@ -167,7 +169,17 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tx.Chunk], np.ndarr
     return chunks, rows["toxic"].to_numpy().astype(np.int64)
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+def scorer(docs: DataFrame, labels: DataFrame) -> Callable[[Column], Column]:
+    """A column function that scores texts, learnt from the labelled rows of docs."""
+    odds, bias = train(*sample(tx.documents_of(docs), labels))
+    shared = docs.sparkSession.sparkContext.broadcast((odds, bias))
+
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(score(chunk, *shared.value) for chunk in tx.slices([batch]))]))
+
+    return scored
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,13 +192,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     classes all texts get one score. Extra columns are ignored; an empty table
     gives no rows.
     """
-    docs = tx.documents_of(docs)
-    odds, bias = train(*sample(docs, labels))
-    shared = docs.sparkSession.sparkContext.broadcast((odds, bias))
-
-    def run(chunk: tx.Chunk) -> dict:
-        p = score(chunk, *shared.value)
-        return {"doc_id": chunk.batch.column(0), "held_out": chunk.batch.column(2), "score": p, "predicted": (p >= 0.5).astype(np.int32)}
-
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return tx.map_chunks(docs.select("doc_id", "text", held_out.alias("held_out")), run, SCHEMA)
+    scored = tx.documents_of(docs).select("doc_id", held_out.alias("held_out"), scorer(docs, labels)("text").alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
