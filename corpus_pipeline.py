@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm import decontam, linededup, neardup, packing, toxicity
 from scriptorium.llm.store import shared_folder
 
-#: A document is rejected as toxic from this score on: surer than an even guess, for clean documents stay.
-TOXIC = 0.8
+#: A document is rejected as toxic from this score on.
+TOXIC = 0.5
 
 
 def _dropped(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -26,8 +26,9 @@ TOXIC_ROWS, CLEAN_ROWS, SAMPLE_BYTES = 1200, 2400, 1 << 15
 BUCKETS, DIM, GRAMS = 1 << 17, 6, (3, 4, 5, 6)
 #: n-grams of fewer training texts are not learnt.
 MIN_TEXTS = 4
-SPAN = 32
-ROUNDS, RATE, DECAY = 32, 0.08, 3e-5
+SPAN = 8
+#: EASE damps the steps of n-grams of few texts, whose gradients are small: they would learn single labels by heart.
+ROUNDS, RATE, DECAY, EASE = 26, 0.5, 1e-4, 1e-4
 SAMPLE_CHUNK = 1 << 19
 
 _U = np.uint64
@@ -101,10 +102,10 @@ def train(chunks: list[tx.Chunk], labels: np.ndarray) -> tuple[np.ndarray, float
         bags.append((bag, buckets, counts, labels[at : at + len(chunk)]))
         at += len(chunk)
     rng = np.random.default_rng(7)
-    vectors, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     if share.min() == 0:
         return np.zeros(BUCKETS), float(np.log((share[1] + 1e-3) / (share[0] + 1e-3)))
+    vectors, soft, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.5, (DIM, 2)), np.log(share)
     texts = np.zeros(BUCKETS, np.int64)
     for bag, buckets, counts, y in bags:
         texts += _texts_with(bag, buckets, counts, len(y))
@@ -124,7 +125,7 @@ def train(chunks: list[tx.Chunk], labels: np.ndarray) -> tuple[np.ndarray, float
             top = order[np.append(True, bag.doc[order][1:] != bag.doc[order][:-1])]
             delta = _softmax(z[top])
             delta[np.arange(len(top)), y] -= 1
-            delta *= (0.5 / share[y] / len(labels))[:, None]
+            delta /= len(labels)
             grads[1] += window[top].T @ delta
             grads[2] += delta.sum(0)
             back = delta @ soft.T / np.maximum(bag.high - bag.low, 1)[top][:, None]
@@ -140,7 +141,7 @@ def train(chunks: list[tx.Chunk], labels: np.ndarray) -> tuple[np.ndarray, float
         for x, g, (m1, m2) in zip((vectors, soft, bias), grads, moments, strict=True):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
-            x -= RATE * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
+            x -= RATE * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + EASE)
     return vectors @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
 
 
