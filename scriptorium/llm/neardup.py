@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets form a class first, so copies never meet
 each other again. Bands of universal-hash minima put classes into buckets.
-Within a bucket the members are compared with one leader. Members that this
+Within a bucket the members are compared with one leader, the most central one. Members that this
 leaves in different components meet only if they share a difference from the
 leader that any link between them would have to share; so a group of n near
 copies costs about n comparisons, and no link between members of a bucket is
@@ -177,6 +177,20 @@ def _rest(tested: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(sets, "u").join(others, "v").select("u", "v", "words", "others").mapInArrow(_alike, tx.ddl(EDGES))
 
 
+def members_and_leaders(filed: DataFrame) -> DataFrame:
+    """The distinct (u, v) of filed(key, u) where v leads a bucket that has u too.
+
+    The leader of a bucket is the member with the most company in all its
+    buckets, the smallest of equals. Of the copies of a text, each edited
+    elsewhere, this is the text itself, with which all of them are linked.
+    """
+    shared = stored(filed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    met = stored(filed.join(shared, "key"))
+    company = met.groupBy("u").agg(F.sum("n").alias("company"))
+    leaders = stored(met.join(company, "u").groupBy("key").agg(F.max(F.struct("company", (-F.col("u")).alias("v"))).alias("top")).select("key", (-F.col("top.v")).alias("v")))
+    return stored(met.join(leaders, "key").filter("u <> v").select("u", "v").distinct())
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the group of each document, named by its smallest doc_id, which is kept.
 
@@ -197,9 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     forget(sketched)
 
     band = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {2 * ROWS} + 1, {2 * ROWS}))))")
-    filed = classes.select(band.alias("key"), F.col("rep").alias("u"))
-    shared = stored(filed.groupBy("key").agg(F.min("u").alias("v"), F.max("u").alias("last")).filter("v < last").select("key", "v"))
-    tested = stored(filed.join(shared, "key").filter("u <> v").select("u", "v").distinct())
+    tested = members_and_leaders(classes.select(band.alias("key"), F.col("rep").alias("u")))
     edges = stored(confirmed(tested, classes, docs))
     edges = edges.union(_rest(tested, edges, docs))
 
