@@ -1,6 +1,491 @@
-"""Queries over the test tables, with the same query as SQL where SQL can say it."""
+"""The queries of the audit engine over the test tables, and the same as SQL for DuckDB."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.operators import citations, evidence, findings, history, language, lines, numbers, paper, parameters, registry, time_units
+from scriptorium.operators import statistics as stats
+from scriptorium.sources import rendered as r
+
+#: A lexicon of the reader's own, for texts as they come.
+OWN_WORDS = (("insult", "warning", r"\b(?:stupid|worthless)\b"), ("version", "info", r"\bversion\s+\d"))
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    """Register a query with its SQL, which may use the views of VIEWS."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = f"WITH {VIEWS} {sql}"
+        return fn
+
+    return add
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines_of(r.documents(spark, sf_dir))
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbers.prose_numbers(lines.with_section(_lines(spark, sf_dir)))
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t == "int" else F.col(c) for c, t in df.select(*(names or df.columns)).dtypes])
+
+
+# --- the DuckDB side: views that all SQL texts may use ---
+
+_DUCK_CUT = r"""CASE WHEN ext = '.tex' THEN replace(regexp_replace(replace(line, '\%', chr(1)), '%.*$', ''), chr(1), '\%')
+    WHEN strpos(line, '<!--') > 0 THEN substr(line, 1, strpos(line, '<!--') + 3) || CASE WHEN strpos(line, '-->') > 0 THEN substr(line, strpos(line, '-->')) ELSE '' END ELSE line END"""
+#: RE2 has no lookaround: the context is matched too, and the bare word kept.
+_RE2 = {
+    "validated": (r"(?:not\s|qualitatively\s)?\bvalidated\b", "validated"),
+    "always": (r"\balways\b(?:\s+(?:positive|negative|true|false|zero|one))?", "always"),
+    "never": (r"\bnever\b(?:\s+(?:negative|positive|zero|exceed))?", "never"),
+    "significant_ambiguous": (r"\bsignificant\b(?:\s*(?:at|p\s*[<=]))?", "significant"),
+}
+
+
+def _duck_matches(source: str, lexicon) -> str:
+    parts = []
+    for name, severity, pattern in lexicon:
+        pattern, bare = _RE2.get(name, (pattern, None))
+        keep = f" WHERE lower(matched_text) = '{bare}'" if bare else ""
+        parts.append(f"SELECT * FROM (SELECT doc_id, line_no, '{name}' AS pattern_name, '{severity}' AS severity, unnest(regexp_extract_all(cut, '(?i){pattern}')) AS matched_text, trim(line) AS context FROM {source}){keep}")
+    return " UNION ALL ".join(parts)
+
+
+_DUCK_SECTION = r"""coalesce(last_value(CASE WHEN ext = '.tex' THEN CASE WHEN contains(line, '\begin{abstract}') THEN 'abstract' WHEN contains(line, '\end{abstract}') THEN 'body' WHEN contains(line, '\begin{table') THEN 'table'
+    WHEN contains(line, '\end{table') THEN 'body' WHEN contains(line, '\caption') OR contains(line, '\begin{figure') THEN 'caption' WHEN contains(line, '\end{figure') THEN 'body'
+    WHEN regexp_matches(line, '\\(section|subsection|subsubsection|chapter)\b') THEN 'body' WHEN contains(line, '\title') THEN 'title' END
+    WHEN starts_with(lower(trim(line)), '# ') OR starts_with(lower(trim(line)), '## ') THEN CASE WHEN contains(lower(line), 'abstract') THEN 'abstract' ELSE 'body' END END IGNORE NULLS) OVER w, 'body')"""
+_HEAD = r"'\\(?:section|subsection)\*?\{([^}]+)\}'"
+_DUCK_HEADING = f"""CASE WHEN ext = '.tex' THEN last_value(CASE WHEN regexp_matches(line, {_HEAD}) THEN lower(regexp_extract(line, {_HEAD}, 1)) END IGNORE NULLS) OVER w
+    WHEN NOT starts_with(line, '#') THEN coalesce(last_value(CASE WHEN starts_with(line, '#') THEN lower(trim(ltrim(line, '#'))) END IGNORE NULLS) OVER w, 'body') END"""
+_W = "WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
+_P1, _P2 = r"(?:p|P)[\s-]*(?:value)?\s*([<=>≤≥])\s*(\d*\.?\d+(?:e[+-]?\d+)?)", r"(?:p|P)[\s-]*(?:value)?\s*([<=>≤≥])\s*(\.?\d+(?:e[+-]?\d+)?)"
+_NUMBERS = [(k, p) for k, p in numbers.PROSE_NUMBERS if k not in ("decimal", "fold_change")]
+
+
+def _duck_numbers() -> str:
+    row = "SELECT doc_id, line_no, section, '{k}' AS kind, trim(unnest(regexp_extract_all(line, {p}, 0))) AS value, unnest(regexp_extract_all(line, {p}, 1)) AS digits, trim(line) AS context FROM sections"
+    parts = [row.format(k=k, p=f"'(?i){p}'") for k, p in _NUMBERS]
+    parts.append("SELECT doc_id, line_no, section, 'fold_change' AS kind, trim(unnest(regexp_extract_all(line, '(?i)(\\d+\\.?\\d*)\\s*[-–]?\\s*fold', 0))) AS value, unnest(regexp_extract_all(line, '(?i)(\\d+\\.?\\d*)\\s*[-–]?\\s*fold', 1)) AS digits, trim(line) FROM sections")
+    # runs of digits and dots; a decimal is a run with one inner dot
+    parts.append("SELECT * FROM (SELECT doc_id, line_no, section, 'decimal' AS kind, unnest(regexp_extract_all(line, '[\\d.]+', 0)) AS value, value AS digits, trim(line) FROM sections) WHERE regexp_full_match(value, '\\d+\\.\\d+')")
+    return " UNION ALL ".join(parts)
+
+
+VIEWS = f"""lines AS ({r.select(r.MANUSCRIPT_LINES, "orders")}),
+cuts AS (SELECT *, {_DUCK_CUT} AS cut FROM lines),
+sections AS (SELECT *, {_DUCK_SECTION} AS section FROM lines {_W}),
+headings AS (SELECT *, {_DUCK_HEADING} AS heading FROM lines {_W}),
+abstract_lines AS (SELECT * FROM (SELECT *, CASE WHEN ext = '.tex' THEN CASE WHEN contains(line, '\\begin{{abstract}}') THEN 1 WHEN contains(line, '\\end{{abstract}}') THEN 0 END
+    ELSE CASE WHEN starts_with(lower(line), '## abstract') OR starts_with(lower(line), '# abstract') THEN 1 WHEN starts_with(line, '#') THEN 0 END END AS mark, last_value(mark IGNORE NULLS) OVER w AS inside FROM cuts {_W}) WHERE inside = 1 AND mark IS NULL),
+claim_matches AS ({_duck_matches("cuts", language.CLAIM_LANGUAGE)}),
+novel AS ({_duck_matches("abstract_lines", [("novel_in_abstract", "warning", chr(92) + "bnovel" + chr(92) + "b")])}),
+numbers AS (SELECT *, CAST(digits AS DOUBLE) AS normalized FROM ({_duck_numbers()})),
+only_abstract AS (SELECT * FROM numbers a WHERE section = 'abstract' AND NOT EXISTS (SELECT 1 FROM numbers b WHERE b.doc_id = a.doc_id AND b.value = a.value AND b.section IN ('body', 'table'))),
+near AS (SELECT a.doc_id, a.line_no, a.value, b.value AS body_value, b.line_no AS body_line, abs(b.normalized - a.normalized) / abs(a.normalized) AS rel_diff FROM only_abstract a JOIN numbers b ON a.doc_id = b.doc_id AND b.section = 'body' WHERE a.normalized <> 0 AND rel_diff > 0 AND rel_diff <= 0.05),
+near_none AS (SELECT doc_id, value, min(line_no) AS line_no FROM only_abstract a WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.doc_id = a.doc_id AND n.value = a.value) GROUP BY ALL),
+table_caption AS (SELECT t.doc_id, t.value AS table_value, c.value AS caption_value, t.line_no AS table_line, abs(t.normalized - c.normalized) / abs(t.normalized) AS rel_diff FROM numbers t JOIN numbers c ON t.doc_id = c.doc_id
+    WHERE t.section = 'table' AND c.section = 'caption' AND t.normalized <> 0 AND c.normalized <> 0 AND rel_diff > 0 AND rel_diff <= 0.1 AND t.value <> c.value),
+conflicts AS (SELECT doc_id, context_key, count(*) AS n_numbers, count(DISTINCT round_even(normalized, 6)) AS n_values, min(line_no) AS line_no FROM
+    (SELECT *, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(context, '([a-zA-Z]{{3,}})', 1)[1:5], lambda x: lower(x)))), ' ') AS context_key FROM numbers) WHERE context_key <> '' GROUP BY doc_id, context_key HAVING n_numbers >= 2 AND n_values > 1),
+contexts AS (SELECT *, array_to_string(list(line) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING), ' ') AS context FROM lines),
+p_values AS (SELECT doc_id, line_no, line, context, unnest(regexp_extract_all(line, '{_P1}', 1)) AS operator, CAST(unnest(regexp_extract_all(line, '{_P1}', 2)) AS DOUBLE) AS value FROM contexts
+    UNION ALL SELECT doc_id, line_no, line, context, unnest(regexp_extract_all(line, '{_P2}', 1)), CAST(unnest(regexp_extract_all(line, '{_P2}', 2)) AS DOUBLE) FROM contexts),
+p_flags AS (SELECT *, regexp_matches(context, '{stats.SAMPLE_SIZES}') AS has_sample_size, regexp_matches(context, '(?i){stats.TESTS.replace("'", "''")}') AS has_test FROM p_values),
+p_docs AS (SELECT l.doc_id, any_value(coalesce(p.n, 0)) AS n_p_values, any_value(p.first_line) AS first_line, bool_or(regexp_matches(line, '(?i){stats.CORRECTIONS.replace("'", "''")}')) AS has_correction, bool_or(regexp_matches(line, '(?i){stats.POWER.replace("'", "''")}')) AS has_power
+    FROM lines l LEFT JOIN (SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM p_values GROUP BY doc_id) p ON l.doc_id = p.doc_id GROUP BY l.doc_id),
+misuse AS ({" UNION ALL ".join(f"SELECT doc_id, line_no, trim(line) AS context FROM lines WHERE regexp_matches(line, '(?i){p}')" for p in stats.EQUIVALENCE)}),
+claims AS (SELECT doc_id, line_no, heading, trim(line) AS claim, list_transform(regexp_extract_all(line, '{numbers.CLAIM_NUMBER.replace("(?iu)", "(?i)")}'), lambda x: trim(x)) AS numbers FROM headings WHERE regexp_matches(heading, '{numbers.CLAIM_SECTIONS}') AND len(numbers) > 0),
+code AS ({r.select(r.CODE_LINES, "part")}),
+outputs AS ({r.select(r.OUTPUTS, "orders", "o_orderkey % 50 = 0")}),
+findings AS (SELECT 'overclaim' AS check_type, doc_id, line_no, severity, pattern_name AS issue, matched_text, context AS details FROM (SELECT * FROM claim_matches UNION ALL SELECT * FROM novel)
+    UNION ALL SELECT 'consistency', doc_id, line_no, 'warning', 'number_close_mismatch', value, value || ' / ' || body_value FROM near
+    UNION ALL SELECT 'consistency', doc_id, line_no, 'info', 'abstract_number_not_in_body', value, '' FROM near_none
+    UNION ALL SELECT 'consistency', doc_id, table_line, 'warning', 'table_caption_mismatch', table_value, table_value || ' / ' || caption_value FROM table_caption
+    UNION ALL SELECT 'consistency', doc_id, line_no, 'warning', 'context_number_conflict', '', context_key FROM conflicts
+    UNION ALL SELECT 'statistics', doc_id, 0, 'info', 'no_p_values', '', '' FROM p_docs WHERE n_p_values = 0
+    UNION ALL SELECT 'statistics', doc_id, line_no, 'warning', 'no_sample_size', '', trim(line) FROM p_flags WHERE NOT has_sample_size
+    UNION ALL SELECT 'statistics', doc_id, line_no, 'warning', 'no_test_named', '', trim(line) FROM p_flags WHERE NOT has_test
+    UNION ALL SELECT 'statistics', doc_id, line_no, 'info', 'round_p_value', '', trim(line) FROM p_flags WHERE operator = '=' AND value IN (0.05, 0.01, 0.001)
+    UNION ALL SELECT 'statistics', doc_id, line_no, 'critical', 'nonsig_as_equivalence', '', context FROM misuse WHERE doc_id IN (SELECT doc_id FROM p_docs WHERE n_p_values > 0)
+    UNION ALL SELECT 'statistics', doc_id, first_line, 'warning', 'no_multiple_comparison_correction', '', '' FROM p_docs WHERE n_p_values > 3 AND NOT has_correction
+    UNION ALL SELECT 'statistics', doc_id, 0, 'info', 'no_power_analysis', '', '' FROM p_docs WHERE n_p_values > 0 AND NOT has_power),
+counts AS (SELECT doc_id, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM findings GROUP BY doc_id)"""
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim language, consistency and statistics of all rendered manuscripts."""
+    each = _lines(spark, sf_dir)
+    return findings.together([language.overclaims(each), numbers.consistency(numbers.prose_numbers(lines.with_section(each))), stats.statistics(each)])
+
+
+# --- claim language ---
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, pattern_name, severity, matched_text FROM claim_matches")
+def overclaim_matches(spark, sf_dir):
+    return _long(language.matches(_lines(spark, sf_dir), language.CLAIM_LANGUAGE), "doc_id", "line_no", "pattern_name", "severity", "matched_text")
+
+
+@query("SELECT doc_id, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info, count(*) AS n_findings FROM findings WHERE check_type = 'overclaim' GROUP BY doc_id")
+def overclaim_by_doc(spark, sf_dir):
+    return findings.severity_counts(language.overclaims(_lines(spark, sf_dir)), "doc_id")
+
+
+ORACLE_LEXICON = "SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, pattern_name, matched_text FROM (" + _duck_matches("(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, line AS cut FROM documents WHERE lang = 'en')", OWN_WORDS) + ")"
+
+
+@query(ORACLE_LEXICON)
+def lexicon_on_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id", F.lit(".txt").alias("ext"), "text")
+    return _long(language.matches(lines.lines_of(docs), OWN_WORDS), "doc_id", "line_no", "pattern_name", "matched_text")
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, matched_text FROM novel")
+def novel_in_abstract(spark, sf_dir):
+    found = language.matches(lines.in_abstract(_lines(spark, sf_dir)), [("novel_in_abstract", "warning", r"\bnovel\b")])
+    return _long(found, "doc_id", "line_no", "matched_text")
+
+
+# --- sections and numbers ---
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, section FROM sections")
+def section_labels(spark, sf_dir):
+    return _long(lines.with_section(_lines(spark, sf_dir)), "doc_id", "line_no", "section")
+
+
+@query(f"SELECT doc_id, lower(regexp_extract(line, {_HEAD}, 1)) AS heading, CAST(line_no AS BIGINT) AS start_line, CAST(coalesce(lead(line_no) OVER (PARTITION BY doc_id ORDER BY line_no), (SELECT max(line_no) + 1 FROM lines m WHERE m.doc_id = l.doc_id)) AS BIGINT) AS end_line FROM lines l WHERE regexp_matches(line, {_HEAD})")
+def section_ranges(spark, sf_dir):
+    return _long(lines.section_ranges(_lines(spark, sf_dir)))
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, section, kind, value, normalized FROM numbers")
+def prose_numbers(spark, sf_dir):
+    return _long(_numbers(spark, sf_dir), "doc_id", "line_no", "section", "kind", "value", "normalized")
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, value, body_value, CAST(body_line AS BIGINT) AS body_line, round(rel_diff, 6) AS rel_diff FROM near")
+def abstract_vs_body(spark, sf_dir):
+    return _long(numbers.abstract_and_body(_numbers(spark, sf_dir)).withColumn("rel_diff", F.round("rel_diff", 6)), "doc_id", "line_no", "value", "body_value", "body_line", "rel_diff")
+
+
+@query("SELECT doc_id, value, CAST(line_no AS BIGINT) AS line_no FROM near_none")
+def abstract_missing(spark, sf_dir):
+    return _long(numbers.abstract_only(_numbers(spark, sf_dir)))
+
+
+@query("SELECT doc_id, table_value, caption_value, round(rel_diff, 6) AS rel_diff FROM table_caption")
+def table_vs_caption(spark, sf_dir):
+    return numbers.table_and_caption(_numbers(spark, sf_dir)).select("doc_id", "table_value", "caption_value", F.round("rel_diff", 6).alias("rel_diff"))
+
+
+@query("SELECT doc_id, context_key, n_numbers, n_values FROM conflicts")
+def context_conflict(spark, sf_dir):
+    return numbers.context_conflicts(_numbers(spark, sf_dir)).select("doc_id", "context_key", "n_numbers", "n_values")
+
+
+# --- statistics ---
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, operator, value, has_sample_size, has_test FROM p_flags")
+def stat_context(spark, sf_dir):
+    return _long(stats.near_p_values(_lines(spark, sf_dir)), "doc_id", "line_no", "operator", "value", "has_sample_size", "has_test")
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, context FROM misuse")
+def stat_equivalence(spark, sf_dir):
+    return _long(stats.equivalence_misuse(_lines(spark, sf_dir)), "doc_id", "line_no", "context")
+
+
+@query("SELECT doc_id, n_p_values, CAST(first_line AS BIGINT) AS first_line, has_correction, has_power FROM p_docs")
+def stat_by_document(spark, sf_dir):
+    return _long(stats.by_document(_lines(spark, sf_dir)))
+
+
+@query("SELECT issue, severity, doc_id, CAST(line_no AS BIGINT) AS line_no FROM findings WHERE check_type = 'statistics'")
+def statistics(spark, sf_dir):
+    return _long(stats.statistics(_lines(spark, sf_dir)), "issue", "severity", "doc_id", "line_no")
+
+
+# --- claims and code ---
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, heading, claim, array_to_string(numbers, '|') AS numbers FROM claims")
+def claims(spark, sf_dir):
+    return _long(evidence.claims(_lines(spark, sf_dir)).withColumn("numbers", F.array_join("numbers", "|")))
+
+
+@query(r"""SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, claim FROM claims c WHERE doc_id IN (SELECT file FROM code) AND NOT EXISTS (SELECT 1 FROM (SELECT trim(regexp_replace(unnest(c.numbers), '[%\\fold x]', '', 'gi')) AS clean) n JOIN code k ON k.file = c.doc_id AND n.clean <> '' AND contains(k.line, n.clean))""")
+def claim_evidence_gap(spark, sf_dir):
+    code = r.code(spark, sf_dir).withColumnRenamed("file", "repo_id")
+    found = evidence.claims(_lines(spark, sf_dir)).join(code.select(F.col("repo_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return _long(evidence.without_evidence(found, code), "doc_id", "line_no", "claim")
+
+
+_COMMENT = r"regexp_extract_all(line, '(?i)#.*?(\w+)\s*[=:]\s*([+-]?\d+\.?\d*(?:e[+-]?\d+)?)', {g})"
+_SAID = f"said AS (SELECT file, line_no, unnest({_COMMENT.format(g=1)}) AS name, CAST(unnest({_COMMENT.format(g=2)}) AS DOUBLE) AS value FROM (SELECT file, line_no, substr(line, strpos(line, '#')) AS line FROM code WHERE contains(line, '#')))"
+_ASSIGNED = r"assigned AS (SELECT file, line_no, regexp_extract(line, '^(\w+) = ', 1) AS name, CAST(regexp_extract(line, '^\w+ = (\d+\.?\d*)', 1) AS DOUBLE) AS value FROM code WHERE regexp_matches(line, '^\w+ = \d'))"
+
+
+@query()
+def param_comments(spark, sf_dir):
+    return _long(parameters.comment_values(r.code(spark, sf_dir)))
+
+
+@query()
+def param_mismatch(spark, sf_dir):
+    known = parameters.literals(r.sources(spark, sf_dir)).filter("kind = 'assignment'")
+    found = parameters.mismatches(parameters.comment_values(r.code(spark, sf_dir)), known)
+    return _long(found.select("file", "name", "line_no", "code_line", "value", "code_value"))
+
+
+@query()
+def param_duplicates(spark, sf_dir):
+    return _long(parameters.duplicates(parameters.literals(r.sources(spark, sf_dir)).filter("kind = 'assignment'")))
+
+
+@query()
+def parameter_findings(spark, sf_dir):
+    return _long(parameters.parameters(r.code(spark, sf_dir), r.sources(spark, sf_dir)), "doc_id", "line_no", "severity", "issue", "matched_text")
+
+
+for _name, _sql in {
+    "param_mismatch": f"{_SAID}, {_ASSIGNED} SELECT s.file, s.name, CAST(s.line_no AS BIGINT) AS line_no, CAST(a.line_no AS BIGINT) AS code_line, s.value, a.value AS code_value FROM said s JOIN assigned a USING (file, name) WHERE s.value <> 0 AND a.value <> 0 AND abs(s.value - a.value) / greatest(abs(s.value), abs(a.value)) > 0.001",
+    "param_duplicates": f"{_ASSIGNED} SELECT file, name, count(DISTINCT value) AS n_values, CAST(min(line_no) AS BIGINT) AS first_line FROM assigned GROUP BY file, name HAVING n_values > 1",
+}.items():
+    ORACLE_SQL[_name] = f"WITH {VIEWS}, {_sql}"
+
+
+# --- numbers beside numbers ---
+
+
+@query("""SELECT l.event_id, arg_min(e.value, {'d': abs(l.value - e.value) / greatest(abs(l.value), abs(e.value)), 'v': e.value}) AS nearest FROM (SELECT * FROM events WHERE event_type = 'click') l JOIN (SELECT * FROM events WHERE event_type = 'view') e ON l.user_id = e.user_id GROUP BY l.event_id""")
+def nearest_number(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    of = lambda kind, *cols: events.filter(F.col("event_type") == kind).select("user_id", "value", *cols)
+    return numbers.nearest(of("click", "event_id"), of("view"), ["user_id"]).filter("nearest is not null").select("event_id", "nearest")
+
+
+_OUT = r"shown AS (SELECT doc_id, CAST(unnest(regexp_extract_all(stdout, '[-+]?\d+\.?\d*(?:e[+-]?\d+)?')) AS DOUBLE) AS value FROM outputs)"
+_PAPER = r"said_numbers AS (SELECT DISTINCT doc_id, CAST(unnest(regexp_extract_all(line, '[-+]?\d+\.?\d*(?:e[+-]?\d+)?')) AS DOUBLE) AS value FROM lines)"
+_BEST = "best AS (SELECT o.doc_id, o.value, min(struct_pack(d := abs(o.value - p.value) / greatest(abs(o.value), abs(p.value)), v := p.value)) AS m FROM shown o JOIN said_numbers p ON o.doc_id = p.doc_id AND p.value <> 0 AND o.value <> 0 GROUP BY ALL)"
+
+
+@query()
+def number_discrepancy(spark, sf_dir):
+    text = _lines(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(numbers.OUTPUT_NUMBER), F.lit(0))).alias("raw")).select("doc_id", F.expr("try_cast(raw as double)").alias("value"))
+    shown = numbers.output_numbers(r.outputs(spark, sf_dir)).select("doc_id", "value").distinct()
+    return numbers.output_discrepancies(shown, text, 0.001).select("doc_id", "value", "nearest", F.round("rel_diff", 6).alias("rel_diff"), "severity")
+
+
+ORACLE_SQL["number_discrepancy"] = f"WITH {VIEWS}, {_OUT}, {_PAPER}, {_BEST} SELECT doc_id, value, m.v AS nearest, round(m.d, 6) AS rel_diff, CASE WHEN m.d > 0.05 THEN 'critical' ELSE 'warning' END AS severity FROM best WHERE m.d > 0.001 AND m.d <= 0.1"
+
+
+@query()
+def table_code_mismatch(spark, sf_dir):
+    tables = numbers.table_numbers(r.documents(spark, sf_dir))
+    shown = numbers.output_numbers(r.outputs(spark, sf_dir)).select("doc_id", "value")
+    return _long(numbers.table_mismatches(tables, shown, 0.001, 0.03).select("doc_id", "table_index", "raw", "value", "nearest", F.round("rel_diff", 6).alias("rel_diff"), "severity"))
+
+
+_CELLS = r"""cells AS (SELECT doc_id, regexp_extract(line, '& ([\d.]+)', 1) AS raw, CAST(regexp_extract(line, '& ([\d.]+)', 1) AS DOUBLE) AS value FROM lines WHERE contains(line, 'begin{tabular}')
+    UNION ALL SELECT doc_id, '1.5 \times 10^{2}', 150.0 FROM lines WHERE contains(line, 'begin{tabular}'))"""
+ORACLE_SQL["table_code_mismatch"] = (
+    f"WITH {VIEWS}, {_OUT}, {_CELLS}, best AS (SELECT c.doc_id, c.raw, c.value, min(struct_pack(d := abs(o.value - c.value) / greatest(abs(o.value), abs(c.value)), v := o.value)) AS m FROM cells c JOIN shown o USING (doc_id) GROUP BY ALL) SELECT doc_id, CAST(0 AS BIGINT) AS table_index, raw, value, m.v AS nearest, round(m.d, 6) AS rel_diff, CASE WHEN m.d > 0.03 THEN 'critical' WHEN m.d > 0.001 THEN 'warning' END AS severity FROM best WHERE m.d <= 0.5"
+)
+
+
+# --- time units ---
+
+_UNIT = "CASE {x} WHEN 'hr' THEN 'hours' WHEN 'min' THEN 'minutes' WHEN 'day' THEN 'days' ELSE {x} END"
+_DECL = "declared AS (SELECT file, " + _UNIT.format(x="lower(regexp_extract(line, '(?i)time (?:in|unit:) ([a-z]+)', 1))") + " AS unit FROM code WHERE line_no = 1 AND regexp_matches(line, '(?i)time (?:in|unit:) [a-z]'))"
+
+
+@query()
+def unit_mismatch(spark, sf_dir):
+    return _long(time_units.unit_mismatches(r.code(spark, sf_dir)), "file", "line_no", "unit", "declared", "issue")
+
+
+ORACLE_SQL["unit_mismatch"] = (
+    rf"WITH {VIEWS}, {_DECL}, rates AS (SELECT file, line_no, line, {_UNIT.format(x='u')} AS unit FROM (SELECT file, line_no, line, regexp_extract(line, '#\s*.*?(?:1/|per\s+|/)(hr|min|day)', 1) AS u FROM code UNION ALL SELECT file, line_no, line, regexp_extract(line, '#\s*.*?\w+/(hr|min|day)', 1) FROM code) WHERE u <> '') SELECT file, CAST(line_no AS BIGINT) AS line_no, r.unit, d.unit AS declared, CASE WHEN contains(line, 'converted to') THEN 'documented_unit_conversion' ELSE 'internal_unit_mismatch' END AS issue FROM rates r JOIN declared d USING (file) WHERE r.unit <> d.unit"
+)
+
+
+@query()
+def unit_summary(spark, sf_dir):
+    return time_units.unit_summary(r.code(spark, sf_dir)).select("unit", "n_files")
+
+
+ORACLE_SQL["unit_summary"] = f"WITH {VIEWS}, {_DECL} SELECT unit, count(*) AS n_files FROM declared GROUP BY unit"
+
+
+@query()
+def time_unit_findings(spark, sf_dir):
+    code = r.code(spark, sf_dir).withColumn("stem", F.concat(F.lit("hpa_"), F.col("file").cast("string")))
+    return _long(time_units.time_units(code.filter("file % 10 < 8"), code.filter("file % 10 >= 8")))
+
+
+# --- citations ---
+
+_CITED = r"""cited AS (SELECT s_suppkey AS bib_id, 'key' || s_suppkey AS key, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE '10.1/' || s_suppkey END AS doi, CASE WHEN s_suppkey % 3 = 0 THEN ['smith', 'jones', 'lee'] ELSE ['smith', 'jones'] END AS ours FROM supplier),
+known AS (SELECT doi, status, string_split(lower(names), ',') AS theirs FROM ({known}))"""
+
+
+@query()
+def citation_join(spark, sf_dir):
+    met = citations.looked_up(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir))
+    overlap = F.when(F.col("doi_status") == "found", citations.author_overlap(F.col("authors"), F.col("families")))
+    return met.select("bib_id", "key", F.col("clean_doi").alias("doi"), "doi_status", F.round(overlap, 6).alias("overlap"))
+
+
+ORACLE_SQL["citation_join"] = (
+    f"WITH {_CITED.replace('{known}', r.select(r.CATALOGUE, 'supplier', 's_suppkey % 7 <> 1'))} SELECT bib_id, key, doi, CASE WHEN doi = '' THEN 'no_doi' WHEN theirs IS NULL THEN 'doi_not_found' WHEN status IS NULL THEN 'api_error' ELSE 'found' END AS doi_status, CASE WHEN doi <> '' AND status IS NOT NULL THEN round(len(list_filter(ours, lambda a: len(list_filter(theirs, lambda b: contains(a, b) OR contains(b, a))) > 0)) / greatest(len(ours), len(theirs)), 6) END AS overlap FROM cited LEFT JOIN known USING (doi)"
+)
+
+
+@query()
+def title_similarity(spark, sf_dir):
+    met = citations.looked_up(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)).filter("doi_status = 'found'")
+    return met.select("bib_id", "key", F.round(citations.similarity(citations.normalized(F.col("title")), citations.normalized(F.col("known_title"))), 6).alias("similarity"))
+
+
+@query()
+def citation_findings(spark, sf_dir):
+    return _long(citations.citations(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)))
+
+
+# --- review, reports, history ---
+
+_RATING = "CASE WHEN n_critical >= 5 THEN 'reject' WHEN n_critical >= 1 OR n_warning >= 5 THEN 'major_revision' WHEN n_warning >= 2 THEN 'minor_revision' ELSE 'accept' END AS rating"
+
+
+@query(f"SELECT *, {_RATING} FROM (SELECT d.doc_id, coalesce(n_critical, 0) AS n_critical, coalesce(n_warning, 0) AS n_warning, coalesce(n_info, 0) AS n_info FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN counts USING (doc_id))")
+def review_verdict(spark, sf_dir):
+    return findings.verdicts(r.documents(spark, sf_dir), _findings(spark, sf_dir))
+
+
+_RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 9 END"
+
+
+@query(f"SELECT doc_id, severity, CAST(line_no AS BIGINT) AS line_no, issue, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, line_no, issue, matched_text) AS place FROM findings) WHERE place <= 20")
+def top_findings(spark, sf_dir):
+    return _long(findings.top_findings(_findings(spark, sf_dir), 20), "doc_id", "severity", "line_no", "issue", "place")
+
+
+@query("SELECT check_type, severity, count(*) AS n_findings FROM findings GROUP BY ROLLUP (check_type, severity)")
+def severity_rollup(spark, sf_dir):
+    return findings.severity_rollup(_findings(spark, sf_dir))
+
+
+@query()
+def markdown_report(spark, sf_dir):
+    return findings.markdown_reports(_findings(spark, sf_dir))
+
+
+@query()
+def tool_json(spark, sf_dir):
+    return findings.tool_output(_findings(spark, sf_dir))
+
+
+@query("SELECT doc_id, check_type, n_critical, n_findings FROM (SELECT doc_id, check_type, count(*) FILTER (severity = 'critical') AS n_critical, count(*) AS n_findings FROM findings GROUP BY doc_id, check_type) ORDER BY doc_id, check_type LIMIT 20")
+def run_history(spark, sf_dir):
+    return history.history(history.runs_of(_findings(spark, sf_dir), "run", "2024-01-01")).select("doc_id", "check_type", "n_critical", "n_findings")
+
+
+# --- declared claims ---
+
+_CLAIM = {
+    "paper_id": "CAST(floor(o_orderkey / 50) AS BIGINT)",
+    "claim_no": "CAST(o_orderkey % 50 AS BIGINT)",
+    "text": "CASE o_custkey % 5 WHEN 0 THEN 'It improves and Confirms the rule' WHEN 1 THEN 'A paradigm shift' WHEN 2 THEN 'It clearly shows more' ELSE 'It indicates more' END",
+    "strength": "CASE o_custkey % 3 WHEN 0 THEN 'shows' WHEN 1 THEN 'proves' END",
+    "n_evidence": "CAST(o_custkey % 4 AS INT)",
+    "n_citations": "CAST(o_custkey % 6 AS INT)",
+    "with_value": "CAST(o_custkey % 7 AS DOUBLE)",
+    "without_value": "CAST(o_custkey % 2 AS DOUBLE)",
+}
+_FEW = "o_orderkey % 50 < 3"
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = r.table(spark, sf_dir, "orders", _CLAIM, _FEW)
+    return rows.withColumn("evidence", F.array_repeat(F.lit("run"), F.col("n_evidence"))).withColumn("citations", F.array_repeat(F.lit("key"), F.col("n_citations")))
+
+
+_ERRORS = f"""declared_claims AS ({r.select(_CLAIM, "orders", _FEW)}), errors AS (SELECT paper_id, claim_no, 'forbidden_word' AS issue, w AS detail FROM declared_claims, (SELECT unnest({list(paper.FORBIDDEN)}) AS w) WHERE contains(lower(text), w)
+    UNION ALL SELECT paper_id, claim_no, 'no_evidence', '' FROM declared_claims WHERE n_evidence = 0 UNION ALL SELECT paper_id, claim_no, 'no_citation', '' FROM declared_claims WHERE n_citations = 0
+    UNION ALL SELECT paper_id, claim_no, 'strength_not_permitted', strength FROM declared_claims WHERE strength NOT IN {paper.PERMITTED} UNION ALL SELECT paper_id, claim_no, 'ablation_without_effect', '' FROM declared_claims WHERE with_value = without_value)"""
+
+
+@query()
+def claim_errors(spark, sf_dir):
+    return paper.claim_errors(_claims(spark, sf_dir))
+
+
+@query()
+def claim_gate(spark, sf_dir):
+    return paper.claim_gate(_claims(spark, sf_dir))
+
+
+ORACLE_SQL["claim_errors"] = f"WITH {_ERRORS} SELECT * FROM errors"
+ORACLE_SQL["claim_gate"] = f"WITH {_ERRORS} SELECT paper_id, n_claims, coalesce(n_errors, 0) AS n_errors, n_errors IS NULL AS builds FROM (SELECT paper_id, count(*) AS n_claims FROM declared_claims GROUP BY paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n_errors FROM errors GROUP BY paper_id) USING (paper_id)"
+
+
+# --- tasks ---
+
+_NEXT = "CASE WHEN e = 'verify' THEN 'verified' WHEN e = 'fail' THEN 'regressed' WHEN e = 'start' AND s IN ('pending', 'regressed') THEN 'in_progress' WHEN e = 'complete' AND s = 'in_progress' THEN 'claimed' ELSE s END"
+_FOLD = f"""task_events AS (SELECT user_id AS task_id, ts, event_id, CASE event_type WHEN 'click' THEN 'complete' WHEN 'purchase' THEN 'verify' WHEN 'error' THEN 'fail' ELSE 'start' END AS event FROM events),
+states AS (SELECT task_id, list_reduce(list_prepend('pending', list(event ORDER BY ts, event_id)), lambda s, e: {_NEXT}) AS state FROM task_events GROUP BY task_id)"""
+
+
+@query()
+def task_state(spark, sf_dir):
+    return registry.task_states(r.task_events(spark, sf_dir))
+
+
+@query()
+def task_state_counts(spark, sf_dir):
+    return registry.task_states(r.task_events(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n_tasks"))
+
+
+@query()
+def model_performance(spark, sf_dir):
+    return registry.model_performance(r.task_events(spark, sf_dir)).withColumn("success_rate", F.round("success_rate", 6))
+
+
+ORACLE_SQL["task_state"] = f"WITH {_FOLD} SELECT * FROM states"
+ORACLE_SQL["task_state_counts"] = f"WITH {_FOLD} SELECT state, count(*) AS n_tasks FROM states GROUP BY state"
+_STEPS = f"""WITH RECURSIVE {_FOLD.split("states AS")[0]} numbered AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS k FROM task_events),
+walk AS (SELECT task_id, CAST(0 AS BIGINT) AS k, 'pending' AS s, '' AS e, 'pending' AS t UNION ALL SELECT n.task_id, n.k, w.t, n.event, (SELECT {_NEXT.replace("e = ", "n.event = ").replace(" s IN", " w.t IN").replace(" s = ", " w.t = ").replace("ELSE s", "ELSE w.t")}) FROM walk w JOIN numbered n ON n.task_id = w.task_id AND n.k = w.k + 1)"""
+_STEPS = _STEPS.replace("SELECT task_id, CAST(0 AS BIGINT) AS k, 'pending' AS s, '' AS e, 'pending' AS t", "SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS k, 'pending' AS s, '' AS e, 'pending' AS t FROM task_events")
+ORACLE_SQL["model_performance"] = (
+    f"{_STEPS} SELECT model_id, difficulty, attempts, successes, failures, CASE WHEN successes + failures > 0 THEN round(successes / (successes + failures), 6) END AS success_rate FROM (SELECT task_id % 4 AS model_id, task_id % 3 AS difficulty, count(*) FILTER (e = 'complete' AND s = 'in_progress') AS attempts, count(*) FILTER (e = 'verify') AS successes, count(*) FILTER (e = 'fail') AS failures FROM walk WHERE e IN ('verify', 'fail') OR s <> t GROUP BY ALL)"
+)
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = r.outputs(spark, sf_dir)
+    return out.select(F.col("doc_id").alias("task_id"), F.when(F.col("doc_id") % 9 != 0, "python fit.py").alias("command"), (F.col("doc_id") % 11 == 0).alias("timed_out"), F.lit(None).cast("string").alias("error"), "exit_code", F.lit(0).alias("expected_exit"), "stdout", F.array(F.lit("dose"), F.lit(".5")).alias("contains"), F.array(F.lit("rate 150"), F.lit("ERROR")).alias("excludes"))
+
+
+@query("SELECT doc_id AS task_id, CASE WHEN doc_id % 9 = 0 THEN 'no verification command' WHEN doc_id % 11 = 0 THEN 'timeout' WHEN exit_code <> 0 THEN 'exit code' WHEN contains(stdout, 'rate 150') THEN 'stdout contains forbidden: rate 150' ELSE 'all checks passed' END AS reason, reason = 'all checks passed' AS passed, substr(sha256(stdout), 1, 16) AS output_hash FROM outputs")
+def siv_verdict(spark, sf_dir):
+    return registry.verification(_tasks(spark, sf_dir)).select("task_id", "reason", "passed", "output_hash")
+
+
+@query(r"""SELECT doc_id AS task_id, 'rate' AS output_key, 'value' AS drift FROM outputs WHERE abs(CAST(regexp_extract(stdout, 'rate ([\d.]+)', 1) AS DOUBLE) - 145) > 5""")
+def golden_drift(spark, sf_dir):
+    out = r.outputs(spark, sf_dir).select(F.col("doc_id").alias("task_id"), "stdout")
+    golden = out.select("task_id", F.lit("rate").alias("output_key"), F.lit(r"rate [\d.]+").alias("pattern"), F.lit("rate 145.0").alias("golden_value"), F.lit(5.0).alias("tolerance"))
+    return registry.golden_drift(out, golden)
