@@ -115,7 +115,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How a member's set differs from its leader's: lost and gained shingles, apart by a bit, and how many of the rarest stand for it."""
     for batch in batches:
-        rows = {"u": batch.column("u"), "v": batch.column("v"), "component": batch.column("component"), "linked": [], "size": [], "stands": [], "stands_wide": [], "element": []}
+        rows = {"u": batch.column("u"), "v": batch.column("v"), "component": batch.column("component"), "linked": [], "size": [], "differs": [], "stands": [], "stands_wide": [], "element": []}
         for a, b in zip(batch.column("words"), batch.column("others"), strict=True):
             a, b = a.values.to_numpy(), b.values.to_numpy()
             gained, lost = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
@@ -125,14 +125,17 @@ def _differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = (7 * (len(gained) + len(lost)) + len(lost) - len(gained)) // 14
             # and this many with any link of a member that isn't linked with the leader
             wide = max(1, -(-(7 * (len(gained) + len(lost)) - len(a) - len(b)) // 14))
+            # a linked set differs in at most a third of len(a), so it has all but so many of the differences
+            far = len(gained) + len(lost) - len(a) // 3
             rows["size"].append(len(a))
-            rows["stands"].append(len(gained) + len(lost) - least)
-            rows["stands_wide"].append(len(gained) + len(lost) - wide + 1)
+            rows["differs"].append(len(gained) + len(lost))
+            rows["stands"].append(len(gained) + len(lost) - max(least + 1, far) + 1)
+            rows["stands_wide"].append(len(gained) + len(lost) - max(wide, far) + 1)
             rows["element"].append(np.concatenate([gained | 1, lost & ~np.int64(1)]))
         yield pa.RecordBatch.from_pydict(rows, schema=_DIFFERENCES)
 
 
-_DIFFERENCES = EDGES.append(pa.field("component", pa.int64())).append(pa.field("linked", pa.bool_())).append(pa.field("size", pa.int64())).append(pa.field("stands", pa.int64())).append(pa.field("stands_wide", pa.int64())).append(pa.field("element", pa.list_(pa.int64())))
+_DIFFERENCES = EDGES.append(pa.field("component", pa.int64())).append(pa.field("linked", pa.bool_())).append(pa.field("size", pa.int64())).append(pa.field("differs", pa.int64())).append(pa.field("stands", pa.int64())).append(pa.field("stands_wide", pa.int64())).append(pa.field("element", pa.list_(pa.int64())))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -163,8 +166,9 @@ def _rest(tested: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
     rarity the first difference in common is also among x's rarest: as many as
     y's rule leaves if y isn't linked with v either, else all but (|diff(x)| -
     (|x| + |v|) / 7) / 2, since y then differs from v in no more than one
-    seventh of both. Edits are mostly a copy's own, so little is found in vain,
-    however large the group.
+    seventh of both. And linked sets differ in at most a third of either, which
+    leaves few differences of a set that is far from v. Edits are mostly a
+    copy's own, so little is found in vain, however large the group.
     """
     found = components(edges)
     at = stored(tested.join(found.withColumnRenamed("node", "u"), "u", "left").select("u", "v", F.coalesce("component", "u").alias("component")))
@@ -176,14 +180,16 @@ def _rest(tested: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
     others = sets.select(F.col("u").alias("v"), F.col("words").alias("others"))
 
     compared = members.join(sets, "u").join(others, "v").select("u", "v", "component", "words", "others").mapInArrow(_differences, tx.ddl(_DIFFERENCES))
-    rows = stored(compared.select("v", "u", "component", "linked", "size", "stands", "stands_wide", F.explode("element").alias("element")))
+    rows = stored(compared.select("v", "u", "component", "linked", "size", "differs", "stands", "stands_wide", F.explode("element").alias("element")))
     common = rows.groupBy("v", "element").agg(F.count("*").alias("n")).filter("n > 1")
     place = F.row_number().over(Window.partitionBy("v", "u").orderBy(F.coalesce("n", F.lit(1)), "element"))
     ranked = rows.join(common, ["v", "element"], "left").withColumn("place", place).filter("n > 1")
-    ranked = stored(ranked.select("v", "element", "u", "component", "linked", "size", (F.col("place") <= F.col("stands")).alias("standing"), (F.col("place") <= F.col("stands_wide")).alias("wide")))
-    theirs = ranked.filter("standing").select("v", "element", F.col("u").alias("w"), F.col("component").alias("other"), F.col("linked").alias("w_linked"), F.col("size").alias("w_size"))
+    ranked = stored(ranked.select("v", "element", "u", "component", "linked", "size", "differs", "place", (F.col("place") <= F.col("stands")).alias("standing"), (F.col("place") <= F.col("stands_wide")).alias("wide")))
+    theirs = ranked.filter("standing").select("v", "element", F.col("u").alias("w"), F.col("component").alias("other"), F.col("linked").alias("w_linked"), F.col("size").alias("w_size"), F.col("differs").alias("w_differs"), F.col("place").alias("w_place"))
     alike = f"component <> other and 100 * least(size, w_size) >= {PERCENT} * greatest(size, w_size)"
-    met = ranked.filter("not linked and (standing or wide)").join(theirs, ["v", "element"]).filter(f"{alike} and CASE WHEN w_linked THEN wide ELSE standing END")
+    # were this the first in common, those behind it could still be enough
+    enough = "14 * (1 + least(differs - place, w_differs - w_place)) >= 7 * (differs + w_differs) - size - w_size"
+    met = ranked.filter("not linked and (standing or wide)").join(theirs, ["v", "element"]).filter(f"{alike} and {enough} and CASE WHEN w_linked THEN wide ELSE standing AND u < w END")
     pairs = met.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("v")).distinct()
     return pairs.join(sets, "u").join(others, "v").select("u", "v", "words", "others").mapInArrow(_alike, tx.ddl(EDGES))
 
