@@ -29,7 +29,7 @@ MIN_TEXTS = 4
 SPAN = 8
 #: EASE damps the steps of n-grams of few texts, whose gradients are small: they would learn single labels by heart.
 ROUNDS, RATE, DECAY, EASE = 26, 0.5, 1e-4, 1e-4
-SAMPLE_CHUNK = 1 << 19
+SAMPLE_CHUNK = 1 << 17
 
 _U = np.uint64
 
@@ -51,7 +51,7 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner.append(np.arange(len(words)))
     owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return (np.concatenate(keys)[order] >> _U(47)).astype(np.int64), np.bincount(owner, minlength=len(words))
+    return (np.concatenate(keys)[order] >> _U(47)).astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 class Bag:
