@@ -19,9 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: it is computed once, and lost executors cost nothing of it."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    # partitions of the advised size: a small table becomes a file or two, not one for each core
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
