@@ -54,21 +54,22 @@ def _share(text: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{kind}]", "")) / F.greatest(F.length(text), F.lit(1))
 
 
-#: From columns url, host, path and query.
-FEATURES = {
-    "url_length": F.length("url"),
-    "host_length": F.length("host"),
-    "path_length": F.length("path"),
-    "query_length": F.length("query"),
-    "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
-    "labels": F.size(F.split("host", r"\.")),
-    "hyphens": F.length(F.regexp_replace("host", "[^-]", "")),
-    "digit_share": _share(F.col("url"), "0-9"),
-    "host_digit_share": _share(F.col("host"), "0-9"),
-    "parameters": F.when(F.col("query") == "", 0).otherwise(F.size(F.split("query", "&"))),
-    "entropy": _entropy(F.col("url")),
-    "host_entropy": _entropy(F.col("host")),
-}
+def features() -> dict[str, Column]:
+    """By name, from columns url, host, path and query."""
+    return {
+        "url_length": F.length("url"),
+        "host_length": F.length("host"),
+        "path_length": F.length("path"),
+        "query_length": F.length("query"),
+        "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
+        "labels": F.size(F.split("host", r"\.")),
+        "hyphens": F.length(F.regexp_replace("host", "[^-]", "")),
+        "digit_share": _share(F.col("url"), "0-9"),
+        "host_digit_share": _share(F.col("host"), "0-9"),
+        "parameters": F.when(F.col("query") == "", 0).otherwise(F.size(F.split("query", "&"))),
+        "entropy": _entropy(F.col("url")),
+        "host_entropy": _entropy(F.col("host")),
+    }
 
 
 def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -96,9 +97,9 @@ def judged(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     def featured(df: DataFrame) -> DataFrame:
         df = df.withColumn("query", F.regexp_extract("url", r"\?([^#]*)", 1)).join(stats, "suffix", "left")
         seen = F.coalesce("seen", F.lit(0))
-        return df.select("*", *[f.cast("double").alias(f"f_{name}") for name, f in FEATURES.items()], F.log1p(seen).alias("f_suffix_seen"), ((F.coalesce("blocked", F.lit(0.0)) + PRIOR * share) / (seen + PRIOR)).alias("f_suffix_blocked"))
+        return df.select("*", *[f.cast("double").alias(f"f_{name}") for name, f in features().items()], F.log1p(seen).alias("f_suffix_seen"), ((F.coalesce("blocked", F.lit(0.0)) + PRIOR * share) / (seen + PRIOR)).alias("f_suffix_blocked"))
 
-    names = [f"f_{name}" for name in (*FEATURES, "suffix_seen", "suffix_blocked")]
+    names = [f"f_{name}" for name in (*features(), "suffix_seen", "suffix_blocked")]
     picked = labelled.filter(half == 1).orderBy(F.xxhash64("url"), "url").limit(sample)
     train = stored(featured(picked).select(*names, "label"))
     n, blocked = train.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
