@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: All line ends that text files use.
 _END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
-IN_DOC = Window.partitionBy("doc_id").orderBy("line_no")
-BEFORE = IN_DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _in_doc() -> WindowSpec:
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def _so_far() -> WindowSpec:
+    return _in_doc().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -51,7 +57,7 @@ def with_section(lines: DataFrame) -> DataFrame:
     heading = low.startswith("# ") | low.startswith("## ")
     md = F.when(heading, F.when(low.contains("abstract"), "abstract").otherwise("body"))
     mark = F.when(F.col("ext") == ".tex", tex).when(F.col("ext") == ".md", md)
-    return lines.withColumn("section", F.coalesce(F.last(mark, ignorenulls=True).over(BEFORE), F.lit("body")))
+    return lines.withColumn("section", F.coalesce(F.last(mark, ignorenulls=True).over(_so_far()), F.lit("body")))
 
 
 def in_abstract(lines: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def in_abstract(lines: DataFrame) -> DataFrame:
     tex = F.when(has("\\begin{abstract}"), 1).when(has("\\end{abstract}"), 0)
     md = F.when(starts, 1).when(text.startswith("#"), 0)
     mark = F.when(F.col("ext") == ".tex", tex).when(F.col("ext") == ".md", md)
-    marked = lines.withColumn("mark", mark).withColumn("inside", F.last("mark", ignorenulls=True).over(BEFORE))
+    marked = lines.withColumn("mark", mark).withColumn("inside", F.last("mark", ignorenulls=True).over(_so_far()))
     return marked.filter("inside = 1 and mark is null").drop("mark", "inside")
 
 
@@ -77,10 +83,10 @@ def with_heading(lines: DataFrame) -> DataFrame:
     """
     title = F.when(F.col("line").rlike(_HEADING), F.lower(F.trim(F.regexp_extract("line", _HEADING, 1))))
     none = F.count(title).over(Window.partitionBy("doc_id")) == 0
-    tex = F.when(none, "body").otherwise(F.last(title, ignorenulls=True).over(BEFORE))
+    tex = F.when(none, "body").otherwise(F.last(title, ignorenulls=True).over(_so_far()))
     text = F.lower(F.trim("line"))
     is_head = text.startswith("#")
-    md = F.when(~is_head, F.coalesce(F.last(F.when(is_head, F.trim(F.regexp_replace(text, "^#+", ""))), ignorenulls=True).over(BEFORE), F.lit("body")))
+    md = F.when(~is_head, F.coalesce(F.last(F.when(is_head, F.trim(F.regexp_replace(text, "^#+", ""))), ignorenulls=True).over(_so_far()), F.lit("body")))
     return lines.withColumn("heading", F.when(F.col("ext") == ".tex", tex).when(F.col("ext") == ".md", md))
 
 
@@ -94,4 +100,4 @@ def section_ranges(lines: DataFrame) -> DataFrame:
 
 def with_context(lines: DataFrame, reach: int = 5) -> DataFrame:
     """Adds context: the lines within reach, joined by spaces."""
-    return lines.withColumn("context", F.array_join(F.collect_list("line").over(IN_DOC.rowsBetween(-reach, reach)), " "))
+    return lines.withColumn("context", F.array_join(F.collect_list("line").over(_in_doc().rowsBetween(-reach, reach)), " "))

@@ -65,7 +65,7 @@ def direct_calls(models: DataFrame, solvers: DataFrame) -> DataFrame:
     models(file, stem, line_no, line): a model is known by its stem or what
     stands before its first underscore; of several the first stem counts.
     """
-    near = Window.partitionBy("file").orderBy("line_no").rowsBetween(-2, 2)
+    near = Window.partitionBy("file").orderBy("line_no").rangeBetween(-2, 2)
     flagged = solvers.withColumn("near", F.max(F.col("line").rlike(CONVERSION)).over(near))
     name, args = (F.regexp_extract_all("line", F.lit(ODE_CALL), F.lit(g)) for g in (1, 2))
     calls = flagged.filter("not near").select("file", "line_no", F.inline(F.arrays_zip(name.alias("function"), args.alias("args"))))
