@@ -1,21 +1,23 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a trigram model over the frequent words, learnt in Spark jobs.
-Its n-grams are states; a state has an arc for each word that was kept after
-it and one failure arc, weighted by the probability that it leaves over, to
-the state of the next shorter history. The root gives each word its add-one
-unigram probability. All probabilities of a history sum to 1.
-
-Kept are the words, bigrams and trigrams that make up at least 1 / ARCS of
-the training tokens, so there are at most ARCS of each and their tables can
-be broadcast whatever the corpus. Only sub-n-grams that were kept are counted
-on, which loses none that could be kept. Unigram counts are needed for every
-word: those of the HEAD most frequent are broadcast under the same bound, the
-rest meet their documents in a join.
+The model is a trigram model over all words, bigrams and trigrams that occur
+at least twice in the training texts, at every size of the corpus. Its n-grams
+are states; a state has an arc for each word that was kept after it and one
+failure arc, weighted by the probability that it leaves over, to the state of
+the next shorter history. The root gives each word its add-one unigram
+probability. All probabilities of a history sum to 1.
+
+The weight of a path is a sum over its n-grams: each has a value, what it
+changes against the path without it, and the score of a text is the sum of the
+values of all its words, bigrams and trigrams. So the n-grams and their values
+stay a distributed table, and a text meets it by a join. Only values of the
+most frequent n-grams are broadcast, under the bound HEAD; all others have the
+join. N-grams are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import text as tx
-from scriptorium.llm.store import stored
+from scriptorium.llm.store import forget, stored
 
-ARCS, HEAD = 100_000, 4_000_000
+#: Kept are n-grams that occur twice; only a caller that asks for fewer arcs gets a higher bound.
+ARCS, HEAD = 1 << 62, 4_000_000
+#: Keys of a join that are met by broadcast, since one task would get all rows of each; and parts of the keys, a power of two, for disk.
+HOT, ROUNDS = 10_000, 4
 DISCOUNT = 0.5
 #: Distinct keys that a task keeps before it hands on its counts.
 HELD = 1_500_000
@@ -36,6 +41,10 @@ END = tx.mix(np.array([0xE07E5D], np.uint64))[0]
 COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 RARE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int64())])
+GRAMS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+KEYED = GRAMS.append(pa.field("key", pa.int64()))
+#: Text whose n-grams are counted together before they are dealt out.
+GRAM_BYTES = 8 << 20
 
 
 def tokens_of(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -100,17 +109,8 @@ def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-def table_of(df: DataFrame, unsigned: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded table of counts as arrays sorted by key."""
-    got = df.toArrow()
-    keys, n = got["key"].to_numpy(), got["n"].to_numpy()
-    keys = keys.view(np.uint64) if unsigned else keys
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
 class Automaton:
-    """States and arcs as sorted arrays.
+    """States and arcs as sorted arrays, for one machine: what the distributed values must agree with.
 
     words, singles: hashes and counts of the frequent words, whose places are their numbers.
     pairs: number1 << 32 | number2, with p and the failure weight of the state of both words.
@@ -200,29 +200,114 @@ def held_out_docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), (crc % 7 == 2).alias("held_out"))
 
 
-def trained(train: DataFrame, singles: DataFrame, n: int, v: int, arcs: int = ARCS) -> Automaton:
-    """The automaton of the training texts; n tokens, v distinct, singles their counts."""
-    least = max(2, -(-n // arcs))
-    model = Automaton(*table_of(singles.filter(F.col("n") >= least), True), n, v)
-    context = train.sparkSession.sparkContext
-    shared = context.broadcast(model)
+def grams_of(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places of the first words) of the runs of size tokens in one document.
 
-    def pairs(chunk: tx.Chunk) -> np.ndarray:
-        hashes, doc = tokens_of(chunk)
-        keys = shared.value.pairs_in(shared.value.numbers(hashes), doc)
-        return keys[keys >= 0]
+    A word's key is its hash, any other comes from the keys without the last and without the first word.
+    """
+    keys = hashes
+    for n in range(2, size + 1):
+        keys = key_of(keys[:-1], keys[1:], n)
+    at = np.flatnonzero(doc[: len(keys)] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
+    return keys[at], at
 
-    model.set_pairs(*table_of(counted(train, pairs).filter(F.col("n") >= least), False))
-    with_pairs = context.broadcast(model)
 
-    def triples(chunk: tx.Chunk) -> np.ndarray:
-        hashes, doc = tokens_of(chunk)
-        number = with_pairs.value.numbers(hashes)
-        keys = with_pairs.value.triples_in(found(with_pairs.value.pairs, with_pairs.value.pairs_in(number, doc)), number)
-        return keys[keys >= 0]
+def key_of(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    return tx.mix(tx.mix(left + np.uint64(size)) + right)
+
+
+def in_round(keys: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    return keys % np.uint64(rounds) == k
+
+
+def _kept_part(train: DataFrame, size: int, least: int, k: int, rounds: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in tx.slices(batches, GRAM_BYTES):
+            hashes, doc = tokens_of(chunk)
+            keys, at = grams_of(hashes, doc, size)
+            mine = in_round(keys, k, rounds)
+            _, first, n = np.unique(keys[mine], return_index=True, return_counts=True)
+            at = at[mine][first]
+            shorter = hashes if size == 2 else key_of(hashes[:-1], hashes[1:], 2)
+            for lo in range(0, len(at), 100_000):
+                part = at[lo : lo + 100_000]
+                yield pa.RecordBatch.from_pydict({"left": tx.signed(shorter[part]), "right": tx.signed(shorter[part + 1]), "n": n[lo : lo + 100_000].astype(np.int64)}, schema=GRAMS)
+
+    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_numpy().view(np.uint64) for c in ("left", "right"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tx.signed(key_of(left, right, size)))], schema=KEYED)
+
+    counts = train.mapInArrow(run, tx.ddl(GRAMS)).groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return stored(counts.filter(F.col("n") >= least).mapInArrow(keyed, tx.ddl(KEYED)))
 
-    model.set_triples(*table_of(counted(train, triples).filter(F.col("n") >= least), False))
-    return model
+
+def kept_grams(train: DataFrame, size: int, least: int) -> DataFrame:
+    """(left, right, n, key) of the runs of size tokens that occur at least least times; left and right are the keys without the last and the first word."""
+    out, rounds = None, ROUNDS // 2
+    for k in range(rounds):
+        one = _kept_part(train, size, least, k, rounds)
+        _free(train)
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _free(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of what is done."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def fetched(df: DataFrame, on: str, table: DataFrame, hot) -> DataFrame:
+    """df joined with the row of its key, of which each is in table; the few keys that hot picks are broadcast."""
+    table = table.withColumnRenamed("key", on)
+    few = F.broadcast(table.filter(hot))
+    columns = [*df.columns, *(c for c in table.columns if c not in df.columns and c != "weight")]
+    rest = df.join(F.broadcast(table.filter(hot).select(on)), on, "left_anti").join(table.filter(~hot), on)
+    return df.join(few, on).select(columns).union(rest.select(columns))
+
+
+def _failures(arcs: DataFrame) -> DataFrame:
+    """(key, fail, weight) of the states: log10 of what a state leaves over, on what its kept words leave over one order lower; weight is its number of arcs."""
+    left = lambda name: F.greatest(1 - F.sum(name), F.lit(1e-9))
+    return stored(arcs.groupBy(F.col("left").alias("key")).agg(F.log10(left("p") / left("low")).alias("fail"), F.count("*").alias("weight")))
+
+
+def values(train: DataFrame, singles: DataFrame, n: int, v: int, arcs: int = ARCS) -> DataFrame:
+    """(key, n, known, base, value) of all words and of the kept n-grams of the training texts; n tokens, v distinct, singles their counts.
+
+    base is log10(n + 1) of a word and 0 of others. What log10(n + v + 1) takes from each word of a text is left to the reader.
+    """
+    least, total = max(2, -(-n // arcs)), float(n + v + 1)
+    hot = F.col("weight") >= -(-n // HOT)
+    of_word = singles.select("key", F.col("n").alias("c"), F.col("n").alias("weight"))
+    pairs = kept = kept_grams(train, 2, least)
+    pairs = fetched(pairs, "left", of_word, hot).select("key", "left", "right", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"))
+    pairs = stored(fetched(pairs, "right", of_word, hot).withColumn("low", (F.col("c") + 1.0) / total).drop("c"))
+    forget(kept)
+    fail1 = _failures(pairs)
+    many = F.col("weight") >= max(1, -(-n // HOT))
+    # failure of the first word and the root's arc, which a kept pair replaces
+    plain = fetched(pairs, "left", fail1, many).select("key", "n", "p", (F.log10("p") - F.col("fail") - F.log10("low")).alias("value"))
+
+    triples = kept = kept_grams(train, 3, least)
+    of_pair = pairs.select("key", F.col("n").alias("c"), F.col("p").alias("low"), F.col("n").alias("weight"))
+    triples = fetched(triples, "left", of_pair.drop("low"), hot).select("key", "left", "right", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"))
+    triples = stored(fetched(triples, "right", of_pair.drop("c"), hot))
+    forget(kept)
+    fail2 = _failures(triples)
+    third = fetched(triples, "left", fail2, many).select("key", "n", (F.log10("p") - F.col("fail") - F.log10("low")).alias("value"))
+
+    fail = lambda df, table: df.join(table.select("key", "fail"), "key", "left").withColumn("value", F.col("value") + F.coalesce("fail", F.lit(0.0)))
+    words = fail(singles.withColumn("base", F.log10(F.col("n") + 1.0)).withColumn("value", F.col("base")), fail1)
+    none = F.lit(0.0).alias("base")
+    out = words.select("key", "n", F.lit(1).alias("known"), "base", "value")
+    for other in (fail(plain, fail2), third):
+        out = out.union(other.select("key", "n", F.lit(0).alias("known"), none, "value"))
+    out = stored(out)
+    for done in (singles, pairs, triples, fail1, fail2):
+        forget(done)
+    return out
 
 
 def scores(docs: DataFrame, arcs: int = ARCS, head: int = HEAD) -> DataFrame:
@@ -238,51 +323,64 @@ def scores(docs: DataFrame, arcs: int = ARCS, head: int = HEAD) -> DataFrame:
     train = docs.filter("not held_out").select("doc_id", "text")
     singles = stored(counted(train, lambda chunk: tokens_of(chunk)[0]))
     n, v = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    model = trained(train, singles, n, v, arcs)
-    least = -(-n // head)
-    heavy = F.col("n") >= least
-    keys, counts = table_of(singles.filter(heavy), True)
-    common = docs.sparkSession.sparkContext.broadcast((model, keys, counts.astype(np.int32) if n < 1 << 31 else counts))
-    base = np.log10(n + v + 1)
+    table = values(train, singles, n, v, arcs)
+    _free(docs)
+    heavy = F.col("n") >= -(-n // head)
+    got = table.filter(heavy).drop("n").toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    common = docs.sparkSession.sparkContext.broadcast((keys[order], *(got[c].to_numpy()[order] for c in ("known", "base", "value"))))
+    root = float(np.log10(n + v + 1))
 
     def score(chunk: tx.Chunk) -> dict:
-        model, keys, counts = common.value
+        keys, *columns = common.value
         hashes, doc = tokens_of(chunk)
-        at = found(keys, hashes)
-        unigram = np.where(at >= 0, np.log10(counts[at] + 1.0) - base, 0.0) if len(keys) else np.zeros(len(at))
-        weight, unnumbered = model.walk(hashes, doc)
-        by = lambda x=None: np.bincount(doc, x, len(chunk))
-        return {
-            "row": chunk.batch.column(2),
-            "doc_id": chunk.batch.column(0),
-            "held_out": chunk.batch.column(3),
-            "n_tokens": by().astype(np.int64),
-            "n_known": by(at >= 0).astype(np.int64),
-            "base": by(unigram),
-            "model": by(weight + np.where(unnumbered, unigram, 0.0)),
-        }
-
-    def rare(chunk: tx.Chunk) -> dict:
+        n_tokens = np.bincount(doc, minlength=len(chunk)).astype(np.int64)
+        known, base, value = np.zeros((3, len(chunk)))
+        for size in (1, 2, 3):
+            grams, at = grams_of(hashes, doc, size)
+            place = found(keys, grams)
+            here, place = doc[at[place >= 0]], place[place >= 0]
+            for total, column in zip((known, base, value), columns, strict=True):
+                total += np.bincount(here, column[place], len(chunk))
+        return {"row": chunk.batch.column(2), "doc_id": chunk.batch.column(0), "held_out": chunk.batch.column(3), "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base - root * n_tokens, "model": value - root * n_tokens}
+
+    def rare(chunk: tx.Chunk, k: int) -> dict:
         hashes, doc = tokens_of(chunk)
-        out = found(common.value[1], hashes) < 0
-        hashes, doc = hashes[out], doc[out]
-        order = np.lexsort((hashes, doc))
-        hashes, doc = hashes[order], doc[order]
-        new = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        return {"key": tx.signed(hashes[new]), "row": chunk.batch.column(2).take(pa.array(doc[new])), "n": np.diff(new, append=len(doc))}
-
+        keys, docs_ = [], []
+        for size in (1, 2, 3):
+            grams, at = grams_of(hashes, doc, size)
+            mine = in_round(grams, k, ROUNDS)
+            grams, at = grams[mine], at[mine]
+            out = found(common.value[0], grams) < 0
+            keys.append(grams[out])
+            docs_.append(doc[at[out]])
+        keys, where = np.concatenate(keys), np.concatenate(docs_)
+        order = np.lexsort((keys, where))
+        keys, where = keys[order], where[order]
+        new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (where[1:] != where[:-1]))) if len(where) else np.zeros(0, np.int64)
+        return {"key": tx.signed(keys[new]), "row": chunk.batch.column(2).take(pa.array(where[new])), "n": np.diff(new, append=len(where))}
+
+    def met(k: int) -> DataFrame:
+        rows = tx.map_chunks(docs, lambda chunk: rare(chunk, k), RARE).join(table.filter(~heavy & (F.col("key").bitwiseAND(ROUNDS - 1) == k)).drop("n"), "key")
+        return stored(rows.groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("known", "base", "value")]))
+
+    tail = None
+    for k in range(ROUNDS):
+        one = met(k)
+        _free(docs)
+        tail = one if tail is None else tail.union(one)
+    # repeated rows give the same n-grams again, which are to count once for their row
+    times = docs.groupBy("row").agg(F.count("*").alias("times"))
+    tail = tail.groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("known", "base", "value")]).join(times, "row")
+    part = lambda name: F.coalesce(F.col(f"rare_{name}") / F.col("times"), F.lit(0))
     scored = tx.map_chunks(docs, score, SCORES)
-    tail = tx.map_chunks(docs, rare, RARE).join(singles.filter(~heavy).withColumnRenamed("n", "c"), "key", "left")
-    # repeated rows give the same tokens again, which are to count once for their row
-    tail = tail.groupBy("key", "row").agg(F.max("n").alias("n"), F.max(F.coalesce("c", F.lit(0))).alias("c"))
-    tail = tail.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1.0) - F.lit(float(base)))).alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    part = lambda name: F.coalesce(name, F.lit(0))
     return scored.join(tail, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + part("rare_known")).alias("n_known"),
+        (F.col("n_known") + part("known")).cast("bigint").alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"),
-        (F.col("base") + part("rare")).alias("base_score"),
-        (F.col("model") + part("rare")).alias("score"),
+        (F.col("base") + part("base")).alias("base_score"),
+        (F.col("model") + part("value")).alias("score"),
     )
