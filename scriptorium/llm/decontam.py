@@ -5,12 +5,15 @@ that many words, closely spaced, and each window and item gets a 64-bit
 SimHash of its words. The fingerprints are looked up by blocks: if two differ
 in at most RADIUS bits, one of their four 16-bit blocks differs in at most
 RADIUS // 4 bits, and a table over all block values tells which items are so
-near. Windows within the radius of an item are verified exactly: the item is
-laid over the neighbourhood word by word, and its best weighted Jaccard
-similarity of 5-word shingles decides.
+near. Passages may be longer or shorter than the item, so each class has windows
+a class shorter and longer too. Windows within the radius of an item are
+verified exactly: of all runs of words in the neighbourhood, whatever their
+length, the best weighted Jaccard similarity of 5-word shingles decides.
 
 The benchmark is the query set. It is brought to the driver in blocks of a
-bounded number of items, and each block meets all documents in one pass.
+bounded number of items, and each block meets all documents in one pass. How
+many items have a shingle is counted over the whole benchmark; blocks share the
+counts of those that more than one item has.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())])
+SHINGLES = pa.schema([("shingle", pa.int64())])
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -94,46 +98,62 @@ class SizeClass:
 class Benchmark:
     """A block of items with words. Of items beyond 32767 words the SimHash windows take so many."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], n_items: int, shared: tuple[np.ndarray, np.ndarray]):
         chunk = next(tx.slices([pa.RecordBatch.from_pydict({"item_id": [r[0] for r in rows], "text": [r[1] for r in rows]})], 1 << 40)).lowered()
         words = chunk.words
         self.ids = [rows[k][0] for k in np.flatnonzero(words.counts)]
         self.words = [words.hashes[words.first[k] : words.first[k + 1]] for k in np.flatnonzero(words.counts)]
         self.shingles = [np.unique(grams(h)) for h in self.words]
-        every, df = np.unique(np.concatenate(self.shingles), return_counts=True)
+        self.every = np.unique(np.concatenate(self.shingles))
         # a shingle of many items says little; one of no item weighs like one of a single item
-        self.every, self.weights = every, np.log1p(len(self.ids) / df)
-        self.other = float(np.log1p(len(self.ids)))
-        self.weight_of = [float(self.weights[np.searchsorted(every, s)].sum()) for s in self.shingles]
+        self.common, self.weights = shared[0], np.log1p(n_items / shared[1])
+        self.other = float(np.log1p(n_items))
+        self.weight_of = [float(self.weigh(s).sum()) for s in self.shingles]
         self.short = sorted({len(h) for h in self.words if len(h) < SHINGLE})
         by_size: dict[int, list[int]] = {}
         for k, h in enumerate(self.words):
             by_size.setdefault(round(np.log(len(h)) / np.log(GROWTH)), []).append(k)
         self.classes = []
         for members in by_size.values():
-            size = min(int(np.median([len(self.words[k]) for k in members])), (1 << 15) - 1)
-            self.classes.append(SizeClass(size, max(len(self.words[k]) for k in members), members, np.array([simhash(self.words[k][: (1 << 15) - 1]) for k in members], _U)))
+            median = np.median([len(self.words[k]) for k in members])
+            prints = np.array([simhash(self.words[k][: (1 << 15) - 1]) for k in members], _U)
+            for size in sorted({min(max(1, round(median * by)), (1 << 15) - 1) for by in (1 / GROWTH, 1, GROWTH)}):
+                self.classes.append(SizeClass(size, max(len(self.words[k]) for k in members), members, prints))
 
     def weigh(self, shingles: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.every, shingles), len(self.every) - 1)
-        return np.where(self.every[at] == shingles, self.weights[at], self.other)
-
-    def best(self, k: int, h: np.ndarray) -> tuple[float, int]:
-        """The highest similarity of item k with as many words of h in a row, and where; the first of equals."""
-        m = len(self.words[k])
-        text, own = tx.gram_hashes(h, np.arange(max(0, len(h) - min(SHINGLE, m) + 1)), min(SHINGLE, m)), self.shingles[k]
+        if not len(self.common):
+            return np.full(len(shingles), self.other)
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.weights[at], self.other)
+
+    def best(self, k: int, h: np.ndarray) -> tuple[float, int, int]:
+        """The highest similarity of item k with a run of words of h, where it begins and its words; the first and shortest of equals.
+
+        A best run begins and ends with shingles of the item, so only these are tried, from each start with all ends at once.
+        """
+        own = self.shingles[k]
+        n = min(SHINGLE, len(self.words[k]))
+        text = tx.gram_hashes(h, np.arange(max(0, len(h) - n + 1)), n)
         inside = np.isin(text, own)
-        if self.weigh(np.unique(text[inside])).sum() < SIMILARITY * self.weight_of[k] - 1e-9:
-            return 0.0, 0
-        width, top = m - min(SHINGLE, m) + 1, (0.0, 0)
-        counts = np.concatenate([[0], np.cumsum(inside)])
-        starts = np.arange(max(1, len(text) - width + 1))
-        for a in starts[counts[np.minimum(starts + width, len(text))] - counts[starts] > 0].tolist():
-            part = np.unique(text[a : a + width])
-            both = self.weigh(part[np.isin(part, own)]).sum()
-            similarity = both / (self.weight_of[k] + self.weigh(part).sum() - both)
-            if similarity > top[0] + 1e-12:
-                top = float(similarity), a
+        whole, least = self.weight_of[k], SIMILARITY * self.weight_of[k] - 1e-9
+        if self.weigh(np.unique(text[inside])).sum() < least:
+            return 0.0, 0, 0
+        # the place before at which each shingle stood last: it counts once in a run
+        order = np.argsort(text, kind="stable")
+        same = text[order[1:]] == text[order[:-1]]
+        before = np.full(len(text), -1, np.int64)
+        before[order[1:][same]] = order[:-1][same]
+        weight = self.weigh(text)
+        top = (0.0, 0, 0)
+        for a in np.flatnonzero(inside).tolist():
+            new = np.where(before[a:] < a, weight[a:], 0.0)
+            both = np.cumsum(np.where(inside[a:], new, 0.0))
+            if both[-1] < least:
+                break
+            similarity = both / (whole + np.cumsum(new) - both)
+            at = int(np.argmax(similarity > similarity.max() - 1e-12))
+            if similarity[at] > top[0] + 1e-12:
+                top = float(similarity[at]), a, at + n
         return top
 
 
@@ -149,6 +169,7 @@ def leaks_of(chunk: tx.Chunk, bench: Benchmark) -> dict:
             keys, at = words.grams(size)
             known[at + 1] |= bench.every[np.minimum(np.searchsorted(bench.every, keys), len(bench.every) - 1)] == keys
         known = np.cumsum(known)
+        met = []
         for group in bench.classes:
             size = group.size
             step = max(1, size // SPACING)
@@ -160,7 +181,9 @@ def leaks_of(chunk: tx.Chunk, bench: Benchmark) -> dict:
             reach = step + group.longest
             low, high = np.maximum(start[window] - reach, words.first[doc[window]]), np.minimum(end[window] + reach, words.first[doc[window] + 1])
             some = known[high] > known[low]
-            _verify(bench, group.items[item[some]], doc[window[some]], low[some], high[some], words, out)
+            met.append((group.items[item[some]], doc[window[some]], low[some], high[some]))
+        # windows of all classes together, so that a passage is found once
+        _verify(bench, *(np.concatenate(x) for x in zip(*met, strict=True)), words, out)
     found = pa.RecordBatch.from_pydict(out | {"doc_id": chunk.batch.column(0).take(pa.array(out["doc_id"], pa.int64()))}, schema=LEAKS)
     return {name: found.column(name) for name in LEAKS.names}
 
@@ -175,14 +198,28 @@ def _verify(bench: Benchmark, item: np.ndarray, doc: np.ndarray, low: np.ndarray
         while j + 1 < len(item) and (item[j + 1], doc[j + 1]) == (item[k], doc[k]) and low[j + 1] <= end:
             j += 1
             end = max(end, high[j])
-        similarity, at = bench.best(item[k], words.hashes[low[k] : end])
+        similarity, at, size = bench.best(item[k], words.hashes[low[k] : end])
         if similarity >= SIMILARITY:
-            size = min(len(bench.words[item[k]]), end - low[k] - at)
             for name, value in zip(LEAKS.names, (doc[k], bench.ids[item[k]], int(low[k] + at - words.first[doc[k]]), size, similarity), strict=True):
                 out[name].append(value)
         k = j + 1
 
 
+def frequencies(benchmark: DataFrame) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """Items with words, and the shingles that more than one of them has with their numbers, sorted."""
+
+    def shingles(chunk: tx.Chunk) -> dict:
+        words = chunk.lowered().words
+        each = [np.unique(grams(words.hashes[words.first[k] : words.first[k + 1]])) for k in np.flatnonzero(words.counts)]
+        return {"shingle": tx.signed(np.concatenate(each)) if each else np.zeros(0, np.int64)}
+
+    items = tx.documents_of(benchmark, "item_id").filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    got = tx.map_chunks(items, shingles, SHINGLES).groupBy("shingle").count().filter("count > 1").toArrow()
+    keys = got["shingle"].to_numpy().view(_U)
+    order = np.argsort(keys)
+    return items.count(), (keys[order], got["count"].to_numpy()[order])
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     block: list = []
@@ -198,8 +235,9 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity) for each passage of a document that is a benchmark item.
 
-    Words are lower-cased in A-Z. A passage has at most as many words as the
-    item; start counts the document's words before it. Similarity is the
+    Words are lower-cased in A-Z. A passage is the run of words that is most
+    similar to the item, longer or shorter; start counts the document's words
+    before it. Similarity is the
     weighted Jaccard similarity of the sets of 5-word shingles, at least 0.75;
     a shingle weighs log(1 + items / items that have it), one of no item like
     one of a single item. Items of fewer words are one shingle; null, empty and
@@ -208,11 +246,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Columns other than those named are ignored; an empty table gives no rows.
     """
     docs = tx.documents_of(docs)
-    found = None
+    found = counts = None
     for rows in item_blocks(benchmark):
         if not any(text.strip(" \t\n\v\f\r") for _, text in rows):
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(rows))
+        counts = counts or frequencies(benchmark)
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(rows, *counts))
         one = tx.map_chunks(docs, lambda chunk, shared=shared: leaks_of(chunk, shared.value), LEAKS, CHUNK_BYTES)
         found = one if found is None else found.union(one)
     return docs.sparkSession.createDataFrame([], tx.ddl(LEAKS)) if found is None else found
