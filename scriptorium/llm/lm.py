@@ -1,24 +1,31 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a trigram model over all words, bigrams and trigrams that occur
-at least twice in the training texts, at every size of the corpus. Its n-grams
-are states; a state has an arc for each word that was kept after it and one
-failure arc, weighted by the probability that it leaves over, to the state of
-the next shorter history. The root gives each word its add-one unigram
-probability. All probabilities of a history sum to 1.
-
-The weight of a path is a sum over its n-grams: each has a value, what it
-changes against the path without it, and the score of a text is the sum of the
-values of all its words, bigrams and trigrams. So the n-grams and their values
-stay a distributed table, and a text meets it by a join. Only values of the
-most frequent n-grams are broadcast, under the bound HEAD; all others have the
-join. N-grams are named by 64-bit hashes.
+The model is a trigram model, smoothed by absolute discounts, over all words,
+and all bigrams and trigrams that occur at least twice in the training texts,
+at every size of the corpus. Its n-grams are states; a state has an arc for
+each word that was kept after it, weighted by the word's probability, and one
+failure arc, weighted by what the discounts set free, to the state of the next
+shorter history. The root gives each word its add-one unigram probability. An
+arc's probability has its share of the failure path, so all probabilities of a
+history sum to 1.
+
+The weight of a path from left to right is a sum over its n-grams: each has a
+value, what it changes against the path without it, and the score of a text is
+the sum of the values of all its words, bigrams and trigrams. So the automaton
+stays a distributed table, and a text meets it by a join. Values of the most
+frequent n-grams are broadcast, under the bound HEAD; all others have the join.
+
+N-grams are named by 64-bit hashes. They travel as packed arrays, one row for
+each bucket of keys and slice of text, since there is about one n-gram for each
+word of the corpus. Buckets are as many as the corpus asks for, and each task
+takes its buckets one by one.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +35,25 @@ from pyspark.sql import functions as F
 from scriptorium.llm import text as tx
 from scriptorium.llm.store import forget, stored
 
-#: Kept are n-grams that occur twice; only a caller that asks for fewer arcs gets a higher bound.
-ARCS, HEAD = 1 << 62, 4_000_000
-#: Keys of a join that are met by broadcast, since one task would get all rows of each; and parts of the keys, a power of two, for disk.
-HOT, ROUNDS = 10_000, 4
-DISCOUNT = 0.5
-#: Distinct keys that a task keeps before it hands on its counts.
-HELD = 1_500_000
-
-END = tx.mix(np.array([0xE07E5D], np.uint64))[0]
-
-COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+#: Bound of the broadcast part: an n-gram is in it if it makes up 1/HEAD of the tokens.
+HEAD = 4_000_000
+#: Parts of the keys that are scored one after the other, a power of two, so that only a part is on disk at once.
+ROUNDS = 2
+DISCOUNT, LEAST = 0.5, 2
+#: Text whose n-grams are counted together, and bytes of text for each bucket; the least number of buckets.
+GRAM_BYTES, BUCKET_BYTES, BUCKETS = 8 << 20, 12 << 20, 48
+#: log2 of the bits of a filter of keys, whatever their number: with too many keys it lets more pass, never less.
+FILTER_BITS = 27
+
+_U = np.uint64
+END = tx.mix(np.array([0xE07E5D], _U))[0]
+
+PACKED = pa.schema([("size", pa.int32()), ("bucket", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.binary())])
+GRAMS = pa.schema([("size", pa.int32()), ("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+TABLE = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("value", pa.float64())])
+ASKED = pa.schema([("bucket", pa.int32()), ("asks", pa.bool_()), ("keys", pa.binary()), ("n", pa.binary()), ("value", pa.binary()), ("at", pa.binary()), ("rows", pa.binary())])
+SUMS = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("value", pa.float64())])
 SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
-RARE = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("n", pa.int64())])
-GRAMS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
-KEYED = GRAMS.append(pa.field("key", pa.int64()))
-#: Text whose n-grams are counted together before they are dealt out.
-GRAM_BYTES = 8 << 20
 
 
 def tokens_of(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -53,52 +62,22 @@ def tokens_of(chunk: tx.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.hashes, words.first[1:], END), np.insert(words.doc, words.first[1:], np.arange(len(chunk)))
 
 
-class Tally:
-    """Counts of 64-bit keys in bounded memory; what is taken out may name a key more than once."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, n: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        if n is None:
-            keys, n = np.unique(keys, return_counts=True)
-        self.parts.append((keys, n))
-        self.size += len(keys)
-        if self.size > HELD:
-            keys, n = self.merged()
-            if len(keys) > HELD // 2:
-                yield from self.out(keys, n)
-            else:
-                self.parts, self.size = [(keys, n)], len(keys)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[new], np.add.reduceat(n, new) if len(new) else n
-
-    def out(self, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts, self.size = [], 0
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_pydict({"key": tx.signed(keys[at : at + 100_000]), "n": n[at : at + 100_000].astype(np.int64)}, schema=COUNTS)
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.parts:
-            yield from self.out(*self.merged())
+def key_of(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """The key of an n-gram, from the keys of it without its last and without its first word."""
+    return tx.mix(tx.mix(left + _U(size)) + right)
 
 
-def counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over all documents, for the keys that keys_of finds in a chunk."""
+def runs(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """Keys of the runs of 1, 2, .. size tokens from each place on, across documents too. A word's key is its hash."""
+    out = [hashes]
+    for n in range(2, size + 1):
+        out.append(key_of(out[-1][:-1], out[-1][1:], n))
+    return out
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for chunk in tx.slices(batches):
-            yield from tally.add(keys_of(chunk))
-        yield from tally.rest()
 
-    return docs.mapInArrow(run, tx.ddl(COUNTS)).groupBy("key").agg(F.sum("n").alias("n"))
+def places(doc: np.ndarray, size: int) -> np.ndarray:
+    """Where the runs of size tokens begin that lie in one document."""
+    return np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
 
 
 def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -109,90 +88,6 @@ def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == keys, at, -1)
 
 
-class Automaton:
-    """States and arcs as sorted arrays, for one machine: what the distributed values must agree with.
-
-    words, singles: hashes and counts of the frequent words, whose places are their numbers.
-    pairs: number1 << 32 | number2, with p and the failure weight of the state of both words.
-    triples: place of the pair << 32 | number3, with p.
-    """
-
-    def __init__(self, words: np.ndarray, singles: np.ndarray, n: int, v: int):
-        self.words, self.singles, self.total = words, singles, n + v + 1
-        self.unigram = np.log10((singles + 1.0) / self.total)
-        self.fail1 = np.zeros(len(words))
-        self.pairs = self.triples = np.zeros(0, np.int64)
-        self.pair_n = np.zeros(0, np.int64)
-        self.pair_p = self.triple_p = self.fail2 = np.zeros(0)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        return found(self.words, hashes)
-
-    def pairs_in(self, number: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """For each token but the first its pair key with the token before, or -1."""
-        a, b = number[:-1], number[1:]
-        return np.where((a >= 0) & (b >= 0) & (doc[:-1] == doc[1:]), a << 32 | b, -1)
-
-    def triples_in(self, pair: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """For each token but two its triple key, or -1; pair has the place of each pair, or -1."""
-        return np.where((pair[:-1] >= 0) & (pair[1:] >= 0), pair[:-1] << 32 | number[2:], -1)
-
-    def set_pairs(self, keys: np.ndarray, n: np.ndarray) -> None:
-        first, second = keys >> 32, keys & 0xFFFFFFFF
-        p = (n - DISCOUNT) / self.singles[first]
-        lower = (self.singles[second] + 1.0) / self.total
-        self.pairs, self.pair_n, self.pair_p = keys, n, np.log10(p)
-        self.fail1 = _failure(first, p, lower, len(self.words))
-        self.fail2 = np.zeros(len(keys))
-
-    def set_triples(self, keys: np.ndarray, n: np.ndarray) -> None:
-        pair, third = keys >> 32, keys & 0xFFFFFFFF
-        p = (n - DISCOUNT) / self.pair_n[pair]
-        lower = 10.0 ** self.pair_p[found(self.pairs, (self.pairs[pair] & 0xFFFFFFFF) << 32 | third)]
-        self.triples, self.triple_p = keys, np.log10(p)
-        self.fail2 = _failure(pair, p, lower, len(self.pairs))
-
-    def walk(self, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 weight of the path at each token, whether it ends with the root's arc for a word without a number).
-
-        The state before a token is the longest kept suffix of the words before
-        it. Since suffixes of states are states, failure arcs visit just the
-        shorter suffixes, and the traversal can be laid out over all tokens at
-        once: the pair before, the word before, the root.
-        """
-        number = self.numbers(hashes)
-        size = len(number)
-        pair, triple = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        if size > 1:
-            pair[1:] = found(self.pairs, self.pairs_in(number, doc))
-        if size > 2:
-            triple[2:] = found(self.triples, self.triples_in(pair[1:], number))
-            triple[2:][pair[1:-1] < 0] = -1
-        before1, before2 = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        same = doc[1:] == doc[:-1]
-        before1[1:] = np.where(same, number[:-1], -1)
-        before2[1:] = np.where(same, pair[:-1], -1)
-        weight = np.zeros(size)
-        by_triple = triple >= 0
-        weight[by_triple] = self.triple_p[triple[by_triple]]
-        down = ~by_triple & (before2 >= 0)
-        weight[down] += self.fail2[before2[down]]
-        by_pair = ~by_triple & (pair >= 0)
-        weight[by_pair] += self.pair_p[pair[by_pair]]
-        root = ~by_triple & ~by_pair
-        down = root & (before1 >= 0)
-        weight[down] += self.fail1[before1[down]]
-        known = root & (number >= 0)
-        weight[known] += self.unigram[number[known]]
-        return weight, root & (number < 0)
-
-
-def _failure(state: np.ndarray, p: np.ndarray, lower: np.ndarray, size: int) -> np.ndarray:
-    """log10 of what a state leaves over, on what its kept words leave over one order lower."""
-    left = np.maximum(1 - np.bincount(state, p, size), 1e-9)
-    return np.log10(left / np.maximum(1 - np.bincount(state, lower, size), 1e-9))
-
-
 def held_out_docs(docs: DataFrame) -> DataFrame:
     """(doc_id, text, row, held_out); row names a row's contents, a null doc_id is crc32 of no bytes."""
     docs = tx.documents_of(docs)
@@ -200,56 +95,92 @@ def held_out_docs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), (crc % 7 == 2).alias("held_out"))
 
 
-def grams_of(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, places of the first words) of the runs of size tokens in one document.
+# --- filters of keys ---
 
-    A word's key is its hash, any other comes from the keys without the last and without the first word.
-    """
-    keys = hashes
-    for n in range(2, size + 1):
-        keys = key_of(keys[:-1], keys[1:], n)
-    at = np.flatnonzero(doc[: len(keys)] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
-    return keys[at], at
 
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that has a bit of each key(bigint)."""
+    placed = keys.select((F.shiftrightunsigned("key", 64 - FILTER_BITS) + 1).alias("place"))
+    parts = placed.groupBy(F.expr("bitmap_bucket_number(place)").alias("part"))
+    got = parts.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
+    for part, bits in zip(got["part"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        out[(part - 1) * 4096 : part * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys >> _U(64 - FILTER_BITS)
+    return (bits[place >> _U(3)] >> (place & _U(7)).astype(np.uint8) & 1).astype(bool)
 
-def key_of(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
-    return tx.mix(tx.mix(left + np.uint64(size)) + right)
 
+# --- counts ---
 
-def in_round(keys: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    return keys % np.uint64(rounds) == k
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Rising with the key."""
+    return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
 
-def _kept_part(train: DataFrame, size: int, least: int, k: int, rounds: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def cuts(sorted_keys: np.ndarray, buckets: int) -> np.ndarray:
+    return np.searchsorted(bucket_of(sorted_keys, buckets), np.arange(buckets + 1))
+
+
+def by_bucket(df: DataFrame, buckets: int, *order: str) -> DataFrame:
+    return df.repartition(buckets, *order[:1]).sortWithinPartitions(*order)
+
+
+def numbers(packed: Iterable, dtype: type) -> np.ndarray:
+    parts = [np.frombuffer(x, dtype) for x in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def counted(train: DataFrame, sizes: tuple[int, ...], buckets: int, asked: Callable | None = None) -> DataFrame:
+    """(size, key, left, right, n) of all words, and of the longer runs that occur LEAST times or more.
+
+    left and right are the keys without the last and the first word, of a word
+    itself and 0. `asked` returns a filter that left and right must pass.
+    """
+
+    def dealt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tx.slices(batches, GRAM_BYTES):
             hashes, doc = tokens_of(chunk)
-            keys, at = grams_of(hashes, doc, size)
-            mine = in_round(keys, k, rounds)
-            _, first, n = np.unique(keys[mine], return_index=True, return_counts=True)
-            at = at[mine][first]
-            shorter = hashes if size == 2 else key_of(hashes[:-1], hashes[1:], 2)
-            for lo in range(0, len(at), 100_000):
-                part = at[lo : lo + 100_000]
-                yield pa.RecordBatch.from_pydict({"left": tx.signed(shorter[part]), "right": tx.signed(shorter[part + 1]), "n": n[lo : lo + 100_000].astype(np.int64)}, schema=GRAMS)
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(c).to_numpy().view(np.uint64) for c in ("left", "right"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tx.signed(key_of(left, right, size)))], schema=KEYED)
-
-    counts = train.mapInArrow(run, tx.ddl(GRAMS)).groupBy("left", "right").agg(F.sum("n").alias("n"))
-    return stored(counts.filter(F.col("n") >= least).mapInArrow(keyed, tx.ddl(KEYED)))
-
-
-def kept_grams(train: DataFrame, size: int, least: int) -> DataFrame:
-    """(left, right, n, key) of the runs of size tokens that occur at least least times; left and right are the keys without the last and the first word."""
-    out, rounds = None, ROUNDS // 2
-    for k in range(rounds):
-        one = _kept_part(train, size, least, k, rounds)
-        _free(train)
-        out = one if out is None else out.union(one)
-    return out
+            all_keys = runs(hashes, max(sizes))
+            for size in sizes:
+                at = places(doc, size)
+                parts_of = all_keys[size - 2] if size > 1 else hashes
+                if asked is not None:
+                    good = passes(asked(), parts_of)
+                    at = at[good[at] & good[at + 1]]
+                if not len(at):
+                    continue
+                keys = all_keys[size - 1][at]
+                order = np.argsort(keys)
+                new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+                first, n = at[order[new]], np.diff(new, append=len(keys)).astype(np.int32)
+                cut = cuts(keys[order[new]], buckets)
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                columns = {"left": parts_of[first], "right": parts_of[first + 1] if size > 1 else np.zeros(len(first), _U), "n": n}
+                packed = {name: [x[cut[b] : cut[b + 1]].tobytes() for b in full] for name, x in columns.items()}
+                yield pa.RecordBatch.from_pydict({"size": [size] * len(full), "bucket": full} | packed, schema=PACKED)
+
+    def summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r["bucket"], r["size"], r) for batch in batches for r in batch.to_pylist())
+        for (_, size), group in groupby(rows, key=lambda x: x[:2]):
+            left, right, n = zip(*[(r["left"], r["right"], r["n"]) for _, _, r in group], strict=True)
+            left, right, n = numbers(left, _U), numbers(right, _U), numbers(n, np.int32)
+            keys = key_of(left, right, size) if size > 1 else left
+            order = np.argsort(keys)
+            new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+            n = np.add.reduceat(n[order].astype(np.int64), new)
+            keep = np.flatnonzero(n >= (LEAST if size > 1 else 1))
+            n, pick = n[keep], order[new[keep]]
+            for lo in range(0, len(pick), 100_000):
+                part = pick[lo : lo + 100_000]
+                yield pa.RecordBatch.from_pydict({"size": np.full(len(part), size, np.int32), "key": tx.signed(keys[part]), "left": tx.signed(left[part]), "right": tx.signed(right[part]), "n": n[lo : lo + 100_000]}, schema=GRAMS)
+
+    rows = train.mapInArrow(dealt, tx.ddl(PACKED))
+    return stored(by_bucket(rows, buckets, "bucket", "size").mapInArrow(summed, tx.ddl(GRAMS)))
 
 
 def _free(df: DataFrame) -> None:
@@ -258,59 +189,81 @@ def _free(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def fetched(df: DataFrame, on: str, table: DataFrame, hot) -> DataFrame:
-    """df joined with the row of its key, of which each is in table; the few keys that hot picks are broadcast."""
-    table = table.withColumnRenamed("key", on)
-    few = F.broadcast(table.filter(hot))
-    columns = [*df.columns, *(c for c in table.columns if c not in df.columns and c != "weight")]
-    rest = df.join(F.broadcast(table.filter(hot).select(on)), on, "left_anti").join(table.filter(~hot), on)
-    return df.join(few, on).select(columns).union(rest.select(columns))
+# --- the automaton ---
 
 
-def _failures(arcs: DataFrame) -> DataFrame:
-    """(key, fail, weight) of the states: log10 of what a state leaves over, on what its kept words leave over one order lower; weight is its number of arcs."""
-    left = lambda name: F.greatest(1 - F.sum(name), F.lit(1e-9))
-    return stored(arcs.groupBy(F.col("left").alias("key")).agg(F.log10(left("p") / left("low")).alias("fail"), F.count("*").alias("weight")))
+def automaton(train: DataFrame, buckets: int) -> tuple[int, int, DataFrame]:
+    """(tokens, distinct tokens, (key, n, value) of all words and of the kept n-grams); n is 0 but for words.
 
-
-def values(train: DataFrame, singles: DataFrame, n: int, v: int, arcs: int = ARCS) -> DataFrame:
-    """(key, n, known, base, value) of all words and of the kept n-grams of the training texts; n tokens, v distinct, singles their counts.
-
-    base is log10(n + 1) of a word and 0 of others. What log10(n + v + 1) takes from each word of a text is left to the reader.
+    Large partitions of the joins, those of frequent histories, are split at run time.
     """
-    least, total = max(2, -(-n // arcs)), float(n + v + 1)
-    hot = F.col("weight") >= -(-n // HOT)
-    of_word = singles.select("key", F.col("n").alias("c"), F.col("n").alias("weight"))
-    pairs = kept = kept_grams(train, 2, least)
-    pairs = fetched(pairs, "left", of_word, hot).select("key", "left", "right", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"))
-    pairs = stored(fetched(pairs, "right", of_word, hot).withColumn("low", (F.col("c") + 1.0) / total).drop("c"))
-    forget(kept)
-    fail1 = _failures(pairs)
-    many = F.col("weight") >= max(1, -(-n // HOT))
-    # failure of the first word and the root's arc, which a kept pair replaces
-    plain = fetched(pairs, "left", fail1, many).select("key", "n", "p", (F.log10("p") - F.col("fail") - F.log10("low")).alias("value"))
-
-    triples = kept = kept_grams(train, 3, least)
-    of_pair = pairs.select("key", F.col("n").alias("c"), F.col("p").alias("low"), F.col("n").alias("weight"))
-    triples = fetched(triples, "left", of_pair.drop("low"), hot).select("key", "left", "right", "n", ((F.col("n") - DISCOUNT) / F.col("c")).alias("p"))
-    triples = stored(fetched(triples, "right", of_pair.drop("c"), hot))
-    forget(kept)
-    fail2 = _failures(triples)
-    third = fetched(triples, "left", fail2, many).select("key", "n", (F.log10("p") - F.col("fail") - F.log10("low")).alias("value"))
-
-    fail = lambda df, table: df.join(table.select("key", "fail"), "key", "left").withColumn("value", F.col("value") + F.coalesce("fail", F.lit(0.0)))
-    words = fail(singles.withColumn("base", F.log10(F.col("n") + 1.0)).withColumn("value", F.col("base")), fail1)
-    none = F.lit(0.0).alias("base")
-    out = words.select("key", "n", F.lit(1).alias("known"), "base", "value")
-    for other in (fail(plain, fail2), third):
-        out = out.union(other.select("key", "n", F.lit(0).alias("known"), none, "value"))
-    out = stored(out)
-    for done in (singles, pairs, triples, fail1, fail2):
+    short = counted(train, (1, 2), buckets)
+    singles, pairs = short.filter("size = 1").select("key", "n"), short.filter("size = 2").select("key", "left", "right", "n")
+    n, v = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    _free(train)
+    among = train.sparkSession.sparkContext.broadcast(key_filter(pairs.select("key")))
+    triples = counted(train, (3,), buckets, lambda: among.value)
+    _free(train)
+
+    # what the discounts of a history's arcs set free is what the arcs don't have
+    taken = lambda arcs: arcs.groupBy(F.col("left").alias("key")).agg(F.sum(F.col("n") - DISCOUNT).alias("taken"))
+    free = 1 - F.coalesce(F.col("taken"), F.lit(0.0)) / F.col("n")
+    root = lambda c: (F.col(c) + 1.0) / float(n + v + 1)
+    words = stored(singles.join(taken(pairs), "key", "left").select("key", "n", free.alias("free")))
+    history = lambda of: of.select(F.col("key").alias("left"), F.col("n").alias("c"), F.col("free").alias("spare"))
+    arc = lambda: (F.col("n") - DISCOUNT) / F.col("c") + F.col("spare") * F.col("low")
+    gain = F.log10("p") - F.log10(F.col("spare") * F.col("low"))
+
+    pairs = pairs.join(history(words), "left").join(words.select(F.col("key").alias("right"), root("n").alias("low")), "right")
+    pairs = pairs.withColumn("p", arc()).select("key", "n", "p", gain.alias("gain"))
+    pairs = stored(pairs.join(taken(triples), "key", "left").select("key", "n", "p", "gain", free.alias("free")))
+    forget(short)
+    longer = triples.join(history(pairs), "left").join(pairs.select(F.col("key").alias("right"), F.col("p").alias("low")), "right").withColumn("p", arc())
+    # all n-grams of a text but those that end it are followed by a token, which pays for the failure arc first
+    table = words.select("key", "n", (F.log10(F.col("n") + 1.0) + F.log10("free")).alias("value"), F.col("n").alias("weight"))
+    table = table.union(pairs.select("key", F.lit(0), F.col("gain") + F.log10("free"), "n"))
+    table = stored(table.union(longer.select("key", F.lit(0), gain, "n")))
+    for done in (words, pairs, triples):
         forget(done)
-    return out
-
-
-def scores(docs: DataFrame, arcs: int = ARCS, head: int = HEAD) -> DataFrame:
+    _free(train)
+    return n, v, table
+
+
+def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the values that rows ask for; within a bucket the table comes first."""
+    rows = ((r["bucket"], r["asks"], r) for batch in batches for r in batch.to_pylist())
+    table, asking = (np.zeros(0, _U), np.zeros(0), np.zeros(0)), None
+    for (bucket, asks), group in groupby(rows, key=lambda x: x[:2]):
+        if not asks:
+            packed = [r for _, _, r in group]
+            columns = [numbers([r[name] for r in packed], dtype) for name, dtype in (("keys", _U), ("n", np.int64), ("value", np.float64))]
+            order = np.argsort(columns[0])
+            table, asking = tuple(x[order] for x in columns), bucket
+            continue
+        if asking != bucket:
+            continue
+        for _, _, r in group:
+            place = found(table[0], np.frombuffer(r["keys"], _U))
+            hit = np.flatnonzero(place >= 0)
+            at, ids, place = np.frombuffer(r["at"], np.int32)[hit], np.frombuffer(r["rows"], np.int64), place[hit]
+            n, value = table[1][place], table[2][place]
+            some = np.flatnonzero(np.bincount(at, minlength=len(ids)))
+            sums = [np.bincount(at, x, len(ids))[some] for x in (n > 0, np.log10(n + 1.0), value)]
+            yield pa.RecordBatch.from_pydict({"row": ids[some], "known": sums[0].astype(np.int64), "base": sums[1], "value": sums[2]}, schema=SUMS)
+
+
+def _packed_table(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = batch.column("key").to_numpy().view(_U)
+        order = np.argsort(keys)
+        cut = cuts(keys[order], buckets)
+        full = np.flatnonzero(np.diff(cut)).tolist()
+        columns = [x[order] for x in (keys, batch.column("n").to_numpy(), batch.column("value").to_numpy())]
+        parts = {name: [x[cut[b] : cut[b + 1]].tobytes() for b in full] for name, x in zip(("keys", "n", "value"), columns, strict=True)}
+        yield pa.RecordBatch.from_pydict({"bucket": full, "asks": [False] * len(full), "at": [b""] * len(full), "rows": [b""] * len(full)} | parts, schema=ASKED)
+
+
+def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     """Base and model log10 probabilities of each text; learnt from the documents that aren't held out.
 
     One row for each row: doc_id, held_out, n_tokens, n_known, train_tokens,
@@ -321,61 +274,79 @@ def scores(docs: DataFrame, arcs: int = ARCS, head: int = HEAD) -> DataFrame:
     """
     docs = held_out_docs(docs)
     train = docs.filter("not held_out").select("doc_id", "text")
-    singles = stored(counted(train, lambda chunk: tokens_of(chunk)[0]))
-    n, v = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    table = values(train, singles, n, v, arcs)
-    _free(docs)
-    heavy = F.col("n") >= -(-n // head)
-    got = table.filter(heavy).drop("n").toArrow()
-    keys = got["key"].to_numpy().view(np.uint64)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(BUCKETS, -(-size // BUCKET_BYTES))
+    n, v, table = automaton(train, buckets)
+    heavy = F.col("weight") >= max(1, -(-n // head))
+    got = table.filter(heavy).select("key", "n", "value").toArrow()
+    keys = got["key"].to_numpy().view(_U)
     order = np.argsort(keys)
-    common = docs.sparkSession.sparkContext.broadcast((keys[order], *(got[c].to_numpy()[order] for c in ("known", "base", "value"))))
+    context = docs.sparkSession.sparkContext
+    common = context.broadcast((keys[order], got["n"].to_numpy()[order], got["value"].to_numpy()[order]))
+    tail = table.filter(~heavy).select("key", "n", "value")
+    among = context.broadcast(key_filter(tail.select("key")))
     root = float(np.log10(n + v + 1))
+    # a bucket of the tail is held by one task: they are larger, since a row of sums comes from each
+    wide = max(BUCKETS, buckets // 8)
 
     def score(chunk: tx.Chunk) -> dict:
-        keys, *columns = common.value
+        keys, n, value = common.value
         hashes, doc = tokens_of(chunk)
         n_tokens = np.bincount(doc, minlength=len(chunk)).astype(np.int64)
-        known, base, value = np.zeros((3, len(chunk)))
+        known, base, model = np.zeros((3, len(chunk)))
+        every = runs(hashes, 3)
         for size in (1, 2, 3):
-            grams, at = grams_of(hashes, doc, size)
-            place = found(keys, grams)
+            at = places(doc, size)
+            place = found(keys, every[size - 1][at])
             here, place = doc[at[place >= 0]], place[place >= 0]
-            for total, column in zip((known, base, value), columns, strict=True):
-                total += np.bincount(here, column[place], len(chunk))
-        return {"row": chunk.batch.column(2), "doc_id": chunk.batch.column(0), "held_out": chunk.batch.column(3), "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base - root * n_tokens, "model": value - root * n_tokens}
-
-    def rare(chunk: tx.Chunk, k: int) -> dict:
-        hashes, doc = tokens_of(chunk)
-        keys, docs_ = [], []
-        for size in (1, 2, 3):
-            grams, at = grams_of(hashes, doc, size)
-            mine = in_round(grams, k, ROUNDS)
-            grams, at = grams[mine], at[mine]
-            out = found(common.value[0], grams) < 0
-            keys.append(grams[out])
-            docs_.append(doc[at[out]])
-        keys, where = np.concatenate(keys), np.concatenate(docs_)
-        order = np.lexsort((keys, where))
-        keys, where = keys[order], where[order]
-        new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (where[1:] != where[:-1]))) if len(where) else np.zeros(0, np.int64)
-        return {"key": tx.signed(keys[new]), "row": chunk.batch.column(2).take(pa.array(where[new])), "n": np.diff(new, append=len(where))}
+            for total, column in ((known, n[place] > 0), (base, np.log10(n[place] + 1.0)), (model, value[place])):
+                total += np.bincount(here, column, len(chunk))
+        return {"row": chunk.batch.column(2), "doc_id": chunk.batch.column(0), "held_out": chunk.batch.column(3), "n_tokens": n_tokens, "n_known": known.astype(np.int64), "base": base - root * n_tokens, "model": model - root * n_tokens}
+
+    def asking(k: int) -> Callable:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk in tx.slices(batches, GRAM_BYTES):
+                hashes, doc = tokens_of(chunk)
+                keys, where, every = [], [], runs(hashes, 3)
+                for size in (1, 2, 3):
+                    at = places(doc, size)
+                    grams = every[size - 1][at]
+                    some = np.flatnonzero(grams % _U(ROUNDS) == k)
+                    some = some[passes(among.value, grams[some])]
+                    some = some[found(common.value[0], grams[some]) < 0]
+                    keys.append(grams[some])
+                    where.append(doc[at[some]].astype(np.int32))
+                keys, where = np.concatenate(keys), np.concatenate(where)
+                order = np.argsort(keys)
+                keys, where, ids = keys[order], where[order], chunk.batch.column(2).to_numpy()
+                cut = cuts(keys, wide)
+                rows: dict[str, list] = {name: [] for name in ASKED.names}
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    named, at = np.unique(where[cut[b] : cut[b + 1]], return_inverse=True)
+                    for name, x in zip(ASKED.names, (b, True, keys[cut[b] : cut[b + 1]].tobytes(), b"", b"", at.astype(np.int32).tobytes(), ids[named].tobytes()), strict=True):
+                        rows[name].append(x)
+                yield pa.RecordBatch.from_pydict(rows, schema=ASKED)
+
+        return run
 
     def met(k: int) -> DataFrame:
-        rows = tx.map_chunks(docs, lambda chunk: rare(chunk, k), RARE).join(table.filter(~heavy & (F.col("key").bitwiseAND(ROUNDS - 1) == k)).drop("n"), "key")
-        return stored(rows.groupBy("row").agg(*[F.sum(F.col("n") * F.col(c)).alias(c) for c in ("known", "base", "value")]))
+        mine = tail.filter(F.pmod("key", F.lit(ROUNDS)) == k).mapInArrow(lambda batches: _packed_table(batches, wide), tx.ddl(ASKED))
+        asked = docs.mapInArrow(asking(k), tx.ddl(ASKED))
+        answers = by_bucket(mine.union(asked), wide, "bucket", "asks").mapInArrow(_answers, tx.ddl(SUMS))
+        return stored(answers.groupBy("row").agg(*[F.sum(c).alias(c) for c in SUMS.names[1:]]))
 
-    tail = None
+    rare = None
     for k in range(ROUNDS):
         one = met(k)
         _free(docs)
-        tail = one if tail is None else tail.union(one)
-    # repeated rows give the same n-grams again, which are to count once for their row
+        rare = one if rare is None else rare.union(one)
+    forget(table)
+    # repeated rows ask for the same n-grams again, which are to count once for their row
     times = docs.groupBy("row").agg(F.count("*").alias("times"))
-    tail = tail.groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in ("known", "base", "value")]).join(times, "row")
+    rare = rare.groupBy("row").agg(*[F.sum(c).alias(f"rare_{c}") for c in SUMS.names[1:]]).join(times, "row")
     part = lambda name: F.coalesce(F.col(f"rare_{name}") / F.col("times"), F.lit(0))
     scored = tx.map_chunks(docs, score, SCORES)
-    return scored.join(tail, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -41,6 +41,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: The longest span that is hashed by eights, and masks that keep the first bytes of eight.
+SHORT = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 _BYTE = mix(np.arange(1, 257, dtype=_U))
 _powers = np.ones(1, _U)
 
@@ -55,17 +58,32 @@ def powers(n: int) -> np.ndarray:
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end]; the empty span hashes to mix(0)."""
+    """64-bit hashes of buf[start:end]; the empty span hashes to mix(0).
+
+    Short spans are taken eight bytes at a time, long ones byte by byte as a polynomial: a span's length decides.
+    """
     lens = ends - starts
     out = np.zeros(len(lens), _U)
-    full = np.flatnonzero(lens)
-    if len(full):
-        n, s = lens[full], starts[full]
+    long = np.flatnonzero(lens > SHORT)
+    if len(long):
+        n, s = lens[long], starts[long]
         at = np.cumsum(n) - n
         within = np.arange(int(n.sum())) - np.repeat(at, n)
         part = _BYTE[buf[within + np.repeat(s, n)]]
         part *= powers(int(n.max()))[within]
-        out[full] = np.add.reduceat(part, at) + n.astype(_U)
+        out[long] = np.add.reduceat(part, at) + n.astype(_U)
+    short = np.flatnonzero((lens > 0) & (lens <= SHORT)) if len(long) or not lens.all() else np.arange(len(lens))
+    if len(short):
+        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+        n, s = lens[short], starts[short]
+        acc, live = n.astype(_U) * _BASE, np.arange(len(n))
+        for k in range(0, int(n.max()), 8):
+            live = live[n[live] > k] if k else live
+            piece = eight[s[live] + k] & _FIRST_BYTES[np.minimum(n[live] - k, 8)]
+            piece = (acc[live] ^ piece) * _GRAM
+            acc[live] = piece ^ (piece >> _U(32))
+        out[short] = acc
     return mix(out)
 
 

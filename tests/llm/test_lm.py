@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,6 @@ import numpy as np
 import pytest
 
 from scriptorium.llm import lm
-from scriptorium.llm import text as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -22,53 +22,49 @@ def held(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
 
 
-def brute(rows, arcs=lm.ARCS):
-    """Base and model scores with dictionaries, walking one token after the other."""
-    train = [tokens(t) for i, t in rows if not held(i)]
-    c1 = Counter(x for t in train for x in t)
-    n, v = sum(c1.values()), len(c1)
-    least = max(2, -(-n // arcs))
-    words = {w for w, c in c1.items() if c >= least}
-    c2 = Counter(g for t in train for g in zip(t, t[1:], strict=False) if words.issuperset(g))
-    c2 = {g: c for g, c in c2.items() if c >= least}
-    c3 = Counter(g for t in train for g in zip(t, t[1:], t[2:], strict=False) if g[:2] in c2 and g[1:] in c2)
-    c3 = {g: c for g, c in c3.items() if c >= least}
-    p1 = lambda w: (c1[w] + 1) / (n + v + 1)
-    p2 = {g: (c - 0.5) / c1[g[0]] for g, c in c2.items()}
-    p3 = {g: (c - 0.5) / c2[g[:2]] for g, c in c3.items()}
-    left, low = Counter(), Counter()
-    for g, p in p2.items():
-        left[g[:1]] += p
-        low[g[:1]] += p1(g[1])
-    for g, p in p3.items():
-        left[g[:2]] += p
-        low[g[:2]] += p2[g[1:]]
-    fail = {s: (1 - left[s]) / (1 - low[s]) for s in left}
-    out = []
+class Model:
+    """The automaton with dictionaries."""
+
+    def __init__(self, train):
+        self.c1, self.c2, self.c3 = (Counter(g for t in train for g in zip(*(t[k:] for k in range(size)), strict=False)) for size in (1, 2, 3))
+        self.n, self.v = sum(self.c1.values()), len(self.c1)
+        self.c2, self.c3 = ({g: c for g, c in counts.items() if c >= 2} for counts in (self.c2, self.c3))
+        count, taken = self.c1 | self.c2, Counter()
+        for g, c in (self.c2 | self.c3).items():
+            taken[g[:-1]] += c - 0.5
+        self.fail = {g: 1 - taken[g] / c for g, c in count.items()}
+        p1 = {w: self.root(w) for w in self.c1}
+        p2 = {g: (c - 0.5) / count[g[:1]] + self.fail[g[:1]] * p1[g[1:]] for g, c in self.c2.items()}
+        p3 = {g: (c - 0.5) / count[g[:2]] + self.fail[g[:2]] * p2[g[1:]] for g, c in self.c3.items()}
+        self.arcs = p2 | p3
+
+    def root(self, w):
+        return (self.c1[w] + 1) / (self.n + self.v + 1)
+
+    def step(self, state, w):
+        """(weight of the path, next state)."""
+        weight, at = 1.0, state
+        while at and (*at, w) not in self.arcs:
+            weight *= self.fail[at]
+            at = at[1:]
+        weight *= self.arcs[*at, w] if at else self.root((w,))
+        state = (*state, w)[-2:]
+        while state and state not in self.fail:
+            state = state[1:]
+        return weight, state
+
+
+def brute(rows):
+    """Base and model scores, one token after the other."""
+    model, out = Model([tokens(t) for i, t in rows if not held(i)]), []
     for i, t in rows:
         state, score, base = (), 0.0, 0.0
         text = tokens(t)
         for w in text:
-            base += math.log10(p1(w))
-            at = state
-            while True:
-                if len(at) == 2 and (*at, w) in p3:
-                    score += math.log10(p3[*at, w])
-                    break
-                if len(at) == 1 and (*at, w) in p2:
-                    score += math.log10(p2[*at, w])
-                    break
-                if not at:
-                    score += math.log10(p1(w))
-                    break
-                score += math.log10(fail.get(at, 1.0))
-                at = at[1:]
-            state = (*state, w)[-2:]
-            if len(state) == 2 and state not in c2:
-                state = state[1:]
-            if state and state[-1] not in words:
-                state = ()
-        out.append(((i is None, i or 0), held(i), len(text), sum(c1[w] > 0 for w in text), n, base, score))
+            base += math.log10(model.root((w,)))
+            weight, state = model.step(state, w)
+            score += math.log10(weight)
+        out.append(((i is None, i or 0), held(i), len(text), sum(model.c1[w,] > 0 for w in text), model.n, base, score))
     return sorted(out, key=lambda r: (r[0], r[2], r[5]))
 
 
@@ -86,8 +82,22 @@ def test_equals_brute_force(which, request):
     close(lm.scores(docs).collect(), brute([tuple(r) for r in docs.select("doc_id", "text").collect()]))
 
 
-def test_rare_words_by_join_score_alike(tricky):
-    close(lm.scores(tricky, arcs=500, head=200).collect(), brute([tuple(r) for r in tricky.select("doc_id", "text").collect()], arcs=500))
+@pytest.mark.parametrize("head", [1, 200])
+def test_few_broadcast_values_score_alike(tricky, head, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKETS", 3)
+    close(lm.scores(tricky, head=head).collect(), brute([tuple(r) for r in tricky.select("doc_id", "text").collect()]))
+
+
+def test_a_full_filter_lets_all_pass(tricky, monkeypatch):
+    monkeypatch.setattr(lm, "passes", lambda bits, keys: keys == keys)
+    close(lm.scores(tricky, head=50).collect(), brute([tuple(r) for r in tricky.select("doc_id", "text").collect()]))
+
+
+def test_key_filter(spark):
+    keys = [-(1 << 63), -1, 0, 1, (1 << 63) - 1, *range(1 << 40, 1 << 60, 1 << 52)]
+    bits = lm.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert lm.passes(bits, np.array(keys, np.int64).view(np.uint64)).all() and np.bitwise_count(bits).sum() <= len(keys)
+    assert not lm.passes(bits, np.array([3 << 61], np.uint64)).any()
 
 
 def test_no_documents(no_documents):
@@ -100,20 +110,8 @@ def test_model_beats_the_base_on_held_out_texts(small):
 
 
 def test_probabilities_of_each_history_sum_to_one():
-    words = tx.mix(np.arange(1, 6, dtype=np.uint64))
-    words.sort()
-    counts = np.array([40, 30, 20, 10, 6])
-    model = lm.Automaton(words, counts, int(counts.sum()), 5)
-    pairs = np.array([0 << 32 | 1, 0 << 32 | 2, 1 << 32 | 0, 1 << 32 | 2, 2 << 32 | 0])
-    model.set_pairs(np.sort(pairs), np.array([9, 8, 7, 6, 5]))
-    model.set_triples(np.array([0 << 32 | 0, 2 << 32 | 1]), np.array([3, 4]))
-    for before in ([], [0], [1], [3], [0, 1], [1, 0], [4, 4]):
-        total = 1 / model.total  # an unseen word
-        for w in range(5):
-            h = words[np.array([*before, w])]
-            weight, unnumbered = model.walk(h, np.zeros(len(h), np.int64))
-            assert not unnumbered[-1]
-            total += 10 ** weight[-1]
-        fails = model.walk(np.append(words[np.array(before, np.int64)], np.uint64(7)), np.zeros(len(before) + 1, np.int64))
-        total += (10 ** fails[0][-1] - 1) / model.total
-        assert total == pytest.approx(1)
+    rng = random.Random(2)
+    model = Model([[*rng.choices("abcdef", [9, 5, 3, 2, 1, 1], k=30), END] for _ in range(9)])
+    for state in [(), *model.fail]:
+        if END not in state:
+            assert sum(model.step(state, w)[0] for w in [*"abcdef", END, "new"]) == pytest.approx(1)
