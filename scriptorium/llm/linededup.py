@@ -1,16 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-Documents meet through lines: a line of some words that stands once in a
-document links it with the first document that has this line. Pairs whose
-links are all common and too short to make a block are left aside; all others
-are aligned by patience diff, on line hashes, and the common blocks of enough
-words are deleted from the later document. A line has one first document, so a
-group of n documents gives at most n - 1 pairs for each of its lines.
+Documents meet through runs of lines: from each line on, the shortest run of
+consecutive lines that has BLOCK_WORDS words is named by a hash of its lines'
+hashes. A block that may be deleted begins with such a run, so documents
+without one in common need not be compared. Runs that most documents lack are
+the rare ones that link; one that several have links each of them with the
+first document that has it, so a group of n documents gives at most n - 1
+pairs for each of its runs, however frequent it is. Pairs are aligned by
+patience diff, on line hashes, and the common blocks of enough words are
+deleted from the later document. What is left of it is aligned again, so that
+blocks which moved are found too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -22,10 +27,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm import text as tx
 from scriptorium.llm.store import stored
 
-#: Words of a line that can link, and of a block that is deleted; lines of at most RARE documents link whatever their length.
-LINK_WORDS, BLOCK_WORDS, RARE = 3, 20, 100
+#: Words of a block that is deleted, and of the runs by which documents meet.
+BLOCK_WORDS = 20
 
-LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("once", pa.list_(pa.bool_()))])
+LINES = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("hashes", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
 GONE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("gone", pa.list_(pa.int32()))])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 RESULT_TEXT = RESULT.append(pa.field("text", pa.string()))
@@ -35,15 +40,21 @@ def _lines(chunk: tx.Chunk) -> dict:
     starts, ends, doc = chunk.lines
     hashes = tx.hash_spans(chunk.buf, starts, ends)
     words = np.searchsorted(chunk.words.starts, ends) - np.searchsorted(chunk.words.starts, starts)
-    keys = hashes ^ tx.mix(np.arange(1, len(chunk) + 1, dtype=np.uint64))[doc]
-    _, where, n = np.unique(keys, return_inverse=True, return_counts=True)
     size = np.bincount(doc, minlength=len(chunk))
+    before = np.concatenate([[0], np.cumsum(words)])
+    # the run from line k on ends before line end[k], if its document has so many words
+    end = np.searchsorted(before, before[:-1] + BLOCK_WORDS)
+    at = np.flatnonzero((words > 0) & (end <= np.cumsum(size)[doc]))
+    runs = tx.Prefixes(hashes).hash(at, end[at] - at)
+    mark = tx.mix(np.arange(1, len(chunk) + 1, dtype=np.uint64))[doc[at]]
+    _, first = np.unique(runs ^ mark, return_index=True)
+    first.sort()
     return {
         "doc_id": chunk.batch.column(0),
         "row": chunk.batch.column(2),
         "hashes": tx.ragged(tx.signed(hashes), size),
         "words": tx.ragged(words.astype(np.int32), size),
-        "once": tx.ragged(n[where] == 1, size),
+        "runs": tx.ragged(tx.signed(runs[first]), np.bincount(doc[at[first]], minlength=len(chunk))),
     }
 
 
@@ -97,19 +108,24 @@ def aligned(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def blocks_of(a: list, b: list, words: list[int]) -> list[int]:
-    """Places in b of the lines in common blocks of BLOCK_WORDS words or more."""
-    gone, run, total = [], [], 0
-    last = (-2, -2)
-    for x, y in [*aligned(a, b), (-2, -2)]:
-        if (x, y) != (last[0] + 1, last[1] + 1):
-            if total >= BLOCK_WORDS:
-                gone += run
-            run, total = [], 0
-        if y >= 0:
+    """Places in b of the lines in common blocks of BLOCK_WORDS words or more; what lies between them is aligned again."""
+    gone, parts = [], [(0, len(b))]
+    while parts:
+        low, high = parts.pop()
+        if sum(words[low:high]) < BLOCK_WORDS:
+            continue
+        found, run, last = [], [], (-2, -2)
+        for x, y in [*aligned(a, b[low:high]), (-2, -2)]:
+            if (x, y) != (last[0] + 1, last[1] + 1):
+                if sum(words[low + k] for k in run) >= BLOCK_WORDS:
+                    found.append((low + run[0], low + run[-1] + 1))
+                run = []
             run.append(y)
-            total += words[y]
-        last = (x, y)
-    return gone
+            last = (x, y)
+        if found:
+            gone += [k for i, j in found for k in range(i, j)]
+            parts += zip([low, *(j for _, j in found)], [*(i for i, _ in found), high], strict=True)
+    return sorted(gone)
 
 
 def _deleted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +161,11 @@ def _kept(chunk: tx.Chunk, with_text: bool) -> dict:
 def deletions(docs: DataFrame) -> DataFrame:
     """(doc_id, row, gone) of the documents that lose lines; docs has doc_id, text and row, a hash of the text."""
     lines = stored(tx.map_chunks(docs.filter("doc_id is not null"), _lines, LINES).dropDuplicates(["doc_id", "row"]))
-    each = lines.select("doc_id", "row", F.expr("inline(arrays_zip(hashes, words, once))")).filter(f"once and words >= {LINK_WORDS}")
-    each = each.select(F.col("hashes").alias("hash"), F.struct("doc_id", "row").alias("here"), "words")
-    first = each.groupBy("hash").agg(F.min("here").alias("first"), F.max("here.doc_id").alias("last"), F.count("*").alias("n"))
-    first = stored(first.filter("first.doc_id < last"))
-    links = each.join(first, "hash").filter("here.doc_id > first.doc_id").groupBy("here", "first").agg(F.min("n").alias("n"), F.sum("words").alias("words"))
-    pairs = stored(links.filter(f"n <= {RARE} or words >= {BLOCK_WORDS}").select("here.doc_id", "here.row", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")))
+    each = lines.select(F.struct("doc_id", "row").alias("here"), F.explode("runs").alias("run"))
+    first = each.groupBy("run").agg(F.min("here").alias("first"), F.max("here.doc_id").alias("last"))
+    first = stored(first.filter("first.doc_id < last").drop("last"))
+    met = each.join(first, "run").filter("here.doc_id > first.doc_id").select("here", "first").distinct()
+    pairs = stored(met.select("here.doc_id", "here.row", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")))
 
     firsts = lines.select(F.col("doc_id").alias("first_id"), F.col("row").alias("first_row"), F.col("hashes").alias("first"))
     compared = pairs.join(lines.select("doc_id", "row", "hashes", "words"), ["doc_id", "row"]).join(firsts, ["first_id", "first_row"])
@@ -168,8 +183,8 @@ def without_shared_lines(docs: DataFrame, with_text: bool = False) -> DataFrame:
     One row for each row: doc_id, n_lines (parts between newlines), n_removed,
     kept_sha256 of the lines left, joined by newlines, and with `with_text`
     these as text. Earlier means a smaller doc_id; each document is compared as
-    it came, and with the first document of each of its lines. Rows that share
-    a doc_id don't change each other; rows with a null doc_id take no part. A
+    it came, and with the first document of each of its runs of BLOCK_WORDS
+    words. Rows that share a doc_id don't change each other; rows with a null doc_id take no part. A
     null text is one empty line. Columns other than doc_id and text are
     ignored; an empty table gives no rows.
     """
@@ -193,17 +208,18 @@ def with_lines_removed(docs: DataFrame) -> DataFrame:
     """The rows of docs with all columns they came with, less the deleted lines.
 
     A column n_chars follows the text. Rows that had words and are left without
-    any go; all others stay, changed or not. For nulls and repeated rows see
-    without_shared_lines.
+    any go; all others stay, changed or not. Columns may have any names. For
+    nulls and repeated rows see without_shared_lines.
     """
-    gone = deletions(named_rows(docs)).select(F.struct("doc_id", "row").alias("cut_key"), F.col("gone").alias("cut_lines")).hint("merge")
-    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
-    at = docs.withColumn("cut_here", key).join(gone, F.col("cut_here") == F.col("cut_key"), "left")
+    here, key, lines, cut = (f"{name}_{uuid.uuid4().hex}" for name in ("here", "key", "lines", "cut"))
+    gone = deletions(named_rows(docs)).select(F.struct("doc_id", "row").alias(key), F.col("gone").alias(lines)).hint("merge")
+    named = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    at = docs.withColumn(here, named).join(gone, F.col(here) == F.col(key), "left")
     # unchanged texts stay out of Python
-    at = at.withColumn("cut_text", F.arrow_udf(_cut, "string")(F.when(F.col("cut_lines").isNotNull(), F.col("text").cast("string")), "cut_lines"))
-    at = at.filter(F.col("cut_text").isNull() | F.col("cut_text").rlike(r"[^\x20\x09-\x0D]"))
-    changed = F.col("cut_text").isNotNull()
-    new = {"text": F.coalesce("cut_text", "text")}
+    at = at.withColumn(cut, F.arrow_udf(_cut, "string")(F.when(F.col(lines).isNotNull(), F.col("text").cast("string")), lines))
+    at = at.filter(F.col(cut).isNull() | F.col(cut).rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.coalesce(cut, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("cut_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return at.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    return at.select(*[new[c].alias(c) if c in new else F.col(quoted(c)) for c in docs.columns])

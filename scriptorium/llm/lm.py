@@ -80,12 +80,27 @@ def places(doc: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
 
 
-def found(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The index of each key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+class Keys:
+    """Distinct sorted keys, found by their first bits: as hashes they lie evenly."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, _U(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=_U))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key, or -1."""
+        slot = (keys >> self.shift).astype(np.int64)
+        out, at, end = np.full(len(keys), -1, np.int64), self.first[slot], self.first[slot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            place = at[live]
+            hit = self.keys[place] == keys[live]
+            out[live[hit]] = place[hit]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
 
 
 def held_out_docs(docs: DataFrame) -> DataFrame:
@@ -218,12 +233,16 @@ def automaton(train: DataFrame, buckets: int) -> tuple[int, int, DataFrame]:
     pairs = pairs.withColumn("p", arc()).select("key", "n", "p", gain.alias("gain"))
     pairs = stored(pairs.join(taken(triples), "key", "left").select("key", "n", "p", "gain", free.alias("free")))
     forget(short)
+    _free(train)
     longer = triples.join(history(pairs), "left").join(pairs.select(F.col("key").alias("right"), F.col("p").alias("low")), "right").withColumn("p", arc())
+    longer = stored(longer.select("key", gain.alias("value"), "n"))
+    forget(triples)
+    _free(train)
     # all n-grams of a text but those that end it are followed by a token, which pays for the failure arc first
     table = words.select("key", "n", (F.log10(F.col("n") + 1.0) + F.log10("free")).alias("value"), F.col("n").alias("weight"))
     table = table.union(pairs.select("key", F.lit(0), F.col("gain") + F.log10("free"), "n"))
-    table = stored(table.union(longer.select("key", F.lit(0), gain, "n")))
-    for done in (words, pairs, triples):
+    table = stored(table.union(longer.select("key", F.lit(0), "value", "n")))
+    for done in (words, pairs, longer):
         forget(done)
     _free(train)
     return n, v, table
@@ -232,18 +251,18 @@ def automaton(train: DataFrame, buckets: int) -> tuple[int, int, DataFrame]:
 def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the values that rows ask for; within a bucket the table comes first."""
     rows = ((r["bucket"], r["asks"], r) for batch in batches for r in batch.to_pylist())
-    table, asking = (np.zeros(0, _U), np.zeros(0), np.zeros(0)), None
+    table, asking = (Keys(np.zeros(0, _U)), np.zeros(0), np.zeros(0)), None
     for (bucket, asks), group in groupby(rows, key=lambda x: x[:2]):
         if not asks:
             packed = [r for _, _, r in group]
             columns = [numbers([r[name] for r in packed], dtype) for name, dtype in (("keys", _U), ("n", np.int64), ("value", np.float64))]
             order = np.argsort(columns[0])
-            table, asking = tuple(x[order] for x in columns), bucket
+            table, asking = (Keys(columns[0][order]), columns[1][order], columns[2][order]), bucket
             continue
         if asking != bucket:
             continue
         for _, _, r in group:
-            place = found(table[0], np.frombuffer(r["keys"], _U))
+            place = table[0].find(np.frombuffer(r["keys"], _U))
             hit = np.flatnonzero(place >= 0)
             at, ids, place = np.frombuffer(r["at"], np.int32)[hit], np.frombuffer(r["rows"], np.int64), place[hit]
             n, value = table[1][place], table[2][place]
@@ -282,7 +301,7 @@ def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     keys = got["key"].to_numpy().view(_U)
     order = np.argsort(keys)
     context = docs.sparkSession.sparkContext
-    common = context.broadcast((keys[order], got["n"].to_numpy()[order], got["value"].to_numpy()[order]))
+    common = context.broadcast((Keys(keys[order]), got["n"].to_numpy()[order], got["value"].to_numpy()[order]))
     tail = table.filter(~heavy).select("key", "n", "value")
     among = context.broadcast(key_filter(tail.select("key")))
     root = float(np.log10(n + v + 1))
@@ -297,7 +316,7 @@ def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
         every = runs(hashes, 3)
         for size in (1, 2, 3):
             at = places(doc, size)
-            place = found(keys, every[size - 1][at])
+            place = keys.find(every[size - 1][at])
             here, place = doc[at[place >= 0]], place[place >= 0]
             for total, column in ((known, n[place] > 0), (base, np.log10(n[place] + 1.0)), (model, value[place])):
                 total += np.bincount(here, column, len(chunk))
@@ -313,7 +332,7 @@ def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
                     grams = every[size - 1][at]
                     some = np.flatnonzero(grams % _U(ROUNDS) == k)
                     some = some[passes(among.value, grams[some])]
-                    some = some[found(common.value[0], grams[some]) < 0]
+                    some = some[common.value[0].find(grams[some]) < 0]
                     keys.append(grams[some])
                     where.append(doc[at[some]].astype(np.int32))
                 keys, where = np.concatenate(keys), np.concatenate(where)

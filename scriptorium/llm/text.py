@@ -31,6 +31,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE = _U(0x9E3779B97F4A7C15)
 _GRAM = _U(0xD6E8FEB86659FD93)
+_RUN = _U(0xA0761D6478BD642F)
+_RUN_BACK = _U(pow(int(_RUN), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -176,6 +178,19 @@ def gram_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(acc + _U(n))
 
 
+class Prefixes:
+    """Hashes of any runs of a sequence of hashes, from sums over its prefixes modulo 2**64."""
+
+    def __init__(self, h: np.ndarray):
+        power, back = (np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(len(h), x, _U)])) for x in (_RUN, _RUN_BACK))
+        self.undo = back
+        self.sums = np.concatenate([np.zeros(1, _U), np.cumsum(h * power[:-1], dtype=_U)])
+
+    def hash(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        part = (self.sums[start + length] - self.sums[start]) * self.undo[start]
+        return mix(part + np.asarray(length).astype(_U))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
