@@ -80,29 +80,6 @@ def places(doc: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :]) if len(doc) >= size else np.zeros(0, np.int64)
 
 
-class Keys:
-    """Distinct sorted keys, found by their first bits: as hashes they lie evenly."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(1, len(keys).bit_length())
-        self.keys, self.shift = keys, _U(64 - bits)
-        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=_U))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The index of each key, or -1."""
-        slot = (keys >> self.shift).astype(np.int64)
-        out, at, end = np.full(len(keys), -1, np.int64), self.first[slot], self.first[slot + 1]
-        live = np.flatnonzero(at < end)
-        while len(live):
-            place = at[live]
-            hit = self.keys[place] == keys[live]
-            out[live[hit]] = place[hit]
-            live = live[~hit]
-            at[live] += 1
-            live = live[at[live] < end[live]]
-        return out
-
-
 def held_out_docs(docs: DataFrame) -> DataFrame:
     """(doc_id, text, row, held_out); row names a row's contents, a null doc_id is crc32 of no bytes."""
     docs = tx.documents_of(docs)
@@ -251,13 +228,13 @@ def automaton(train: DataFrame, buckets: int) -> tuple[int, int, DataFrame]:
 def _answers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the values that rows ask for; within a bucket the table comes first."""
     rows = ((r["bucket"], r["asks"], r) for batch in batches for r in batch.to_pylist())
-    table, asking = (Keys(np.zeros(0, _U)), np.zeros(0), np.zeros(0)), None
+    table, asking = (tx.Keys(np.zeros(0, _U)), np.zeros(0), np.zeros(0)), None
     for (bucket, asks), group in groupby(rows, key=lambda x: x[:2]):
         if not asks:
             packed = [r for _, _, r in group]
             columns = [numbers([r[name] for r in packed], dtype) for name, dtype in (("keys", _U), ("n", np.int64), ("value", np.float64))]
             order = np.argsort(columns[0])
-            table, asking = (Keys(columns[0][order]), columns[1][order], columns[2][order]), bucket
+            table, asking = (tx.Keys(columns[0][order]), columns[1][order], columns[2][order]), bucket
             continue
         if asking != bucket:
             continue
@@ -301,7 +278,7 @@ def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
     keys = got["key"].to_numpy().view(_U)
     order = np.argsort(keys)
     context = docs.sparkSession.sparkContext
-    common = context.broadcast((Keys(keys[order]), got["n"].to_numpy()[order], got["value"].to_numpy()[order]))
+    common = context.broadcast((tx.Keys(keys[order]), got["n"].to_numpy()[order], got["value"].to_numpy()[order]))
     tail = table.filter(~heavy).select("key", "n", "value")
     among = context.broadcast(key_filter(tail.select("key")))
     root = float(np.log10(n + v + 1))

@@ -178,6 +178,29 @@ def gram_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(acc + _U(n))
 
 
+class Keys:
+    """Distinct sorted keys, found by their first bits: as hashes they lie evenly."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, _U(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=_U))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key, or -1."""
+        slot = (keys >> self.shift).astype(np.int64)
+        out, at, end = np.full(len(keys), -1, np.int64), self.first[slot], self.first[slot + 1]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            place = at[live]
+            hit = self.keys[place] == keys[live]
+            out[live[hit]] = place[hit]
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+
 class Prefixes:
     """Hashes of any runs of a sequence of hashes, from sums over its prefixes modulo 2**64."""
 
