@@ -2,11 +2,13 @@
 
 The patterns give the base spans. A bidirectional LSTM over characters with
 CRF transitions is trained, in numpy, from labelled spans: the base spans of a
-bounded sample of documents, as they stand and rewritten the way people veil
-them. It reads overlapping windows around all places where a span can be; the
-windows are decoded by Viterbi, each character takes the tag of the window in
-which it lies deepest, and spans are read from the tags of the whole text. A
-new span must overlap no base span and pass its kind's check.
+bounded sample of documents, as they stand, and others of their kinds in their
+places, written the way people veil them. It reads overlapping windows around
+all places where a span can be; the windows are decoded by Viterbi, each
+character takes the tag of the window in which it lies deepest, and spans are
+read from the tags of the whole text. A new span must overlap no base span and
+pass its kind's check; of a number that fails it, the kind whose check it
+passes counts.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 from scriptorium.llm import text as tx
 
 KINDS = ("email", "ip", "card", "phone")
-#: The bound of the training sample: documents, and bytes of one.
-SAMPLE, SAMPLE_BYTES = 500, 1 << 15
-WINDOW, STRIDE, MARGIN = 64, 32, 40
-DIM, HIDDEN, EPOCHS, BATCH, RATE, MOST_WINDOWS = 12, 20, 10, 48, 0.02, 1400
+#: The bound of the training sample: documents, bytes of one, and windows, which are drawn from all these documents alike.
+SAMPLE, SAMPLE_BYTES, MOST_WINDOWS = 500, 1 << 15, 2400
+WINDOW, STRIDE, MARGIN = 96, 48, 48
+#: Texts with spans are rewritten so many times at most, until there are enough windows.
+MOST_TURNS = 60
+DIM, HIDDEN, EPOCHS, BATCH, RATE = 12, 24, 6, 48, 0.02
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,9 +37,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_AT_DOT = re.compile(r"[\[( ]at[\]) ][^\n]{1,40}?[\[( ]dot[\]) ]")
+#: A written-out @ with what the check of an address asks for after it.
+_AT = re.compile(r"[\[( ]at[\]) ]\s?[\w-]+\s?(?:\.|[\[(]?dot[\])]?)\s?[\w-]", re.IGNORECASE)
 #: Where a span can be: every kind's check asks for one of these.
-_PLACE = re.compile(r"[0-9@]+|" + _AT_DOT.pattern)
+_PLACE = re.compile(r"[0-9@]+|" + _AT.pattern, re.IGNORECASE)
+_DOT = r"\s?(\.|[\[(]?dot[\])]?)\s?"
+_VEILED_EMAIL = re.compile(rf"[\w%+-]+({_DOT}[\w%+-]+)*\s?(@|[\[( ]at[\]) ])\s?[\w-]+({_DOT}[\w-]+)+", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -82,7 +89,7 @@ def plausible(text: str, start: int, end: int, kind: str) -> bool:
     if end - start > WINDOW or (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
         return False
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s?(@|[\[(]?at[\])]?)\s?[\w-]+(\s?(\.|[\[(]?dot[\])]?)\s?[\w-]+)+", span, re.IGNORECASE)) and bool(re.search(r"@|[\[( ]at[\]) ]", span))
+        return bool(_VEILED_EMAIL.fullmatch(span))
     if kind == "ip":
         parts = re.findall(r"[0-9]+", span)
         return len(parts) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in parts) and bool(re.fullmatch(r"[0-9]+(\s?[\[(]?(\.|dot)[\])]?\s?[0-9]+){3}", span))
@@ -296,66 +303,121 @@ def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
+def made_up(kind: str, words: list[str], rng: np.random.Generator) -> str:
+    """Data of a kind in its plain form, from random digits and the words around."""
+    pick = lambda x: x[rng.integers(len(x))]
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    if kind == "email":
+        word = lambda: pick(words)
+        local = pick([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}.{digits(2)}", f"{word()}_{word()}"])
+        return f"{local}@{pick([word(), f'mail{digits(1)}.{word()}', f'{word()}-{word()}', f'mail{digits(1)}.example'])}.{pick(['com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io'])}"
+    if kind == "ip":
+        return ".".join(map(str, rng.integers(0, 256, 4)))
+    if kind == "card":
+        body = pick(["4", "5", "37", "60"]) + digits(14)
+        body = body[: pick([14, 15, 15, 15])]
+        return next(body + d for d in "0123456789" if luhn(body + d))
+    return f"+{pick(['1', '44', '49', '33', '34'])} {pick([f'({digits(3)}) {digits(3)}-{digits(4)}', f'{digits(2)} {digits(4)} {digits(4)}', f'{digits(3)} {digits(3)} {digits(3)}', f'{digits(2)} {digits(3)} {digits(2)} {digits(2)}'])}"
+
+
 def veiled(span: str, kind: str, rng: np.random.Generator) -> str:
-    """A way in which people rewrite such data."""
+    """A way in which people rewrite such data, which the patterns miss."""
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == "email":
-        return span.replace("@", pick(" at ", " (at) ", " [at] ", " @ ")).replace(".", pick(" dot ", " [dot] ", "."))
+        return span.replace(".", pick(" dot ", " [dot] ", "(dot)", ".", ".")).replace("@", pick(" at ", " (at) ", " [at] ", " @ ", "(at)", "[at]"))
     if kind == "ip":
         return span.replace(".", pick("[.]", " . ", " dot ", "(.)"))
     if kind == "card":
         d = _digits(span)
-        return pick("-", " ", ".", "/").join(d[k : k + 4] for k in range(0, len(d), 4))
-    return pick("00", "", "(0) ") + span.lstrip("+").strip().replace(" ", pick(" ", ".", "-"))
+        return pick(".", "/", " - ", "_").join(d[k : k + 4] for k in range(0, len(d), 4))
+    bare = span.lstrip("+").strip()
+    # not all of these have so many digits as the check asks for
+    return pick("00", "00 ", "", "(0)") + pick(bare, re.sub("[ ()-]+", pick(" ", ".", "-"), bare))
+
+
+def rewritten(text: str, spans: list[tuple[int, int, str]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with other, veiled data in place of its spans, and where they are."""
+    words = [w.lower() for w in re.findall(r"[A-Za-z]{3,9}", text[: 1 << 12])] or ["name"]
+    out, moved, at, size = [], [], 0, 0
+    for a, b, kind in spans:
+        new = veiled(made_up(kind, words, rng), kind, rng)
+        out += [text[at:a], new]
+        size += a - at
+        moved.append((size, size + len(new), kind))
+        size += len(new)
+        at = b
+    return "".join([*out, text[at:]]), moved
+
+
+#: What may be data that the patterns miss: numbers of so many digits in any grouping, and addresses but for those that a sentence's end makes.
+_NUMBER = re.compile(r"[0-9](?:[0-9 ().\[\]/_-]|dot)*[0-9]")
+_NO_SENTENCE = re.compile(r"@|[\[(]|\bdot\b|\w\.\w", re.IGNORECASE)
+
+
+def unsure_spans(text: str) -> list[tuple[int, int]]:
+    found = [m.span() for m in _NUMBER.finditer(text) if len(_digits(m.group())) >= 9 or re.fullmatch(r"[0-9]{1,3}(\D+[0-9]{1,3}){3}", m.group())]
+    return found + [m.span() for m in _VEILED_EMAIL.finditer(text) if _NO_SENTENCE.search(m.group())]
+
+
+def _add_windows(found: list[list], text: str, spans: list[tuple[int, int, str]]) -> None:
+    """Windows and their tags, to the list of those without or with a span; those with what is unsure are left out."""
+    own, c = tags_of(len(text), spans), encoded(text)
+    unsure = np.zeros(len(text) + 1, np.int64)
+    for a, b in unsure_spans(text):
+        if not own[a:b].any():
+            unsure[a] += 1
+            unsure[b] -= 1
+    unsure = np.cumsum(unsure) > 0
+    for row, start in zip(*windows(text, c), strict=True):
+        y = own[start : start + WINDOW]
+        if not (unsure[start : start + WINDOW].any() or (len(y) and y[0] and y[0] % 2 == 0)):
+            found[bool(y.any())].append((row, np.pad(y, (0, WINDOW - len(y)))))
 
 
 def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from labelled texts, each also with its spans rewritten. Windows with a failed match are left out: they have no sure label."""
+    """Windows and tags from labelled texts as they are and rewritten."""
     rng = np.random.default_rng(3)
-    chars, tags = [], []
+    found: list[list] = [[], []]
+    labelled = []
     for text in texts:
         spans, at = [], 0
         for a, b, kind in base_spans(text):
             if a >= at:
                 spans.append((a, b, kind))
                 at = b
-        parts, moved, at = [], [], 0
-        for a, b, kind in spans:
-            parts.append(text[at:a])
-            new, start = veiled(text[a:b], kind, rng), sum(map(len, parts))
-            parts.append(new)
-            moved.append((start, start + len(new), kind))
-            at = b
-        for t, s in ((text, spans), ("".join([*parts, text[at:]]), moved)):
-            if t is not text and not moved:
-                continue
-            own, c = tags_of(len(t), s), encoded(t)
-            unsure = np.zeros(len(t) + 1, np.int64)
-            for m in (*_CARD.finditer(t), *_PHONE.finditer(t), *_IP.finditer(t)):
-                if len(_digits(m.group())) >= 9 and not own[m.start() : m.end()].any():
-                    unsure[m.start()] += 1
-                    unsure[m.end()] -= 1
-            unsure = np.cumsum(unsure) > 0
-            for row, start in zip(*windows(t, c), strict=True):
-                y = own[start : start + WINDOW]
-                if len(chars) >= MOST_WINDOWS or unsure[start : start + WINDOW].any() or (len(y) and y[0] and y[0] % 2 == 0):
-                    continue
-                chars.append(row)
-                tags.append(np.pad(y, (0, WINDOW - len(y))))
+        labelled.append((text, spans))
+    for turn in range(MOST_TURNS):
+        if turn > 3 and len(found[1]) >= MOST_WINDOWS:
+            break
+        for text, spans in labelled:
+            if not turn:
+                _add_windows(found, text, spans)
+            elif spans:
+                t, moved = rewritten(text, spans, rng)
+                _add_windows(found, t, [s for s in moved if plausible(t, *s)])
+    # three of four have a span, as far as there are so many
+    with_span = [found[1][k] for k in rng.permutation(len(found[1]))[: MOST_WINDOWS * 3 // 4]]
+    without = [found[0][k] for k in rng.permutation(len(found[0]))[: MOST_WINDOWS - len(with_span)]]
+    chars, tags = ([x[k] for x in with_span + without] for k in (0, 1))
     return np.array(chars).reshape(-1, WINDOW), np.array(tags).reshape(-1, WINDOW)
 
 
 def trained(docs: DataFrame) -> Tagger | None:
-    """From the base spans of the sample: documents with a digit or @ whose text hashes lowest. None if it has no spans."""
-    some = docs.filter((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike("[0-9@]"))
-    rows = some.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
-    chars, tags = training_windows([r[0] for r in rows])
+    """From the base spans of the sample: documents that look like having some, whose texts hash lowest. None if it has no spans."""
+    looks = r"@|[0-9][0-9 ().-]{7,}[0-9]"
+    some = docs.filter((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(looks)).select("text", F.xxhash64("text").alias("hash"))
+    # hashes first, so that texts of which there are many copies count once and no others are moved
+    lowest = [r[0] for r in some.select("hash").distinct().orderBy("hash").limit(SAMPLE).collect()]
+    rows = some.filter(F.col("hash").isin(lowest)).groupBy("hash").agg(F.min("text").alias("text")).orderBy("hash").collect() if lowest else []
+    chars, tags = training_windows([r["text"] for r in rows])
     return Tagger().fit(chars, tags) if tags.any() else None
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
+SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
+_BEFORE_AT, _AFTER_AT = np.zeros((2, 256), bool)
+_BEFORE_AT[list(b"[( ")] = _AFTER_AT[list(b"]) ")] = True
 DECODED = 512
 
 
@@ -363,10 +425,14 @@ def _found(chunk: tx.Chunk, model: Tagger | None) -> dict:
     base: list[list] = [[] for _ in range(len(chunk))]
     more: list[list] = [[] for _ in range(len(chunk))]
     raw = chunk.buf.tobytes()
-    live = chunk.per_doc(_MARK[chunk.buf]) > 0
+    # a place needs a digit, an @ or an "at"
+    low = tx.LOWER[chunk.buf]
+    at_word = np.zeros(len(low), bool)
+    at_word[1:-2] = (low[1:-2] == 97) & (low[2:-1] == 116) & _BEFORE_AT[low[:-3]] & _AFTER_AT[low[3:]]
+    live = chunk.per_doc(_MARK[chunk.buf] | at_word) > 0
     rows, kept = [], []
     for d, (a, b) in enumerate(zip(chunk.offs[:-1].tolist(), chunk.offs[1:].tolist(), strict=True)):
-        if not live[d] and raw.find(b"dot", a, b) < 0:
+        if not live[d]:
             continue
         text = raw[a:b].decode("utf-8", "replace")
         base[d] = base_spans(text)
@@ -387,13 +453,14 @@ def _found(chunk: tx.Chunk, model: Tagger | None) -> dict:
                     b -= 1
                 while a < b and text[a] in " \n":
                     a += 1
-                if all(b <= x or a >= y for x, y, _ in base[d]) and plausible(text, a, b, kind):
+                kind = next((k for k in (kind, *KINDS) if plausible(text, a, b, k)), None)
+                if kind and all(b <= x or a >= y for x, y, _ in base[d]):
                     more[d].append((a, b, kind))
     joined = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
     return (
         {"doc_id": chunk.batch.column(0)}
         | {f"n_{k}": np.array([sum(s[2] == k for s in spans) for spans in base], np.int64) for k in KINDS}
-        | {"base_sha256": [hashlib.sha256(joined(s).encode()).hexdigest() for s in base], "spans": [joined(s + m) for s, m in zip(base, more, strict=True)]}
+        | {"base_sha256": [hashlib.sha256(joined(s).encode()).hexdigest() for s in base], "spans": [joined(s + m) for s, m in zip(base, more, strict=True)], "n_spans": [len(s + m) for s, m in zip(base, more, strict=True)]}
     )
 
 
@@ -401,8 +468,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Spans of personal data in each whole text.
 
     One row for each row: doc_id, n_email, n_ip, n_card and n_phone (base
-    spans), base_sha256 (of these, as kind:start:end joined by commas) and
-    spans (base and model). Offsets are code points, the end is exclusive. A
+    spans), base_sha256 (of these, as kind:start:end joined by commas), spans
+    (base and model) and their number n_spans. Offsets are code points, the end is exclusive. A
     null or empty text has none. Null and repeated doc_ids pass through.
     Without base spans in the sample there is no model, and base spans are
     all. Columns other than doc_id and text are ignored; an empty table gives
