@@ -1,6 +1,6 @@
 """Removal of long repeated passages by recompression.
 
-Every text is rewritten in rounds: runs of one token become one symbol, then
+Every text is rewritten in rounds, which all texts run alike and at once: runs of one token become one symbol, then
 each round splits the alphabet in two by a bit of a symbol's hash and replaces
 the pairs (left, right). A new symbol's name is a hash of what it stands for,
 so all executors name equal runs and pairs alike without exchanging tables,
@@ -33,7 +33,6 @@ WINDOW, ROUNDS = 50, 5
 
 _U = np.uint64
 _Q = _U(0xA0761D6478BD642F | 1)
-_Q_INVERSE = _U(pow(int(_Q), -1, 1 << 64))
 _INDEX_BITS = _U(28)
 
 
@@ -113,15 +112,8 @@ class Filing:
         self.size = np.diff(self.start, append=size)
         self.name = name[self.start]
         self.doc = words.doc[self.at[self.start]] if size else np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n, _Q, _U)]))
-            self.undo = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n, _Q_INVERSE, _U)]))
-            self.prefix = np.concatenate([np.zeros(1, _U), np.cumsum(h * power[:n], dtype=_U)])
-
-    def hash(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        """Of length words from start on."""
-        part = (self.prefix[start + length] - self.prefix[start]) * self.undo[start]
-        return tx.mix(part + np.asarray(length).astype(_U))
+        # of any run of words
+        self.hash = tx.Prefixes(h).hash
 
     @property
     def stretch(self) -> np.ndarray:
@@ -151,7 +143,7 @@ def _least(names: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 STRETCHES = pa.schema([("symbol", pa.int64()), ("stretch", pa.int64()), ("doc_id", pa.int64())])
-WINDOWS = pa.schema([("window", pa.int64()), ("doc_id", pa.int64())])
+WINDOWS = pa.schema([("window", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 RESULT_TEXT = RESULT.append(pa.field("text", pa.string()))
 
@@ -180,7 +172,9 @@ def _windows(chunk: tx.Chunk) -> dict:
     filing, mark = Filing(chunk), tx.mix(np.arange(1, len(chunk) + 1, dtype=_U))
     of = np.flatnonzero(_among(filing.stretch ^ mark[filing.doc], _listed(chunk, "unsettled", mark)))
     index, stretch = filing.windows(of)
-    return {"window": tx.signed(filing.hash(filing.at[index], WINDOW)), "doc_id": chunk.batch.column(0).take(pa.array(filing.doc[stretch]))}
+    # equal windows have equal symbols too, which makes chance agreement of others about 2**-96 a pair
+    check = (tx.mix(filing.name) >> _U(32)).astype(np.uint32).view(np.int32)
+    return {"window": tx.signed(filing.hash(filing.at[index], WINDOW)), "check": check[stretch], "doc_id": chunk.batch.column(0).take(pa.array(filing.doc[stretch]))}
 
 
 def _removed(chunk: tx.Chunk, with_text: bool) -> dict:
@@ -239,13 +233,14 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     met = stored(filed.join(shared, "symbol"))
     forget(filed)
     first = stored(met.groupBy("symbol", "stretch").agg(F.min("doc_id").alias("first")))
-    several = met.groupBy("symbol").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).filter("a < b").select("symbol")
+    several = stored(first.groupBy("symbol").agg(F.min("stretch").alias("a"), F.max("stretch").alias("b")).filter("a < b").select("symbol"))
     removed = met.join(first, ["symbol", "stretch"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("stretch").alias("stretches"))
 
-    unsettled = first.join(several, "symbol").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("stretch").alias("unsettled"))
+    unsettled = stored(first.join(several, "symbol").select(F.col("first").alias("doc_id"), "stretch"))
+    unsettled = unsettled.groupBy("doc_id").agg(F.collect_set("stretch").alias("unsettled"))
     windows = stored(tx.map_chunks(docs.join(unsettled, "doc_id").select("doc_id", "text", "unsettled"), _windows, WINDOWS))
-    earliest = stored(windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "first"))
-    later = windows.join(earliest, "window").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    earliest = stored(windows.groupBy("window", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("window", "check", "first"))
+    later = windows.join(earliest, ["window", "check"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
 
     found = stored(removed.join(later, "doc_id", "full"))
     schema = RESULT_TEXT if with_text else RESULT
