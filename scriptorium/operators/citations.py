@@ -79,12 +79,24 @@ def family(author: Column) -> Column:
     return normalized(F.when(author.contains(","), F.split(author, ",")[0]).otherwise(F.element_at(F.split(F.trim(author), r"\s+"), -1)))
 
 
+#: Fixed value: names more alike than this are one.
+SAME_NAME = 0.8
+
+
 def author_overlap(bib: Column, known: Column) -> Column:
-    """Authors whose family name contains, or lies in, a known one, by the larger number of names; null if a side is empty."""
+    """Authors whose family name contains, lies in or resembles a known one, by the larger number of names; null if a side is empty."""
+
+    def same(a: str, b: str) -> bool:
+        return a in b or b in a or SequenceMatcher(None, a, b).ratio() > SAME_NAME
+
+    @F.pandas_udf("double")
+    def share(left: pd.Series, right: pd.Series) -> pd.Series:
+        both = ((ours, theirs) for ours, theirs in zip(left, right, strict=True))
+        return pd.Series([sum(any(same(a, b) for b in theirs) for a in ours) / max(len(ours), len(theirs)) if ours is not None and theirs is not None and len(ours) and len(theirs) else None for ours, theirs in both], dtype="float64")
+
     ours = F.filter(F.transform(bib, family), lambda a: a != "")
     theirs = F.filter(F.transform(known, normalized), lambda a: a != "")
-    hits = F.size(F.filter(ours, lambda a: F.exists(theirs, lambda b: a.contains(b) | b.contains(a))))
-    return F.when((F.size(ours) > 0) & (F.size(theirs) > 0), hits / F.greatest(F.size(ours), F.size(theirs)))
+    return share(ours, theirs)
 
 
 def looked_up(found: DataFrame, catalogue: DataFrame) -> DataFrame:

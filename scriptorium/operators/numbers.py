@@ -24,19 +24,37 @@ OUTPUT_NUMBER = r"(?i)[-+]?\d+\.?\d*(?:e[+-]?\d+)?"
 CLAIM_SECTIONS = "result|discussion|finding|outcome|analysis|evaluation"
 
 
+#: Characters of context on either side of a number.
+REACH = 40
+
+
 def prose_numbers(lines: DataFrame) -> DataFrame:
-    """One row for each match of each kind: value as it stands there, normalized as a number, and the line it is in.
+    """One row for each match of each kind: value as it stands there, normalized as a number, and up to REACH characters of its line on either side.
 
-    One piece of text can give several rows, one of each kind.
+    One piece of text can give several rows, one of each kind. A line is
+    matched once and split once by each pattern: where a match stands follows
+    from the lengths of what is before it.
     """
-    def found(kind: str, pattern: str) -> Column:
-        whole, first, second = (F.regexp_extract_all("line", F.lit(f"(?iu){pattern}"), F.lit(g)) for g in range(3))
-        digits = lambda x: F.coalesce(F.nullif(x["a"], F.lit("")), F.nullif(x["b"], F.lit("")), x["w"])
-        return F.transform(F.arrays_zip(whole.alias("w"), first.alias("a"), second.alias("b")), lambda x: F.struct(F.lit(kind).alias("kind"), x["w"].alias("value"), digits(x).alias("digits")))
 
-    each = [found(*entry) for entry in PROSE_NUMBERS]
-    rows = lines.select("doc_id", "line_no", "section", "line", F.inline(F.concat(*each)))
-    return rows.select("doc_id", "line_no", "section", "kind", F.trim("value").alias("value"), F.expr("try_cast(digits as double)").alias("normalized"), F.trim("line").alias("context"))
+    def found(kind: str, pattern: str) -> Column:
+        p = f"(?iu){pattern}"
+        between = F.split("line", p, -1)
+        whole = F.regexp_extract_all("line", F.lit(p), F.lit(0))
+        digits = lambda m: F.coalesce(*[F.nullif(F.regexp_extract(m, p, g), F.lit("")) for g in (1, 2)], m)
+        step = lambda at, x: F.struct((at["end"] + F.length(x["b"]) + F.length(x["w"])).alias("end"), F.concat(at["out"], F.array(F.struct((at["end"] + F.length(x["b"])).alias("start"), x["w"].alias("value")))).alias("out"))
+        none = F.array().cast("array<struct<start: int, value: string>>")
+        pairs = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("b"), whole.alias("w"))
+        placed = F.aggregate(pairs, F.struct(F.lit(0).alias("end"), none.alias("out")), step, lambda at: at["out"])
+        low = lambda x: F.greatest(F.lit(0), x["start"] - REACH)
+        context = lambda x: F.col("line").substr(low(x) + 1, x["start"] + F.length(x["value"]) + REACH - low(x))
+        return F.when(F.size(whole) > 0, F.transform(placed, lambda x: F.struct(F.lit(kind).alias("kind"), x["value"].alias("value"), digits(x["value"]).alias("digits"), F.trim(context(x)).alias("context"))))
+
+    none = F.array().cast("array<struct<kind: string, value: string, digits: string, context: string>>")
+    each = [F.coalesce(found(*entry), none) for entry in PROSE_NUMBERS]
+    # most lines have no digit
+    some = lines.filter(F.col("line").rlike("(?u)[0-9]"))
+    rows = some.select("doc_id", "line_no", "section", F.inline(F.concat(*each)))
+    return rows.select("doc_id", "line_no", "section", "kind", F.trim("value").alias("value"), F.expr("try_cast(digits as double)").alias("normalized"), "context")
 
 
 def abstract_and_body(numbers: DataFrame) -> DataFrame:
@@ -110,11 +128,11 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     sign = F.signum("value").alias("sign")
     ours = left.filter("value <> 0").select(*by, sign, F.col("value").cast("double").alias("value"), F.lit(True).alias("ours"), F.struct(*(extra or ["value"])).alias("row"))
     theirs = right.filter("value <> 0").select(*by, sign, F.col("value").cast("double").alias("value")).distinct().select(*by, "sign", "value", F.lit(False).alias("ours"), F.lit(None).cast(ours.schema["row"].dataType).alias("row"))
-    order = Window.partitionBy(*by, "sign").orderBy("value")
+    order, falling = (Window.partitionBy(*by, "sign").orderBy(c) for c in (F.col("value"), F.col("value").desc()))
     other = F.when(~F.col("ours"), F.col("value"))
-    # equal values are peers: a range frame sees them from either side
+    # equal values are peers: a range frame sees them from either side, and both frames grow row by row
     low = F.last(other, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    high = F.first(other, ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    high = F.last(other, ignorenulls=True).over(falling.rangeBetween(Window.unboundedPreceding, 0))
     both = ours.unionByName(theirs).withColumn("low", low).withColumn("high", high).filter("ours")
     one, two = relative_difference(F.col("value"), F.col("low")), relative_difference(F.col("value"), F.col("high"))
     picked = F.when(F.col("high").isNull() | (one <= two), F.col("low")).otherwise(F.col("high"))

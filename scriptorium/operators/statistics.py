@@ -23,50 +23,74 @@ CORRECTIONS = r"Bonferroni|Holm|Benjamini[\s-]Hochberg|FDR\s+correct|false\s+dis
 ROUND = (0.05, 0.01, 0.001)
 
 
-def p_values(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, operator, value, context): one row for each match of each pattern; line columns stay."""
+def _found(column: str = "line") -> Column:
+    """The p-values of a line as (operator, value): one for each match of each pattern."""
+
     def found(pattern: str) -> Column:
-        sign, digits = (F.regexp_extract_all("line", F.lit(f"(?U){pattern}"), F.lit(g)) for g in (1, 2))
+        sign, digits = (F.regexp_extract_all(column, F.lit(f"(?U){pattern}"), F.lit(g)) for g in (1, 2))
         return F.transform(F.arrays_zip(sign.alias("s"), digits.alias("d")), lambda x: F.struct(x["s"].alias("operator"), x["d"].cast("double").alias("value")))
 
-    each = [found(p) for p in P_VALUES]
-    return lines.select("*", F.inline(F.concat(*each)))
+    return F.concat(*[found(p) for p in P_VALUES])
+
+
+def p_values(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, operator, value, context): one row for each match of each pattern; line columns stay."""
+    return lines.select("*", F.inline(_found()))
 
 
 def near_p_values(lines: DataFrame) -> DataFrame:
-    """p_values with has_sample_size and has_test: whether the lines within five say so."""
-    near = with_context(lines)
-    flags = near.withColumn("has_sample_size", F.col("context").rlike(f"(?U){SAMPLE_SIZES}")).withColumn("has_test", F.col("context").rlike(f"(?iU){TESTS}"))
-    return p_values(flags.drop("context"))
+    """p_values with has_sample_size and has_test: whether the lines within five say so. Only around p-values is the context read."""
+    some = with_context(lines).withColumn("p_values", _found()).filter(F.size("p_values") > 0)
+    flags = some.withColumn("has_sample_size", F.col("context").rlike(f"(?U){SAMPLE_SIZES}")).withColumn("has_test", F.col("context").rlike(f"(?iU){TESTS}"))
+    return flags.select(*lines.columns, "has_sample_size", "has_test", F.inline("p_values"))
+
+
+def _misread() -> Column:
+    """The numbers of the patterns by which a line reads a missing difference as sameness."""
+    return F.array_compact(F.array(*[F.when(F.col("line").rlike(f"(?iU){p}"), k) for k, p in enumerate(EQUIVALENCE)]))
 
 
 def equivalence_misuse(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, pattern): lines that read a missing difference as sameness, once for each pattern."""
-    hit = F.array_compact(F.array(*[F.when(F.col("line").rlike(f"(?iU){p}"), k) for k, p in enumerate(EQUIVALENCE)]))
-    return lines.select("doc_id", "line_no", F.trim("line").alias("context"), F.explode(hit).alias("pattern"))
+    return lines.select("doc_id", "line_no", F.trim("line").alias("context"), F.explode(_misread()).alias("pattern"))
+
+
+def _documents(lines: DataFrame) -> DataFrame:
+    """by_document, and misread: the lines that equivalence_misuse finds, as many times."""
+    each = lines.select("doc_id", "line_no", F.trim("line").alias("context"), F.size(_found()).alias("n"), F.col("line").rlike(f"(?iU){CORRECTIONS}").alias("c"), F.col("line").rlike(f"(?iU){POWER}").alias("w"), _misread().alias("m"))
+    hits = F.flatten(F.collect_list(F.when(F.size("m") > 0, F.array_repeat(F.struct("line_no", "context"), F.size("m"))))).alias("misread")
+    return each.groupBy("doc_id").agg(F.sum("n").alias("n_p_values"), F.min(F.when(F.col("n") > 0, F.col("line_no"))).alias("first_line"), F.bool_or("c").alias("has_correction"), F.bool_or("w").alias("has_power"), hits)
 
 
 def by_document(lines: DataFrame) -> DataFrame:
     """(doc_id, n_p_values, first_line, has_correction, has_power)."""
-    count = F.aggregate(F.array(*[F.size(F.regexp_extract_all("line", F.lit(f"(?U){p}"), F.lit(0))) for p in P_VALUES]), F.lit(0), lambda a, x: a + x)
-    each = lines.select("doc_id", "line_no", count.alias("n"), F.col("line").rlike(f"(?iU){CORRECTIONS}").alias("c"), F.col("line").rlike(f"(?iU){POWER}").alias("w"))
-    return each.groupBy("doc_id").agg(F.sum("n").alias("n_p_values"), F.min(F.when(F.col("n") > 0, F.col("line_no"))).alias("first_line"), F.bool_or("c").alias("has_correction"), F.bool_or("w").alias("has_power"))
+    return _documents(lines).drop("misread")
 
 
 def statistics(lines: DataFrame) -> DataFrame:
-    """All findings on statistical reporting. Without a p-value the only finding is that there is none."""
-    found, doc = near_p_values(lines), by_document(lines)
-    some = doc.filter("n_p_values > 0").select("doc_id")
-    text = F.trim("line")
-    check = "statistics"
-    return together(
-        [
-            finding(doc.filter("n_p_values = 0"), check, "no_p_values", "info", line=F.lit(0)),
-            finding(found.filter("not has_sample_size"), check, "no_sample_size", "warning", details=text),
-            finding(found.filter("not has_test"), check, "no_test_named", "warning", details=text),
-            finding(found.filter(F.col("value").isin(*ROUND) & (F.col("operator") == "=")), check, "round_p_value", "info", details=text),
-            finding(equivalence_misuse(lines).join(some, "doc_id", "left_semi"), check, "nonsig_as_equivalence", "critical", details=F.col("context")),
-            finding(doc.filter("n_p_values > 3 and not has_correction"), check, "no_multiple_comparison_correction", "warning", line="first_line"),
-            finding(doc.filter("n_p_values > 0 and not has_power"), check, "no_power_analysis", "info", line=F.lit(0)),
-        ]
+    """All findings on statistical reporting. Without a p-value the only finding is that there is none.
+
+    Two passes: over what stands near p-values, and over whole documents.
+    """
+    none = F.lit("")
+
+    def row(issue: str, severity: str, line: Column, details: Column = none) -> Column:
+        return F.struct(line.cast("int").alias("line_no"), F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), details.alias("details"))
+
+    def rows(df: DataFrame, found: Column) -> DataFrame:
+        return finding(df.select("doc_id", F.inline(found)), "statistics", F.col("issue"), F.col("severity"), details=F.col("details"))
+
+    at, text = F.col("line_no"), F.trim("line")
+    near = F.array(
+        F.when(~F.col("has_sample_size"), row("no_sample_size", "warning", at, text)),
+        F.when(~F.col("has_test"), row("no_test_named", "warning", at, text)),
+        F.when(F.col("value").isin(*ROUND) & (F.col("operator") == "="), row("round_p_value", "info", at, text)),
+    )
+    some = F.col("n_p_values") > 0
+    whole = F.array(
+        F.when(~some, row("no_p_values", "info", F.lit(0))),
+        F.when((F.col("n_p_values") > 3) & ~F.col("has_correction"), row("no_multiple_comparison_correction", "warning", F.col("first_line"))),
+        F.when(some & ~F.col("has_power"), row("no_power_analysis", "info", F.lit(0))),
     )
+    misread = F.transform(F.when(some, F.col("misread")).otherwise(F.slice("misread", 1, 0)), lambda x: row("nonsig_as_equivalence", "critical", x["line_no"], x["context"]))
+    return together([rows(near_p_values(lines), F.array_compact(near)), rows(_documents(lines), F.concat(F.array_compact(whole), misread))])

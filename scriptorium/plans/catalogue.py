@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import citations, evidence, findings, history, language, lines, numbers, paper, parameters, registry, time_units
+from scriptorium.operators import citations, evidence, findings, history, language, lines, numbers, paper, parameters, registry, reproduction, time_units
 from scriptorium.operators import statistics as stats
+from scriptorium.sources import manuscripts
 from scriptorium.sources import rendered as r
 
 #: A lexicon of the reader's own, for texts as they come.
@@ -74,14 +75,38 @@ _NUMBERS = [(k, p) for k, p in numbers.PROSE_NUMBERS if k not in ("decimal", "fo
 
 
 def _duck_numbers() -> str:
-    row = "SELECT doc_id, line_no, section, '{k}' AS kind, trim(unnest(regexp_extract_all(line, {p}, 0))) AS value, unnest(regexp_extract_all(line, {p}, 1)) AS digits, trim(line) AS context FROM sections"
-    parts = [row.format(k=k, p=f"'(?i){p}'") for k, p in _NUMBERS]
-    parts.append("SELECT doc_id, line_no, section, 'fold_change' AS kind, trim(unnest(regexp_extract_all(line, '(?i)(\\d+\\.?\\d*)\\s*[-–]?\\s*fold', 0))) AS value, unnest(regexp_extract_all(line, '(?i)(\\d+\\.?\\d*)\\s*[-–]?\\s*fold', 1)) AS digits, trim(line) FROM sections")
+    place = "greatest(1, strpos(line, m) - 40)"
+    context = f"trim(substr(line, {place}, strpos(line, m) + length(m) + 40 - {place})) AS context"
+    row = "SELECT doc_id, line_no, section, kind, trim(m) AS value, digits, {context} FROM (SELECT doc_id, line_no, section, '{k}' AS kind, unnest(regexp_extract_all(line, {p}, 0)) AS m, unnest(regexp_extract_all(line, {p}, 1)) AS digits, line FROM sections)"
+    parts = [row.format(k=k, p=f"'(?i){p}'", context=context) for k, p in _NUMBERS]
+    parts.append(row.format(k="fold_change", p="'(?i)(\\d+\\.?\\d*)\\s*[-–]?\\s*fold'", context=context))
     # runs of digits and dots; a decimal is a run with one inner dot
-    parts.append("SELECT * FROM (SELECT doc_id, line_no, section, 'decimal' AS kind, unnest(regexp_extract_all(line, '[\\d.]+', 0)) AS value, value AS digits, trim(line) FROM sections) WHERE regexp_full_match(value, '\\d+\\.\\d+')")
+    parts.append(f"SELECT doc_id, line_no, section, 'decimal' AS kind, m AS value, m AS digits, {context} FROM (SELECT doc_id, line_no, section, unnest(regexp_extract_all(line, '[\\d.]+', 0)) AS m, line FROM sections) WHERE regexp_full_match(m, '\\d+\\.\\d+')")
     return " UNION ALL ".join(parts)
 
 
+_COMMENT = r"regexp_extract_all(line, '(?i)#.*?(\w+)\s*[=:]\s*([+-]?\d+\.?\d*(?:e[+-]?\d+)?)', {g})"
+_SAID = f"said AS (SELECT file, line_no, unnest({_COMMENT.format(g=1)}) AS name, CAST(unnest({_COMMENT.format(g=2)}) AS DOUBLE) AS value FROM (SELECT file, line_no, substr(line, strpos(line, '#')) AS line FROM code WHERE contains(line, '#')))"
+_ASSIGNED = r"assigned AS (SELECT file, line_no, regexp_extract(line, '^(\w+) = ', 1) AS name, CAST(regexp_extract(line, '^\w+ = (\d+\.?\d*)', 1) AS DOUBLE) AS value FROM code WHERE regexp_matches(line, '^\w+ = \d'))"
+_CITED = f"""cited AS (SELECT s_suppkey AS bib_id, 'key' || s_suppkey AS key, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE '10.1/' || s_suppkey END AS doi, CASE WHEN s_suppkey % 3 = 0 THEN ['smith', 'jones', 'lee'] ELSE ['smith', 'jones'] END AS ours FROM supplier),
+known AS (SELECT doi, status, title AS known_title, journal AS known_journal, string_split(lower(names), ',') AS theirs FROM ({r.select(r.CATALOGUE, "supplier", "s_suppkey % 7 <> 1")})),
+citation_rows AS (SELECT bib_id, key, doi, CASE WHEN doi = '' THEN 'no_doi' WHEN theirs IS NULL THEN 'doi_not_found' WHEN status IS NULL THEN 'api_error' ELSE 'found' END AS doi_status, known_title, known_journal,
+    CASE WHEN doi <> '' AND status IS NOT NULL THEN len(list_filter(ours, lambda a: len(list_filter(theirs, lambda b: contains(a, b) OR contains(b, a))) > 0)) / greatest(len(ours), len(theirs)) END AS overlap FROM cited LEFT JOIN known USING (doi)),
+citation_issues AS (SELECT bib_id, key, CASE doi_status WHEN 'doi_not_found' THEN 'critical' ELSE 'info' END AS severity, doi_status AS issue FROM citation_rows WHERE doi_status <> 'found'
+    UNION ALL SELECT bib_id, key, 'critical', 'title_mismatch' FROM citation_rows WHERE doi_status = 'found' AND known_title = 'Other matters altogether'
+    UNION ALL SELECT bib_id, key, CASE WHEN overlap < 0.3 THEN 'critical' ELSE 'warning' END, CASE WHEN overlap < 0.3 THEN 'author_mismatch' ELSE 'author_partial_mismatch' END FROM citation_rows WHERE doi_status = 'found' AND overlap < 0.6
+    UNION ALL SELECT bib_id, key, 'warning', 'journal_mismatch' FROM citation_rows WHERE doi_status = 'found' AND known_journal <> 'J. Tissue')"""
+#: what the rendered dictionary and steady state give, beside comments and assignments
+_PARAMETERS = """parameter_rows AS (SELECT s.file, s.line_no, 'critical' AS severity, 'comment_code_mismatch' AS issue, s.name FROM said s JOIN assigned a USING (file, name) WHERE s.value <> 0 AND a.value <> 0 AND abs(s.value - a.value) / greatest(abs(s.value), abs(a.value)) > 0.001
+    UNION ALL SELECT file, line_no, 'critical', 'comment_dict_mismatch', name FROM said WHERE name = 'alpha' AND value <> 3
+    UNION ALL SELECT file, min(line_no), 'warning', 'duplicate_parameter', name FROM assigned GROUP BY file, name HAVING count(DISTINCT value) > 1
+    UNION ALL SELECT file, line_no, 'info', 'steady_state_found', 'steady_state' FROM code WHERE starts_with(line, 'steady_state = ['))"""
+_EVIDENCE = r"""gaps AS (SELECT doc_id, line_no, claim FROM claims c WHERE doc_id IN (SELECT file FROM code) AND NOT EXISTS (SELECT 1 FROM (SELECT trim(regexp_replace(unnest(c.numbers), '[%\\fold x]', '', 'gi')) AS clean) n JOIN code k ON k.file = c.doc_id AND n.clean <> '' AND contains(k.line, n.clean))),
+evidence_rows AS (SELECT doc_id, 0 AS line_no, 'info' AS severity, 'no_claims_found' AS issue, '' AS details FROM (SELECT DISTINCT doc_id FROM lines) WHERE doc_id NOT IN (SELECT doc_id FROM claims)
+    UNION ALL SELECT DISTINCT doc_id, 0, 'info', 'no_code_files', '' FROM claims WHERE doc_id NOT IN (SELECT file FROM code)
+    UNION ALL SELECT doc_id, line_no, 'warning', 'claim_no_code_evidence', substr(claim, 1, 120) FROM gaps)""".replace("\\\\", "\\")
+
+
 VIEWS = f"""lines AS ({r.select(r.MANUSCRIPT_LINES, "orders")}),
 cuts AS (SELECT *, {_DUCK_CUT} AS cut FROM lines),
 sections AS (SELECT *, {_DUCK_SECTION} AS section FROM lines {_W}),
@@ -90,10 +115,11 @@ abstract_lines AS (SELECT * FROM (SELECT *, CASE WHEN ext = '.tex' THEN CASE WHE
     ELSE CASE WHEN starts_with(lower(line), '## abstract') OR starts_with(lower(line), '# abstract') THEN 1 WHEN starts_with(line, '#') THEN 0 END END AS mark, last_value(mark IGNORE NULLS) OVER w AS inside FROM cuts {_W}) WHERE inside = 1 AND mark IS NULL),
 claim_matches AS ({_duck_matches("cuts", language.CLAIM_LANGUAGE)}),
 novel AS ({_duck_matches("abstract_lines", [("novel_in_abstract", "warning", chr(92) + "bnovel" + chr(92) + "b")])}),
-numbers AS (SELECT *, CAST(digits AS DOUBLE) AS normalized FROM ({_duck_numbers()})),
-only_abstract AS (SELECT * FROM numbers a WHERE section = 'abstract' AND NOT EXISTS (SELECT 1 FROM numbers b WHERE b.doc_id = a.doc_id AND b.value = a.value AND b.section IN ('body', 'table'))),
-near AS (SELECT a.doc_id, a.line_no, a.value, b.value AS body_value, b.line_no AS body_line, abs(b.normalized - a.normalized) / abs(a.normalized) AS rel_diff FROM only_abstract a JOIN numbers b ON a.doc_id = b.doc_id AND b.section = 'body' WHERE a.normalized <> 0 AND rel_diff > 0 AND rel_diff <= 0.05),
-near_none AS (SELECT doc_id, value, min(line_no) AS line_no FROM only_abstract a WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.doc_id = a.doc_id AND n.value = a.value) GROUP BY ALL),
+numbers AS MATERIALIZED (SELECT *, CAST(digits AS DOUBLE) AS normalized FROM ({_duck_numbers()})),
+elsewhere AS MATERIALIZED (SELECT DISTINCT doc_id, value FROM numbers WHERE section IN ('body', 'table')),
+only_abstract AS MATERIALIZED (SELECT a.* FROM numbers a ANTI JOIN elsewhere USING (doc_id, value) WHERE section = 'abstract'),
+near AS MATERIALIZED (SELECT a.doc_id, a.line_no, a.value, b.value AS body_value, b.line_no AS body_line, abs(b.normalized - a.normalized) / abs(a.normalized) AS rel_diff FROM only_abstract a JOIN numbers b ON a.doc_id = b.doc_id AND b.section = 'body' WHERE a.normalized <> 0 AND rel_diff > 0 AND rel_diff <= 0.05),
+near_none AS (SELECT doc_id, value, min(line_no) AS line_no FROM only_abstract ANTI JOIN near USING (doc_id, value) GROUP BY ALL),
 table_caption AS (SELECT t.doc_id, t.value AS table_value, c.value AS caption_value, t.line_no AS table_line, abs(t.normalized - c.normalized) / abs(t.normalized) AS rel_diff FROM numbers t JOIN numbers c ON t.doc_id = c.doc_id
     WHERE t.section = 'table' AND c.section = 'caption' AND t.normalized <> 0 AND c.normalized <> 0 AND rel_diff > 0 AND rel_diff <= 0.1 AND t.value <> c.value),
 conflicts AS (SELECT doc_id, context_key, count(*) AS n_numbers, count(DISTINCT round_even(normalized, 6)) AS n_values, min(line_no) AS line_no FROM
@@ -105,9 +131,10 @@ p_flags AS (SELECT *, regexp_matches(context, '{stats.SAMPLE_SIZES}') AS has_sam
 p_docs AS (SELECT l.doc_id, any_value(coalesce(p.n, 0)) AS n_p_values, any_value(p.first_line) AS first_line, bool_or(regexp_matches(line, '(?i){stats.CORRECTIONS.replace("'", "''")}')) AS has_correction, bool_or(regexp_matches(line, '(?i){stats.POWER.replace("'", "''")}')) AS has_power
     FROM lines l LEFT JOIN (SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM p_values GROUP BY doc_id) p ON l.doc_id = p.doc_id GROUP BY l.doc_id),
 misuse AS ({" UNION ALL ".join(f"SELECT doc_id, line_no, trim(line) AS context FROM lines WHERE regexp_matches(line, '(?i){p}')" for p in stats.EQUIVALENCE)}),
-claims AS (SELECT doc_id, line_no, heading, trim(line) AS claim, list_transform(regexp_extract_all(line, '{numbers.CLAIM_NUMBER.replace("(?iu)", "(?i)")}'), lambda x: trim(x)) AS numbers FROM headings WHERE regexp_matches(heading, '{numbers.CLAIM_SECTIONS}') AND len(numbers) > 0),
+claims AS MATERIALIZED (SELECT doc_id, line_no, heading, trim(line) AS claim, list_transform(regexp_extract_all(line, '{numbers.CLAIM_NUMBER.replace("(?iu)", "(?i)")}'), lambda x: trim(x)) AS numbers FROM headings WHERE regexp_matches(heading, '{numbers.CLAIM_SECTIONS}') AND len(numbers) > 0),
 code AS ({r.select(r.CODE_LINES, "part")}),
-outputs AS ({r.select(r.OUTPUTS, "orders", "o_orderkey % 50 = 0")}),
+outputs AS ({r.select(r.OUTPUTS, r.OUTPUT_ROWS)}),
+{_SAID}, {_ASSIGNED}, {_PARAMETERS}, {_CITED}, {_EVIDENCE},
 findings AS (SELECT 'overclaim' AS check_type, doc_id, line_no, severity, pattern_name AS issue, matched_text, context AS details FROM (SELECT * FROM claim_matches UNION ALL SELECT * FROM novel)
     UNION ALL SELECT 'consistency', doc_id, line_no, 'warning', 'number_close_mismatch', value, value || ' / ' || body_value FROM near
     UNION ALL SELECT 'consistency', doc_id, line_no, 'info', 'abstract_number_not_in_body', value, '' FROM near_none
@@ -119,14 +146,31 @@ findings AS (SELECT 'overclaim' AS check_type, doc_id, line_no, severity, patter
     UNION ALL SELECT 'statistics', doc_id, line_no, 'info', 'round_p_value', '', trim(line) FROM p_flags WHERE operator = '=' AND value IN (0.05, 0.01, 0.001)
     UNION ALL SELECT 'statistics', doc_id, line_no, 'critical', 'nonsig_as_equivalence', '', context FROM misuse WHERE doc_id IN (SELECT doc_id FROM p_docs WHERE n_p_values > 0)
     UNION ALL SELECT 'statistics', doc_id, first_line, 'warning', 'no_multiple_comparison_correction', '', '' FROM p_docs WHERE n_p_values > 3 AND NOT has_correction
-    UNION ALL SELECT 'statistics', doc_id, 0, 'info', 'no_power_analysis', '', '' FROM p_docs WHERE n_p_values > 0 AND NOT has_power),
+    UNION ALL SELECT 'statistics', doc_id, 0, 'info', 'no_power_analysis', '', '' FROM p_docs WHERE n_p_values > 0 AND NOT has_power
+    UNION ALL SELECT 'citations', bib_id, 0, severity, issue, key, '' FROM citation_issues
+    UNION ALL SELECT 'evidence', doc_id, line_no, severity, issue, '', details FROM evidence_rows
+    UNION ALL SELECT 'parameters', file, line_no, severity, issue, name, '' FROM parameter_rows),
 counts AS (SELECT doc_id, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'warning') AS n_warning, count(*) FILTER (severity = 'info') AS n_info FROM findings GROUP BY doc_id)"""
 
 
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code by the document whose repository it is."""
+    return r.code(spark, sf_dir).withColumnRenamed("file", "repo_id")
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim language, consistency and statistics of all rendered manuscripts."""
+    """All checks of a review on the rendered manuscripts, bibliographies and code; a number names what belongs together."""
     each = _lines(spark, sf_dir)
-    return findings.together([language.overclaims(each), numbers.consistency(numbers.prose_numbers(lines.with_section(each))), stats.statistics(each)])
+    cited = citations.citations(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)).withColumn("doc_id", F.col("bib_id"))
+    parts = [
+        language.overclaims(each),
+        numbers.consistency(numbers.prose_numbers(lines.with_section(each))),
+        stats.statistics(each),
+        findings.finding(cited, "citations", F.col("issue"), F.col("severity"), line=F.lit(0), matched=F.col("key")),
+        evidence.evidence(each, _code(spark, sf_dir)),
+        parameters.parameters(r.code(spark, sf_dir), r.sources(spark, sf_dir)),
+    ]
+    return findings.together(parts)
 
 
 # --- claim language ---
@@ -226,19 +270,19 @@ def claims(spark, sf_dir):
     return _long(evidence.claims(_lines(spark, sf_dir)).withColumn("numbers", F.array_join("numbers", "|")))
 
 
-@query(r"""SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, claim FROM claims c WHERE doc_id IN (SELECT file FROM code) AND NOT EXISTS (SELECT 1 FROM (SELECT trim(regexp_replace(unnest(c.numbers), '[%\\fold x]', '', 'gi')) AS clean) n JOIN code k ON k.file = c.doc_id AND n.clean <> '' AND contains(k.line, n.clean))""")
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, claim FROM gaps")
 def claim_evidence_gap(spark, sf_dir):
-    code = r.code(spark, sf_dir).withColumnRenamed("file", "repo_id")
+    code = _code(spark, sf_dir)
     found = evidence.claims(_lines(spark, sf_dir)).join(code.select(F.col("repo_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     return _long(evidence.without_evidence(found, code), "doc_id", "line_no", "claim")
 
 
-_COMMENT = r"regexp_extract_all(line, '(?i)#.*?(\w+)\s*[=:]\s*([+-]?\d+\.?\d*(?:e[+-]?\d+)?)', {g})"
-_SAID = f"said AS (SELECT file, line_no, unnest({_COMMENT.format(g=1)}) AS name, CAST(unnest({_COMMENT.format(g=2)}) AS DOUBLE) AS value FROM (SELECT file, line_no, substr(line, strpos(line, '#')) AS line FROM code WHERE contains(line, '#')))"
-_ASSIGNED = r"assigned AS (SELECT file, line_no, regexp_extract(line, '^(\w+) = ', 1) AS name, CAST(regexp_extract(line, '^\w+ = (\d+\.?\d*)', 1) AS DOUBLE) AS value FROM code WHERE regexp_matches(line, '^\w+ = \d'))"
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, severity, issue, details FROM evidence_rows")
+def evidence_findings(spark, sf_dir):
+    return _long(evidence.evidence(_lines(spark, sf_dir), _code(spark, sf_dir)), "doc_id", "line_no", "severity", "issue", "details")
 
 
-@query()
+@query("SELECT file, CAST(line_no AS BIGINT) AS line_no, name, value FROM said")
 def param_comments(spark, sf_dir):
     return _long(parameters.comment_values(r.code(spark, sf_dir)))
 
@@ -255,16 +299,16 @@ def param_duplicates(spark, sf_dir):
     return _long(parameters.duplicates(parameters.literals(r.sources(spark, sf_dir)).filter("kind = 'assignment'")))
 
 
-@query()
+@query("SELECT file AS doc_id, CAST(line_no AS BIGINT) AS line_no, severity, issue, name AS matched_text FROM parameter_rows")
 def parameter_findings(spark, sf_dir):
     return _long(parameters.parameters(r.code(spark, sf_dir), r.sources(spark, sf_dir)), "doc_id", "line_no", "severity", "issue", "matched_text")
 
 
 for _name, _sql in {
-    "param_mismatch": f"{_SAID}, {_ASSIGNED} SELECT s.file, s.name, CAST(s.line_no AS BIGINT) AS line_no, CAST(a.line_no AS BIGINT) AS code_line, s.value, a.value AS code_value FROM said s JOIN assigned a USING (file, name) WHERE s.value <> 0 AND a.value <> 0 AND abs(s.value - a.value) / greatest(abs(s.value), abs(a.value)) > 0.001",
-    "param_duplicates": f"{_ASSIGNED} SELECT file, name, count(DISTINCT value) AS n_values, CAST(min(line_no) AS BIGINT) AS first_line FROM assigned GROUP BY file, name HAVING n_values > 1",
+    "param_mismatch": "SELECT s.file, s.name, CAST(s.line_no AS BIGINT) AS line_no, CAST(a.line_no AS BIGINT) AS code_line, s.value, a.value AS code_value FROM said s JOIN assigned a USING (file, name) WHERE s.value <> 0 AND a.value <> 0 AND abs(s.value - a.value) / greatest(abs(s.value), abs(a.value)) > 0.001",
+    "param_duplicates": "SELECT file, name, count(DISTINCT value) AS n_values, CAST(min(line_no) AS BIGINT) AS first_line FROM assigned GROUP BY file, name HAVING n_values > 1",
 }.items():
-    ORACLE_SQL[_name] = f"WITH {VIEWS}, {_sql}"
+    ORACLE_SQL[_name] = f"WITH {VIEWS} {_sql}"
 
 
 # --- numbers beside numbers ---
@@ -300,12 +344,50 @@ def table_code_mismatch(spark, sf_dir):
 
 
 _CELLS = r"""cells AS (SELECT doc_id, regexp_extract(line, '& ([\d.]+)', 1) AS raw, CAST(regexp_extract(line, '& ([\d.]+)', 1) AS DOUBLE) AS value FROM lines WHERE contains(line, 'begin{tabular}')
-    UNION ALL SELECT doc_id, '1.5 \times 10^{2}', 150.0 FROM lines WHERE contains(line, 'begin{tabular}'))"""
+    UNION ALL SELECT doc_id, '1.48 \times 10^{2}', 148.0 FROM lines WHERE contains(line, 'begin{tabular}'))"""
 ORACLE_SQL["table_code_mismatch"] = (
     f"WITH {VIEWS}, {_OUT}, {_CELLS}, best AS (SELECT c.doc_id, c.raw, c.value, min(struct_pack(d := abs(o.value - c.value) / greatest(abs(o.value), abs(c.value)), v := o.value)) AS m FROM cells c JOIN shown o USING (doc_id) GROUP BY ALL) SELECT doc_id, CAST(0 AS BIGINT) AS table_index, raw, value, m.v AS nearest, round(m.d, 6) AS rel_diff, CASE WHEN m.d > 0.03 THEN 'critical' WHEN m.d > 0.001 THEN 'warning' END AS severity FROM best WHERE m.d <= 0.5"
 )
 
 
+# --- scripts and their outputs ---
+
+_STATE = "CASE WHEN exit_code <> 0 THEN 'script_failed' WHEN trim(stdout) = '' THEN 'no_output' WHEN NOT regexp_matches(stdout, '[0-9]') THEN 'no_numbers_in_output' END"
+_GRADE = "CASE issue WHEN 'script_failed' THEN 'critical' WHEN 'no_output' THEN 'warning' ELSE '{0}' END AS severity"
+
+
+@query()
+def reproducibility_findings(spark, sf_dir):
+    each, out = _lines(spark, sf_dir), r.outputs(spark, sf_dir)
+    scripts = out.select("doc_id", F.concat(F.lit("/repo/src/"), "script").alias("path"))
+    named = manuscripts.resolved(manuscripts.script_references(each), scripts)
+    return _long(reproduction.reproducibility(each, named, out, 0.001), "doc_id", "line_no", "severity", "issue", "matched_text")
+
+
+ORACLE_SQL["reproducibility_findings"] = f"""WITH {VIEWS}, {_OUT.replace("SELECT doc_id, CAST(unnest", "SELECT doc_id, exit_code, unnest").replace("'[-+]?", "'[-+]?").replace(" AS DOUBLE) AS value FROM outputs", " AS raw, CAST(raw AS DOUBLE) AS value FROM outputs WHERE exit_code = 0")}, {_PAPER},
+named AS (SELECT l.doc_id, l.line_no, o.exit_code, o.stdout, {_STATE} AS issue FROM lines l JOIN outputs o USING (doc_id) WHERE contains(line, '`fit.py`')),
+best AS (SELECT o.doc_id, o.raw, o.value, n.line_no, min(struct_pack(d := abs(o.value - p.value) / greatest(abs(o.value), abs(p.value)), v := p.value)) AS m FROM shown o JOIN named n USING (doc_id) JOIN said_numbers p ON o.doc_id = p.doc_id AND p.value <> 0 AND o.value <> 0 GROUP BY ALL)
+SELECT doc_id, CAST(0 AS BIGINT) AS line_no, 'info' AS severity, 'no_scripts_found' AS issue, '' AS matched_text FROM (SELECT DISTINCT doc_id FROM lines) WHERE doc_id NOT IN (SELECT doc_id FROM named)
+UNION ALL SELECT doc_id, CAST(line_no AS BIGINT), {_GRADE.format("info")}, issue, 'fit.py' FROM named WHERE issue IS NOT NULL
+UNION ALL SELECT doc_id, CAST(line_no AS BIGINT), CASE WHEN m.d > 0.05 THEN 'critical' ELSE 'warning' END, 'number_discrepancy', raw FROM best WHERE m.d > 0.001 AND m.d <= 0.1"""
+
+
+@query()
+def verify_numbers(spark, sf_dir):
+    return reproduction.verified_numbers(r.documents(spark, sf_dir), r.outputs(spark, sf_dir), 0.001, 0.03).select("doc_id", "severity", "issue", "matched_text", F.when(F.col("issue").isin("tables_parsed", "output_parsed", "verification_summary"), F.col("details")).alias("counts"))
+
+
+ORACLE_SQL["verify_numbers"] = f"""WITH {VIEWS}, {_OUT}, {_CELLS}, good AS (SELECT *, {_STATE} AS issue FROM outputs WHERE doc_id IN (SELECT doc_id FROM cells)),
+best AS (SELECT c.doc_id, c.raw, c.value, min(abs(o.value - c.value) / greatest(abs(o.value), abs(c.value))) AS d FROM cells c JOIN good g ON g.doc_id = c.doc_id AND g.issue IS NULL JOIN shown o ON o.doc_id = c.doc_id GROUP BY ALL),
+apart AS (SELECT *, CASE WHEN d > 0.03 THEN 'critical' WHEN d > 0.001 THEN 'warning' END AS severity FROM best WHERE d <= 0.5)
+SELECT doc_id, 'info' AS severity, 'no_tables_found' AS issue, '' AS matched_text, NULL AS counts FROM (SELECT DISTINCT doc_id FROM lines) WHERE doc_id NOT IN (SELECT doc_id FROM cells)
+UNION ALL SELECT doc_id, 'info', 'tables_parsed', '', count(*) || ' numbers, 1 tables' FROM cells GROUP BY doc_id
+UNION ALL SELECT doc_id, {_GRADE.format("warning")}, issue, 'fit.py', NULL FROM good WHERE issue IS NOT NULL
+UNION ALL SELECT g.doc_id, 'info', 'output_parsed', '', count(*) || ' numbers' FROM good g JOIN shown USING (doc_id) WHERE g.issue IS NULL GROUP BY g.doc_id
+UNION ALL SELECT doc_id, severity, 'table_code_mismatch', raw, NULL FROM apart WHERE severity IS NOT NULL
+UNION ALL SELECT g.doc_id, 'info', 'verification_summary', '', coalesce(n, 0) || ' matched, ' || coalesce(k, 0) || ' apart' FROM good g LEFT JOIN (SELECT doc_id, count(*) AS n, count(severity) AS k FROM apart GROUP BY doc_id) USING (doc_id) WHERE g.issue IS NULL"""
+
+
 # --- time units ---
 
 _UNIT = "CASE {x} WHEN 'hr' THEN 'hours' WHEN 'min' THEN 'minutes' WHEN 'day' THEN 'days' ELSE {x} END"
@@ -338,10 +420,6 @@ def time_unit_findings(spark, sf_dir):
 
 # --- citations ---
 
-_CITED = r"""cited AS (SELECT s_suppkey AS bib_id, 'key' || s_suppkey AS key, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE '10.1/' || s_suppkey END AS doi, CASE WHEN s_suppkey % 3 = 0 THEN ['smith', 'jones', 'lee'] ELSE ['smith', 'jones'] END AS ours FROM supplier),
-known AS (SELECT doi, status, string_split(lower(names), ',') AS theirs FROM ({known}))"""
-
-
 @query()
 def citation_join(spark, sf_dir):
     met = citations.looked_up(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir))
@@ -349,9 +427,7 @@ def citation_join(spark, sf_dir):
     return met.select("bib_id", "key", F.col("clean_doi").alias("doi"), "doi_status", F.round(overlap, 6).alias("overlap"))
 
 
-ORACLE_SQL["citation_join"] = (
-    f"WITH {_CITED.replace('{known}', r.select(r.CATALOGUE, 'supplier', 's_suppkey % 7 <> 1'))} SELECT bib_id, key, doi, CASE WHEN doi = '' THEN 'no_doi' WHEN theirs IS NULL THEN 'doi_not_found' WHEN status IS NULL THEN 'api_error' ELSE 'found' END AS doi_status, CASE WHEN doi <> '' AND status IS NOT NULL THEN round(len(list_filter(ours, lambda a: len(list_filter(theirs, lambda b: contains(a, b) OR contains(b, a))) > 0)) / greatest(len(ours), len(theirs)), 6) END AS overlap FROM cited LEFT JOIN known USING (doi)"
-)
+ORACLE_SQL["citation_join"] = f"WITH {_CITED} SELECT bib_id, key, doi, doi_status, round(overlap, 6) AS overlap FROM citation_rows"
 
 
 @query()
@@ -362,7 +438,10 @@ def title_similarity(spark, sf_dir):
 
 @query()
 def citation_findings(spark, sf_dir):
-    return _long(citations.citations(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)))
+    return citations.citations(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)).select("bib_id", "key", "severity", "issue")
+
+
+ORACLE_SQL["citation_findings"] = f"WITH {_CITED} SELECT bib_id, key, severity, issue FROM citation_issues"
 
 
 # --- review, reports, history ---
@@ -398,9 +477,14 @@ def tool_json(spark, sf_dir):
     return findings.tool_output(_findings(spark, sf_dir))
 
 
-@query("SELECT doc_id, check_type, n_critical, n_findings FROM (SELECT doc_id, check_type, count(*) FILTER (severity = 'critical') AS n_critical, count(*) AS n_findings FROM findings GROUP BY doc_id, check_type) ORDER BY doc_id, check_type LIMIT 20")
+_RUNS = "SELECT doc_id, check_type, count(*) FILTER (severity = 'critical') AS n_critical, count(*) AS n_findings, CASE WHEN check_type < 'd' THEN '2024-01-01' ELSE '2024-02-01' END AS run_at FROM findings GROUP BY doc_id, check_type"
+
+
+@query(f"SELECT doc_id, check_type, n_critical, n_findings, run_at FROM ({_RUNS}) ORDER BY run_at DESC, doc_id, check_type LIMIT 20")
 def run_history(spark, sf_dir):
-    return history.history(history.runs_of(_findings(spark, sf_dir), "run", "2024-01-01")).select("doc_id", "check_type", "n_critical", "n_findings")
+    found = _findings(spark, sf_dir)
+    runs = [history.runs_of(found.filter(f"check_type {sign} 'd'"), run, at) for sign, run, at in (("<", "one", "2024-01-01"), (">=", "two", "2024-02-01"))]
+    return history.history(runs[0].unionByName(runs[1])).select("doc_id", "check_type", "n_critical", "n_findings", F.col("timestamp").alias("run_at"))
 
 
 # --- declared claims ---
@@ -415,15 +499,14 @@ _CLAIM = {
     "with_value": "CAST(o_custkey % 7 AS DOUBLE)",
     "without_value": "CAST(o_custkey % 2 AS DOUBLE)",
 }
-_FEW = "o_orderkey % 50 < 3"
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.table(spark, sf_dir, "orders", _CLAIM, _FEW)
+    rows = r.table(spark, sf_dir, "orders", _CLAIM)
     return rows.withColumn("evidence", F.array_repeat(F.lit("run"), F.col("n_evidence"))).withColumn("citations", F.array_repeat(F.lit("key"), F.col("n_citations")))
 
 
-_ERRORS = f"""declared_claims AS ({r.select(_CLAIM, "orders", _FEW)}), errors AS (SELECT paper_id, claim_no, 'forbidden_word' AS issue, w AS detail FROM declared_claims, (SELECT unnest({list(paper.FORBIDDEN)}) AS w) WHERE contains(lower(text), w)
+_ERRORS = f"""declared_claims AS ({r.select(_CLAIM, "orders")}), errors AS (SELECT paper_id, claim_no, 'forbidden_word' AS issue, w AS detail FROM declared_claims, (SELECT unnest({list(paper.FORBIDDEN)}) AS w) WHERE contains(lower(text), w)
     UNION ALL SELECT paper_id, claim_no, 'no_evidence', '' FROM declared_claims WHERE n_evidence = 0 UNION ALL SELECT paper_id, claim_no, 'no_citation', '' FROM declared_claims WHERE n_citations = 0
     UNION ALL SELECT paper_id, claim_no, 'strength_not_permitted', strength FROM declared_claims WHERE strength NOT IN {paper.PERMITTED} UNION ALL SELECT paper_id, claim_no, 'ablation_without_effect', '' FROM declared_claims WHERE with_value = without_value)"""
 
@@ -479,12 +562,12 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").alias("task_id"), F.when(F.col("doc_id") % 9 != 0, "python fit.py").alias("command"), (F.col("doc_id") % 11 == 0).alias("timed_out"), F.lit(None).cast("string").alias("error"), "exit_code", F.lit(0).alias("expected_exit"), "stdout", F.array(F.lit("dose"), F.lit(".5")).alias("contains"), F.array(F.lit("rate 150"), F.lit("ERROR")).alias("excludes"))
 
 
-@query("SELECT doc_id AS task_id, CASE WHEN doc_id % 9 = 0 THEN 'no verification command' WHEN doc_id % 11 = 0 THEN 'timeout' WHEN exit_code <> 0 THEN 'exit code' WHEN contains(stdout, 'rate 150') THEN 'stdout contains forbidden: rate 150' ELSE 'all checks passed' END AS reason, reason = 'all checks passed' AS passed, substr(sha256(stdout), 1, 16) AS output_hash FROM outputs")
+@query("SELECT doc_id AS task_id, CASE WHEN doc_id % 9 = 0 THEN 'no verification command' WHEN doc_id % 11 = 0 THEN 'timeout' WHEN exit_code <> 0 THEN 'exit code' WHEN NOT contains(stdout, 'dose') THEN 'stdout missing: dose' WHEN contains(stdout, 'rate 150') THEN 'stdout contains forbidden: rate 150' ELSE 'all checks passed' END AS reason, reason = 'all checks passed' AS passed, substr(sha256(stdout), 1, 16) AS output_hash FROM outputs")
 def siv_verdict(spark, sf_dir):
     return registry.verification(_tasks(spark, sf_dir)).select("task_id", "reason", "passed", "output_hash")
 
 
-@query(r"""SELECT doc_id AS task_id, 'rate' AS output_key, 'value' AS drift FROM outputs WHERE abs(CAST(regexp_extract(stdout, 'rate ([\d.]+)', 1) AS DOUBLE) - 145) > 5""")
+@query(r"""SELECT doc_id AS task_id, 'rate' AS output_key, CASE WHEN contains(stdout, 'rate') THEN 'value' ELSE 'missing' END AS drift FROM outputs WHERE NOT contains(stdout, 'rate') OR abs(TRY_CAST(regexp_extract(stdout, 'rate ([\d.]+)', 1) AS DOUBLE) - 145) > 5""")
 def golden_drift(spark, sf_dir):
     out = r.outputs(spark, sf_dir).select(F.col("doc_id").alias("task_id"), "stdout")
     golden = out.select("task_id", F.lit("rate").alias("output_key"), F.lit(r"rate [\d.]+").alias("pattern"), F.lit("rate 145.0").alias("golden_value"), F.lit(5.0).alias("tolerance"))

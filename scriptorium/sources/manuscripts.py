@@ -47,8 +47,12 @@ def script_references(lines: DataFrame) -> DataFrame:
 
 
 def resolved(references: DataFrame, scripts: DataFrame) -> DataFrame:
-    """references with the path of scripts(path): the longest tail of the path that agrees, else a file of that name; of equals the first."""
+    """references with the path of scripts(path): the longest tail of the path that agrees, else a file of that name; of equals the first.
+
+    With a doc_id, scripts are those of the document's own repository.
+    """
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    met = references.withColumn("name", name("script")).join(scripts.select("path", name("path").alias("name")), "name", "left")
+    own = [c for c in ("doc_id",) if c in scripts.columns]
+    met = references.withColumn("name", name("script")).join(scripts.select(*own, "path", name("path").alias("name")), [*own, "name"], "left")
     exact = F.col("path").endswith(F.concat(F.lit("/"), F.col("script")))
     return met.groupBy("doc_id", "line_no", "script").agg(F.min_by("path", F.struct(~exact, F.length("path"), F.col("path"))).alias("path"))

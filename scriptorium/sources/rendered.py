@@ -60,25 +60,29 @@ MANUSCRIPT_LINES = {
         WHEN 4 THEN CASE WHEN {_MD} THEN '# Introduction' ELSE '~end{{abstract}}' END
         WHEN 15 THEN CASE WHEN {_MD} THEN '## Methods' ELSE '~section{{Methods}}' END
         WHEN 16 THEN 'The dose was ' || {_BODY} || '.5 mg in tissue.'
-        WHEN 17 THEN 'The dose was ' || {_BODY} || '.25 there.'
+        WHEN 17 THEN 'In the second series, which two readers kept apart from all the others, the dose was ' || {_BODY} || '.25 there, and no other sentence of this series is nearly as long as this one.'
         WHEN 20 THEN CASE WHEN {_MD} THEN '## Results' ELSE '~section*{{Results and Discussion}}' END
         WHEN 21 THEN 'A change of ' || {_BODY} || ' days was seen.'
         WHEN 22 THEN 'It took ' || CAST(o_custkey % 50 + 400 AS VARCHAR(20)) || ' ms.'
+        WHEN 23 THEN CASE WHEN {_DOC} % 6 = 5 THEN 'Values were typed in by hand.' ELSE 'All values come from `fit.py`.' END
         WHEN 30 THEN '~begin{{table}}'
         WHEN 31 THEN '~caption{{Doses up to ' || {_X} || ' mg}}'
         WHEN 32 THEN '~end{{table}}'
         WHEN 33 THEN '~begin{{table}}'
-        WHEN 34 THEN '~begin{{tabular}}{{ll}} dose & ' || {_CELL} || '.5 ~~ rate & $1.5 ~times 10^{{2}}$ ~end{{tabular}}'
+        WHEN 34 THEN '~begin{{tabular}}{{ll}} dose & ' || {_CELL} || '.5 ~~ rate & $1.48 ~times 10^{{2}}$ ~end{{tabular}}'
         WHEN 35 THEN '~end{{table}}'
         WHEN 36 THEN CASE WHEN {_MD} THEN '## Limits' ELSE '~subsection{{Limits}}' END
         ELSE {_case("o_custkey % 24", _SENTENCES)} END, '~', chr(92))""",
 }
-#: columns of `orders` where o_orderkey % 50 = 0 to script outputs and declared claims, one of each document
+#: One row for each document, from all its orders.
+OUTPUT_ROWS = "(SELECT min(o_orderkey) AS o_orderkey, min(o_custkey) AS o_custkey FROM orders GROUP BY floor(o_orderkey / 50))"
+#: columns of OUTPUT_ROWS to script outputs and declared claims, one of each document
 OUTPUTS = {
     "doc_id": _DOC,
     "script": "'fit.py'",
     "exit_code": "CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END",
-    "stdout": f"'dose: ' || {_BODY} || '.5' || chr(10) || 'rate ' || CAST(140 + o_custkey % 30 AS VARCHAR(20)) || '.0 OK'",
+    "stdout": f"CASE {_DOC} % 13 WHEN 3 THEN ' ' WHEN 4 THEN 'done' ELSE 'dose: ' || {_BODY} || '.5' || chr(10) || 'rate ' || CAST(140 + o_custkey % 30 AS VARCHAR(20)) || '.0 OK' END",
+    "stderr": "CASE WHEN o_custkey % 5 = 0 THEN 'ValueError' ELSE '' END",
 }
 _FILE, _P = "CAST(floor(p_partkey / 20) AS BIGINT)", "CAST(p_partkey % 20 AS INT)"
 #: columns of `part` to file, line_no, line
@@ -140,7 +144,8 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders", OUTPUTS, "o_orderkey % 50 = 0")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.floor(F.col("o_orderkey") / 50)).agg(F.min("o_orderkey").alias("o_orderkey"), F.min("o_custkey").alias("o_custkey"))
+    return orders.selectExpr(*[f"{sql} AS {c}" for c, sql in OUTPUTS.items()])
 
 
 def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
