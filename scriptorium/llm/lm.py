@@ -40,8 +40,8 @@ HEAD = 4_000_000
 #: Parts of the keys that are scored one after the other, a power of two, so that only a part is on disk at once.
 ROUNDS = 2
 DISCOUNT, LEAST = 0.5, 2
-#: Text whose n-grams are counted together, and bytes of text for each bucket; the least number of buckets.
-GRAM_BYTES, BUCKET_BYTES, BUCKETS = 8 << 20, 12 << 20, 48
+#: Text whose n-grams are counted together, and asked for together; bytes of text for each bucket; the least number of buckets.
+GRAM_BYTES, ASK_BYTES, BUCKET_BYTES, BUCKETS = 4 << 20, 2 << 20, 10 << 20, 48
 #: log2 of the bits of a filter of keys, whatever their number: with too many keys it lets more pass, never less.
 FILTER_BITS = 27
 
@@ -301,7 +301,7 @@ def scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     def asking(k: int) -> Callable:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for chunk in tx.slices(batches, GRAM_BYTES):
+            for chunk in tx.slices(batches, ASK_BYTES):
                 hashes, doc = tokens_of(chunk)
                 keys, where, every = [], [], runs(hashes, 3)
                 for size in (1, 2, 3):
