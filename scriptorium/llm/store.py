@@ -19,17 +19,21 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: While a table is written: partitions of the advised size, so that a small table becomes a file or two, not one for each core; and shuffle files go when it is done.
+_WHILE_WRITING = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: it is computed once, and lost executors cost nothing of it."""
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    # partitions of the advised size: a small table becomes a file or two, not one for each core
-    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    before = {key: spark.conf.get(key) for key in _WHILE_WRITING}
     try:
+        for key, value in _WHILE_WRITING.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
