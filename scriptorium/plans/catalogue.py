@@ -186,12 +186,12 @@ def overclaim_by_doc(spark, sf_dir):
     return findings.severity_counts(language.overclaims(_lines(spark, sf_dir)), "doc_id")
 
 
-ORACLE_LEXICON = "SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, pattern_name, matched_text FROM (" + _duck_matches("(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, line AS cut FROM documents WHERE lang = 'en')", OWN_WORDS) + ")"
+ORACLE_LEXICON = "SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, pattern_name, matched_text FROM (" + _duck_matches("(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, line AS cut FROM documents)", OWN_WORDS) + ")"
 
 
 @query(ORACLE_LEXICON)
 def lexicon_on_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id", F.lit(".txt").alias("ext"), "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(".txt").alias("ext"), "text")
     return _long(language.matches(lines.lines_of(docs), OWN_WORDS), "doc_id", "line_no", "pattern_name", "matched_text")
 
 
