@@ -36,6 +36,19 @@ def task_states(events: DataFrame) -> DataFrame:
     return events.select("task_id").distinct().join(last, "task_id", "left").select("task_id", F.coalesce("state", F.lit("pending")).alias("state"))
 
 
+def evidence(events: DataFrame) -> DataFrame:
+    """The evidence that each allowed event leaves, to be appended: verify and fail name no model."""
+    anonymous = F.when(F.col("event").isin("verify", "fail"), F.lit("")).otherwise(F.col("model_id").cast("string"))
+    return transitions(events).select("task_id", "ts", "event_id", "event", "to_state", anonymous.alias("model_id"))
+
+
+def task_evidence(events: DataFrame, state: str | None = None) -> DataFrame:
+    """Each task's evidence by time with the task's state, or that of the tasks in one state only. Rows, not a list: a task's evidence has no bound."""
+    states = task_states(events)
+    states = states if state is None else states.filter(F.col("state") == state)
+    return evidence(events).join(states, "task_id").orderBy("task_id", "ts", "event_id")
+
+
 def model_performance(events: DataFrame) -> DataFrame:
     """(model_id, difficulty, attempts, successes, failures, success_rate) over allowed events(…, model_id, difficulty)."""
     of = lambda s: F.count_if(F.col("to_state") == s)

@@ -372,6 +372,11 @@ UNION ALL SELECT doc_id, CAST(line_no AS BIGINT), {_GRADE.format("info")}, issue
 UNION ALL SELECT doc_id, CAST(line_no AS BIGINT), CASE WHEN m.d > 0.05 THEN 'critical' ELSE 'warning' END, 'number_discrepancy', raw FROM best WHERE m.d > 0.001 AND m.d <= 0.1"""
 
 
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, unnest(CASE WHEN regexp_matches(line, '(?i)(?:run|execute|script|code)\\s+(?:in\\s+)?(?:the\\s+)?`fit') THEN ['fit.py', 'fit.py'] ELSE ['fit.py'] END) AS script FROM lines WHERE contains(line, '`fit.py`')")
+def script_references(spark, sf_dir):
+    return _long(manuscripts.script_references(_lines(spark, sf_dir)), "doc_id", "line_no", "script")
+
+
 @query()
 def verify_numbers(spark, sf_dir):
     return reproduction.verified_numbers(r.documents(spark, sf_dir), r.outputs(spark, sf_dir), 0.001, 0.03).select("doc_id", "severity", "issue", "matched_text", F.when(F.col("issue").isin("tables_parsed", "output_parsed", "verification_summary"), F.col("details")).alias("counts"))
@@ -492,7 +497,7 @@ def run_history(spark, sf_dir):
 _CLAIM = {
     "paper_id": "CAST(floor(o_orderkey / 50) AS BIGINT)",
     "claim_no": "CAST(o_orderkey % 50 AS BIGINT)",
-    "text": "CASE o_custkey % 5 WHEN 0 THEN 'It improves and Confirms the rule' WHEN 1 THEN 'A paradigm shift' WHEN 2 THEN 'It clearly shows more' ELSE 'It indicates more' END",
+    "text": "CASE o_custkey % 5 WHEN 0 THEN 'It improves and Confirms the rule' WHEN 1 THEN 'A paradigm shift' WHEN 2 THEN 'It clearly shows more' WHEN 3 THEN 'The First model that indicates more' ELSE 'It indicates more' END",
     "strength": "CASE o_custkey % 3 WHEN 0 THEN 'shows' WHEN 1 THEN 'proves' END",
     "n_evidence": "CAST(o_custkey % 4 AS INT)",
     "n_citations": "CAST(o_custkey % 6 AS INT)",
@@ -525,6 +530,75 @@ ORACLE_SQL["claim_errors"] = f"WITH {_ERRORS} SELECT * FROM errors"
 ORACLE_SQL["claim_gate"] = f"WITH {_ERRORS} SELECT paper_id, n_claims, coalesce(n_errors, 0) AS n_errors, n_errors IS NULL AS builds FROM (SELECT paper_id, count(*) AS n_claims FROM declared_claims GROUP BY paper_id) LEFT JOIN (SELECT paper_id, count(*) AS n_errors FROM errors GROUP BY paper_id) USING (paper_id)"
 
 
+_MODEL = {
+    "paper_id": "CAST(floor(p_partkey / 5) AS BIGINT)",
+    "name": "'m' || CAST(p_partkey AS VARCHAR(20))",
+    "next_name": "'m' || CAST(p_partkey + 1 AS VARCHAR(20))",
+    "tier": "CAST(1 + p_size % 2 AS INT)",
+    "label": "CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'hypothesis' END",
+    "n_equations": "CAST(p_size % 7 AS BIGINT)",
+    "n_calibrated": "CAST(p_size % 4 AS BIGINT)",
+    "time_unit": "CASE p_size % 4 WHEN 0 THEN 'hours' WHEN 1 THEN 'days' WHEN 3 THEN 'minutes' END",
+}
+_STATISTIC = {
+    "paper_id": "CAST(floor(o_orderkey / 50) AS BIGINT)",
+    "name": "'s' || CAST(o_orderkey AS VARCHAR(20))",
+    "value": "o_custkey % 180 + CAST(0.5 AS DOUBLE)",
+    "raw": "CASE WHEN o_custkey % 9 = 0 THEN 'OK' ELSE CAST(o_custkey % 180 AS VARCHAR(20)) || '.5' END",
+}
+_DECLARED = f"declared_models AS ({r.select(_MODEL, 'part')})"
+_CHECKED = rf"""checked AS (SELECT s.*, coalesce(contains(stdout, raw) OR len(list_filter(regexp_extract_all(stdout, '[\d.]+'), lambda x: abs(TRY_CAST(x AS DOUBLE) - value) / greatest(abs(value), 1e-10) < 0.05)) > 0, false) AS verified
+    FROM ({r.select(_STATISTIC, "orders")}) s LEFT JOIN outputs o ON o.doc_id = s.paper_id)"""
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.table(spark, sf_dir, "part", _MODEL)
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = r.outputs(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), "stdout")
+    return paper.statistics_found(r.table(spark, sf_dir, "orders", _STATISTIC), outputs)
+
+
+@query()
+def priority_claims(spark, sf_dir):
+    claims = _claims(spark, sf_dir)
+    searches = claims.select("paper_id", (F.col("paper_id") % 3).alias("n_terms")).distinct()
+    return paper.priority_warnings(claims, searches).select("paper_id", "claim_no", "text")
+
+
+@query()
+def unlabelled_models(spark, sf_dir):
+    return paper.unlabelled_models(_models(spark, sf_dir)).select("paper_id", "name")
+
+
+@query()
+def coupled_units(spark, sf_dir):
+    models = _models(spark, sf_dir)
+    couplings = models.select("paper_id", F.col("name").alias("source"), F.col("next_name").alias("target"))
+    return paper.coupled_units(couplings, models)
+
+
+@query()
+def declared_statistics(spark, sf_dir):
+    return _checked(spark, sf_dir).select("paper_id", "name", "verified")
+
+
+@query()
+def paper_audit(spark, sf_dir):
+    return paper.audit(_models(spark, sf_dir), _checked(spark, sf_dir))
+
+
+ORACLE_SQL["priority_claims"] = f"WITH {_ERRORS} SELECT paper_id, claim_no, text FROM declared_claims WHERE contains(lower(text), 'first') AND paper_id % 3 = 0"
+ORACLE_SQL["unlabelled_models"] = f"WITH {_DECLARED} SELECT paper_id, name FROM declared_models WHERE tier = 2 AND (label IS NULL OR label = '')"
+ORACLE_SQL["coupled_units"] = f"""WITH {_DECLARED} SELECT * FROM (SELECT a.paper_id, a.name AS source, a.next_name AS target, coalesce(a.time_unit, 'unknown') AS source_unit, coalesce(b.time_unit, 'unknown') AS target_unit
+    FROM declared_models a LEFT JOIN declared_models b ON b.paper_id = a.paper_id AND b.name = a.next_name) WHERE source_unit <> target_unit"""
+ORACLE_SQL["declared_statistics"] = f"WITH {VIEWS}, {_CHECKED} SELECT paper_id, name, verified FROM checked"
+ORACLE_SQL["paper_audit"] = f"""WITH {VIEWS}, {_CHECKED}, {_DECLARED}, m AS (SELECT paper_id, count(*) AS n_models, sum(n_equations) AS n_equations, sum(CASE tier WHEN 1 THEN n_equations END) AS n_tier1, sum(CASE tier WHEN 2 THEN n_equations END) AS n_tier2, sum(n_calibrated) AS n_calibrated FROM declared_models GROUP BY paper_id),
+    s AS (SELECT paper_id, count(*) AS n_statistics, count(*) FILTER (verified) AS n_verified FROM checked GROUP BY paper_id)
+    SELECT paper_id, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("n_models", "n_equations", "n_tier1", "n_tier2", "n_calibrated", "n_statistics", "n_verified"))} FROM m FULL JOIN s USING (paper_id)"""
+
+
 # --- tasks ---
 
 _NEXT = "CASE WHEN e = 'verify' THEN 'verified' WHEN e = 'fail' THEN 'regressed' WHEN e = 'start' AND s IN ('pending', 'regressed') THEN 'in_progress' WHEN e = 'complete' AND s = 'in_progress' THEN 'claimed' ELSE s END"
@@ -572,3 +646,20 @@ def golden_drift(spark, sf_dir):
     out = r.outputs(spark, sf_dir).select(F.col("doc_id").alias("task_id"), "stdout")
     golden = out.select("task_id", F.lit("rate").alias("output_key"), F.lit(r"rate [\d.]+").alias("pattern"), F.lit("rate 145.0").alias("golden_value"), F.lit(5.0).alias("tolerance"))
     return registry.golden_drift(out, golden)
+
+
+@query()
+def regress_check(spark, sf_dir):
+    states = registry.task_states(r.task_events(spark, sf_dir))
+    return registry.regress_check(states, _tasks(spark, sf_dir)).select("task_id", "reason", "passed")
+
+
+@query()
+def task_evidence(spark, sf_dir):
+    return registry.task_evidence(r.task_events(spark, sf_dir)).select("task_id", "state", "event_id", "event", "to_state", "model_id")
+
+
+ORACLE_SQL["regress_check"] = f"{ORACLE_SQL['siv_verdict'].replace(' SELECT doc_id AS task_id, CASE WHEN doc_id % 9', f', {_FOLD} SELECT task_id, reason, passed FROM states JOIN (SELECT doc_id AS task_id, CASE WHEN doc_id % 9')}) USING (task_id) WHERE state = 'verified'"
+ORACLE_SQL["task_evidence"] = f"""{_STEPS}, taken AS (SELECT task_id, k, e AS event, t AS to_state FROM walk WHERE e IN ('verify', 'fail') OR s <> t)
+    SELECT task_id, last_value(to_state) OVER (PARTITION BY task_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state, event_id, taken.event, to_state, CASE WHEN taken.event IN ('verify', 'fail') THEN '' ELSE CAST(task_id % 4 AS VARCHAR) END AS model_id
+    FROM taken JOIN numbered USING (task_id, k)"""
