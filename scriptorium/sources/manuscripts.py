@@ -9,7 +9,11 @@ MANUSCRIPTS = (".tex", ".md", ".txt", ".rst")
 
 
 def files(spark: SparkSession, path: str, *extensions: str) -> DataFrame:
-    """(doc_id, file, name, ext, text) of all files below a path; a missing path fails at once. doc_id is a hash of the file's path."""
+    """(doc_id, file, name, ext, text) of all files below a path; a missing path fails at once. doc_id is a hash of the file's path.
+
+    Spark's readers pass over hidden files, whose names begin with _ or a dot,
+    so `__init__.py` is never among them.
+    """
     reader = spark.read.option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(extensions) + "}")
@@ -25,11 +29,9 @@ def manuscripts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("
     return files(spark, path, *extensions)
 
 
-def code_lines(spark: SparkSession, path: str, private: bool = True) -> DataFrame:
-    """(file, name, stem, line_no, line) of Python files; `private` keeps names that begin with two underscores."""
-    rows = files(spark, path, ".py")
-    rows = rows if private else rows.filter(~F.col("name").startswith("__"))
-    lines = rows.select("file", "name", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def code_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, stem, line_no, line) of Python files, without names that begin with an underscore."""
+    lines = files(spark, path, ".py").select("file", "name", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.select("file", "name", F.regexp_replace("name", r"\.py$", "").alias("stem"), (F.col("pos") + 1).alias("line_no"), "line")
 
 

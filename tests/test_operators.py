@@ -1,9 +1,10 @@
+import hashlib
 import random
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from scriptorium.operators import citations, lines, numbers, parameters, registry, statistics, time_units
+from scriptorium.operators import citations, lines, numbers, paper, parameters, registry, statistics, time_units
 from scriptorium.sources import manuscripts
 
 BIB = """% a comment
@@ -95,3 +96,27 @@ def test_folders(spark, tmp_path):
     refs = manuscripts.script_references(lines.lines_of(docs))
     scripts = manuscripts.files(spark, str(tmp_path), ".py").select(F.col("file").alias("path"))
     assert manuscripts.resolved(refs, scripts).first().path.endswith("/sub/fit.py")
+
+
+def test_code_of_solvers_without_hidden_modules(spark, tmp_path):
+    for name in ("solver.py", "__init__.py", "plot.py", "coupling/gut.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1\ny = 2")
+    every = manuscripts.code_lines(spark, str(tmp_path))
+    assert sorted((r.name, r.line_no) for r in every.collect()) == [(name, k) for name in ("gut.py", "plot.py", "solver.py") for k in (1, 2)]
+    assert sorted({r.name for r in manuscripts.solvers(every).collect()}) == ["gut.py", "solver.py"]
+
+
+def test_figures_have_the_start_of_their_digest(spark, tmp_path):
+    (tmp_path / "plot.png").write_bytes(b"\x00picture")
+    row = paper.figure_digest(spark.read.format("binaryFile").load(str(tmp_path))).first()
+    assert row.digest == hashlib.sha256(b"\x00picture").hexdigest()[:16]
+
+
+def test_evidence_names_no_model_for_verification(spark):
+    rows = [(1, 1, 1, "start"), (1, 2, 2, "start"), (1, 3, 3, "complete"), (1, 4, 4, "verify"), (2, 1, 5, "complete"), (2, 2, 6, "fail"), (3, 1, 7, "complete")]
+    events = spark.createDataFrame(rows, "task_id long, ts long, event_id long, event string").withColumn("model_id", F.lit(7))
+    got = [(r.task_id, r.event_id, r.to_state, r.model_id, r.state) for r in registry.task_evidence(events).collect()]
+    assert got == [(1, 1, "in_progress", "7", "verified"), (1, 3, "claimed", "7", "verified"), (1, 4, "verified", "", "verified"), (2, 6, "regressed", "", "regressed")]
+    assert [r.task_id for r in registry.task_evidence(events, "regressed").collect()] == [2]
+    assert registry.task_evidence(events.filter("false")).isEmpty()
