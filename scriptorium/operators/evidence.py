@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators.findings import finding, together
 from scriptorium.operators.lines import with_heading
 from scriptorium.operators.numbers import CLAIM_NUMBER, CLAIM_SECTIONS
+from scriptorium.operators.patterns import occurrences
 
 
 def claims(lines: DataFrame) -> DataFrame:
@@ -19,25 +20,19 @@ def claims(lines: DataFrame) -> DataFrame:
 
 def searched(number) -> F.Column:
     """What is looked for in code: every %, backslash, f, o, l, d, x and space of a number goes."""
-    return F.trim(F.regexp_replace(number, r"(?i)[%\\fold x]", ""))
-
-
-def code_tokens(code: DataFrame) -> DataFrame:
-    """(repo_id, piece): the distinct maximal runs of characters, in code lines, that a searched number can lie in."""
-    return code.select("repo_id", F.explode(F.regexp_extract_all("line", F.lit(r"[^\s]+"), F.lit(0))).alias("piece")).filter(F.col("piece").rlike("[0-9]")).distinct()
+    return F.regexp_replace(F.regexp_replace(number, r"(?i)[%\\fold x]", ""), r"^\s+|\s+$", "")
 
 
 def without_evidence(found: DataFrame, code: DataFrame) -> DataFrame:
     """The claims none of whose numbers occurs, as a substring, in code(repo_id = doc_id, line).
 
-    Numbers and pieces of code are made distinct first; they meet within a
-    repository, and there a number is looked for in pieces with its first digit.
+    An automaton over a manuscript's distinct numbers reads the lines of its
+    repository that have a digit, each once.
     """
-    wanted = found.select("doc_id", F.explode("numbers").alias("number")).distinct().withColumn("clean", searched(F.col("number"))).filter("clean <> ''")
-    wanted = wanted.withColumn("digit", F.substring("clean", 1, 1))
-    pieces = code_tokens(code).withColumn("digit", F.explode(F.array_distinct(F.split(F.regexp_replace("piece", "[^0-9]", ""), "")))).filter("digit <> ''")
-    hit = wanted.join(pieces.withColumnRenamed("repo_id", "doc_id"), ["doc_id", "digit"]).filter(F.col("piece").contains(F.col("clean"))).select("doc_id", "number").distinct()
-    supported = found.select("doc_id", "line_no", F.explode("numbers").alias("number")).join(hit, ["doc_id", "number"], "left_semi").select("doc_id", "line_no").distinct()
+    wanted = found.select("doc_id", F.explode("numbers").alias("number")).withColumn("pattern", searched(F.col("number"))).filter("pattern <> ''")
+    lines = code.filter(F.col("line").rlike("[0-9]")).select(F.col("repo_id").alias("doc_id"), F.col("line").alias("text"))
+    hit = occurrences(lines, wanted.select("doc_id", "pattern"), "doc_id")
+    supported = found.select("doc_id", "line_no", F.explode("numbers").alias("number")).withColumn("pattern", searched(F.col("number"))).join(hit, ["doc_id", "pattern"], "left_semi").select("doc_id", "line_no").distinct()
     return found.join(supported, ["doc_id", "line_no"], "left_anti")
 
 

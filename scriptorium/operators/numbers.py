@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.blocks import BLOCK, in_blocks, over_borders, with_carry
 from scriptorium.operators.findings import finding
 
 #: Kinds of numbers in prose; the value is the first group that took part.
@@ -57,13 +60,25 @@ def prose_numbers(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", "section", "kind", F.trim("value").alias("value"), F.expr("try_cast(digits as double)").alias("normalized"), "context")
 
 
+def within(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str, tolerance: float) -> DataFrame:
+    """Rows of left and right of one `by` whose numbers a and b differ, by at most so large a part of a; adds rel_diff.
+
+    Numbers so near are in the same or in neighbouring bins of their logarithm.
+    Distinct numbers meet there first, and rows then join the pairs by number,
+    so that of equal numbers no pairs are made.
+    """
+    width = -math.log(1 - tolerance) * 1.001
+    bin_of = lambda x: F.floor(F.log(F.abs(x)) / width)
+    of = lambda df, x, bins: df.filter((F.col(x) != 0) & ~F.isnan(x)).select(*by, F.col(x).cast("double").alias(x)).distinct().select(*by, x, F.signum(x).alias("sign"), bins.alias("bin"))
+    near = of(left, a, F.explode(F.array(*[bin_of(F.col(a)) + k for k in (-1, 0, 1)]))).join(of(right, b, bin_of(F.col(b))), [*by, "sign", "bin"])
+    pairs = near.withColumn("rel_diff", F.abs(F.col(b) - F.col(a)) / F.abs(a)).filter((F.col("rel_diff") > 0) & (F.col("rel_diff") <= tolerance)).select(*by, a, b, "rel_diff")
+    return left.join(pairs, [*by, a]).join(right, [*by, b])
+
+
 def abstract_and_body(numbers: DataFrame) -> DataFrame:
     """Numbers of the abstract that neither body nor table has as they stand there, beside body numbers at most 5 % away."""
-    absent = _only_in_abstract(numbers)
     body = numbers.filter("section = 'body' and normalized is not null").select("doc_id", F.col("value").alias("body_value"), F.col("normalized").alias("body_number"), F.col("line_no").alias("body_line"))
-    apart = F.abs(F.col("body_number") - F.col("normalized")) / F.abs("normalized")
-    near = absent.join(body, "doc_id").filter((F.col("normalized") != 0) & F.col("body_number").between(F.col("normalized") * 0.94, F.col("normalized") * 1.06))
-    return near.withColumn("rel_diff", apart).filter("rel_diff > 0 and rel_diff <= 0.05")
+    return within(_only_in_abstract(numbers), body, ["doc_id"], "normalized", "body_number", 0.05)
 
 
 def _only_in_abstract(numbers: DataFrame) -> DataFrame:
@@ -80,8 +95,7 @@ def abstract_only(numbers: DataFrame) -> DataFrame:
 def table_and_caption(numbers: DataFrame) -> DataFrame:
     """Pairs of a table's and a caption's number that differ, by at most 10 %."""
     side = lambda s, p: numbers.filter(f"section = '{s}' and normalized <> 0").select("doc_id", F.col("value").alias(f"{p}_value"), F.col("normalized").alias(f"{p}_number"), F.col("line_no").alias(f"{p}_line"))
-    pairs = side("table", "table").join(side("caption", "caption"), "doc_id").withColumn("rel_diff", F.abs(F.col("table_number") - F.col("caption_number")) / F.abs("table_number"))
-    return pairs.filter("rel_diff > 0 and rel_diff <= 0.1 and table_value <> caption_value")
+    return within(side("table", "table"), side("caption", "caption"), ["doc_id"], "table_number", "caption_number", 0.1).filter("table_value <> caption_value")
 
 
 def context_conflicts(numbers: DataFrame) -> DataFrame:
@@ -115,25 +129,32 @@ def relative_difference(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b))
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], blocks: int | None = None) -> DataFrame:
     """left(*by, value, ...) with the nearest value of right(*by, value) and rel_diff; ties take the smaller value.
 
     For values of one sign the nearest is the next below or above, so both
-    sides are sorted together once: no pairs are made. Zeros take no part, and
-    numbers of opposite signs never meet. The sort key splits a hot key by
-    nothing but value, so rows of one `by` stay in one task: give `by` the
-    document, or a finer block.
+    sides are sorted together and no pairs are made. Zeros take no part, and
+    numbers of opposite signs never meet. A `by` with many numbers lies in
+    several blocks of values; the last value of the blocks below and the first
+    of those above are carried over to each.
     """
     extra = [c for c in left.columns if c not in (*by, "value")]
+    keys = [*by, "sign"]
     sign = F.signum("value").alias("sign")
     ours = left.filter("value <> 0").select(*by, sign, F.col("value").cast("double").alias("value"), F.lit(True).alias("ours"), F.struct(*(extra or ["value"])).alias("row"))
     theirs = right.filter("value <> 0").select(*by, sign, F.col("value").cast("double").alias("value")).distinct().select(*by, "sign", "value", F.lit(False).alias("ours"), F.lit(None).cast(ours.schema["row"].dataType).alias("row"))
-    order, falling = (Window.partitionBy(*by, "sign").orderBy(c) for c in (F.col("value"), F.col("value").desc()))
+    rows = in_blocks(ours.unionByName(theirs), keys, ["value"], blocks)
     other = F.when(~F.col("ours"), F.col("value"))
+    ends = over_borders(rows, keys).groupBy(*keys, BLOCK).agg(F.min(other).alias("least"), F.max(other).alias("most"))
+    of_key = Window.partitionBy(*keys).orderBy(BLOCK)
+    below, above = F.max("most").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), F.min("least").over(of_key.rowsBetween(1, Window.unboundedFollowing))
+    carry = ends.select(*keys, BLOCK, below.alias("below"), above.alias("above"))
+    order, falling = (Window.partitionBy(*keys, BLOCK).orderBy(c) for c in (F.col("value"), F.col("value").desc()))
     # equal values are peers: a range frame sees them from either side, and both frames grow row by row
     low = F.last(other, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
     high = F.last(other, ignorenulls=True).over(falling.rangeBetween(Window.unboundedPreceding, 0))
-    both = ours.unionByName(theirs).withColumn("low", low).withColumn("high", high).filter("ours")
+    both = with_carry(rows.withColumn("low", low).withColumn("high", high).filter("ours"), carry, keys)
+    both = both.withColumn("low", F.coalesce("low", "below")).withColumn("high", F.coalesce("high", "above"))
     one, two = relative_difference(F.col("value"), F.col("low")), relative_difference(F.col("value"), F.col("high"))
     picked = F.when(F.col("high").isNull() | (one <= two), F.col("low")).otherwise(F.col("high"))
     out = both.withColumn("nearest", picked).withColumn("rel_diff", relative_difference(F.col("value"), F.col("nearest")))

@@ -5,29 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.blocks import BLOCK, in_blocks, over_borders, so_far, with_carry
+
 STATES = ("pending", "in_progress", "claimed", "verified", "regressed")
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """The events(task_id, ts, event, ...) that are allowed, in order, with the state that each leads to.
+def _led_to(before: Column, started: Column, completed: Column) -> Column:
+    """The state after events without verify or fail, from the time of the first start and the last complete among them."""
+    open_ = before.isin("pending", "regressed")
+    return F.when(open_ & started.isNotNull(), F.when(completed > started, "claimed").otherwise("in_progress")).when((before == "in_progress") & completed.isNotNull(), "claimed").otherwise(before)
 
-    `start` needs pending or regressed, `complete` needs in_progress, and
-    `verify` and `fail` are taken in any state. The state before an event
-    depends on all earlier ones only since the last verify or fail, so each
-    such span, at most start-complete of it, is judged by counting.
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """(task_id, _block, entry): the state that each block of a task in several blocks begins with.
+
+    A block's events are a function from the state before to the state after;
+    functions of blocks that follow one another are composed in order. A task
+    has as many as it has blocks.
     """
-    order = Window.partitionBy("task_id").orderBy("ts", "event_id")
+    at, reset = F.struct("ts", "event_id"), F.col("event").isin("verify", "fail")
+    block = Window.partitionBy("task_id", BLOCK)
+    marked = over_borders(rows, ["task_id"]).withColumn("at", at).withColumn("reset_at", F.max(F.when(reset, at)).over(block))
+    tail = F.col("reset_at").isNull() | (F.col("at") > F.col("reset_at"))
+    parts = marked.groupBy("task_id", BLOCK).agg(
+        F.max_by("event", F.when(reset, F.col("at"))).alias("last"),
+        F.min(F.when(tail & (F.col("event") == "start"), F.col("at"))).alias("started"),
+        F.max(F.when(tail & (F.col("event") == "complete"), F.col("at"))).alias("completed"),
+    )
+    after_reset = F.when(F.col("last") == "verify", "verified").when(F.col("last") == "fail", "regressed")
+    names = F.array(*map(F.lit, STATES))
+    leads = F.array(*[_led_to(F.coalesce(after_reset, F.lit(s)), F.col("started"), F.col("completed")) for s in STATES])
+    each = parts.select("task_id", F.struct(F.col(BLOCK), leads.alias("leads")).alias("x")).groupBy("task_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    none = F.array().cast(f"array<struct<{BLOCK}: int, entry: string>>")
+    step = lambda a, x: F.struct(F.element_at(x["leads"], F.array_position(names, a["state"]).cast("int")).alias("state"), F.concat(a["out"], F.array(F.struct(x[BLOCK].alias(BLOCK), a["state"].alias("entry")))).alias("out"))
+    folded = F.aggregate("x", F.struct(F.lit("pending").alias("state"), none.alias("out")), step, lambda a: a["out"])
+    return each.select("task_id", F.inline(folded))
+
+
+def _judged(events: DataFrame, blocks: int | None) -> DataFrame:
+    """The allowed events with to_state and _block."""
+    rows = in_blocks(events, ["task_id"], ["ts", "event_id"], blocks)
+    known = with_carry(rows, _entries(rows), ["task_id"])
+    order = Window.partitionBy("task_id", BLOCK).orderBy("ts", "event_id")
     reset = F.col("event").isin("verify", "fail")
-    spans = events.withColumn("span", F.sum(reset.cast("int")).over(order)).withColumn("after", F.max(F.when(reset, F.col("event"))).over(Window.partitionBy("task_id", "span")))
-    within = Window.partitionBy("task_id", "span").orderBy("ts", "event_id")
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-    started = F.coalesce(F.max(F.when(F.col("event") == "start", 1)).over(earlier), F.lit(0))
-    closed = F.coalesce(F.max(F.when((F.col("event") == "complete") & (F.col("started") == 1), 1)).over(earlier), F.lit(0))
-    flagged = spans.withColumn("started", F.when(F.coalesce(F.col("after"), F.lit("")) == "verify", 0).otherwise(started)).withColumn("closed", closed)
-    startable = (F.col("event") == "start") & (F.coalesce(F.col("after"), F.lit("fail")) == "fail") & (F.col("started") == 0)
-    completable = (F.col("event") == "complete") & (F.col("started") == 1) & (F.col("closed") == 0)
+    spans = known.withColumn("span", F.sum(reset.cast("int")).over(order))
+    opened = F.max(F.when(reset, F.col("event"))).over(Window.partitionBy("task_id", BLOCK, "span"))
+    before = F.when(opened == "verify", "verified").when(opened == "fail", "regressed").otherwise(F.coalesce("entry", F.lit("pending")))
+    earlier = Window.partitionBy("task_id", BLOCK, "span").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = lambda c: F.coalesce(F.max(c).over(earlier), F.lit(False))
+    flagged = spans.withColumn("before", before).withColumn("started", F.col("before").isin("in_progress", "claimed") | (F.col("before").isin("pending", "regressed") & seen(F.col("event") == "start")))
+    flagged = flagged.withColumn("closed", (F.col("before") == "claimed") | seen((F.col("event") == "complete") & F.col("started")))
+    startable = (F.col("event") == "start") & F.col("before").isin("pending", "regressed") & ~F.col("started")
+    completable = (F.col("event") == "complete") & F.col("started") & ~F.col("closed")
     to = F.when(F.col("event") == "verify", "verified").when(F.col("event") == "fail", "regressed").when(startable, "in_progress").when(completable, "claimed")
-    return flagged.withColumn("to_state", to).filter("to_state is not null").drop("span", "after", "started", "closed")
+    return flagged.withColumn("to_state", to).filter("to_state is not null").drop("span", "before", "started", "closed", "entry")
+
+
+def transitions(events: DataFrame, blocks: int | None = None) -> DataFrame:
+    """The events(task_id, ts, event_id, event, ...) that are allowed, with the state that each leads to.
+
+    `start` needs pending or regressed, `complete` needs in_progress, and
+    `verify` and `fail` are taken in any state. Since a verify or fail, all that
+    counts is the first start and the first complete after it. A task with many
+    events lies in several blocks of time, which begin with the state that the
+    blocks before lead to.
+    """
+    return _judged(events, blocks).drop(BLOCK)
+
+
+def claimed_transitions(events: DataFrame, blocks: int | None = None) -> DataFrame:
+    """transitions of events(…, agent_id) with claimed_by: the agent of the task's last allowed start, up to then."""
+    started = F.when(F.col("event") == "start", F.struct("agent_id"))
+    found = so_far(_judged(events, blocks), ["task_id"], ["ts", "event_id"], {"claimed_by": started})
+    return found.withColumn("claimed_by", F.col("claimed_by.agent_id")).drop(BLOCK)
 
 
 def task_states(events: DataFrame) -> DataFrame:
@@ -50,12 +100,25 @@ def task_evidence(events: DataFrame, state: str | None = None) -> DataFrame:
 
 
 def model_performance(events: DataFrame) -> DataFrame:
-    """(model_id, difficulty, attempts, successes, failures, success_rate) over allowed events(…, model_id, difficulty)."""
+    """(model_id, difficulty, attempts, successes, failures, success_rate) over events(…, agent_id, model_id, difficulty).
+
+    A complete is an attempt of the model that it names; a verify or fail is a
+    success or failure of the agent that claimed the task, whoever sends it.
+    Nothing is counted for events without such a name.
+    """
     of = lambda s: F.count_if(F.col("to_state") == s)
-    counts = transitions(events).groupBy("model_id", "difficulty").agg(of("claimed").alias("attempts"), of("verified").alias("successes"), of("regressed").alias("failures"))
+    taken = claimed_transitions(events).filter("event <> 'start'")
+    credited = taken.withColumn("model_id", F.when(F.col("event") == "complete", F.col("model_id")).otherwise(F.col("claimed_by")))
+    named = credited.filter(F.coalesce(F.col("model_id").cast("string"), F.lit("")) != "")
+    counts = named.groupBy("model_id", "difficulty").agg(of("claimed").alias("attempts"), of("verified").alias("successes"), of("regressed").alias("failures"))
     return counts.withColumn("success_rate", F.try_divide("successes", F.col("successes") + F.col("failures")))
 
 
+def listed(text: Column) -> Column:
+    """A JSON list of texts as an array; what is no such list is an empty one."""
+    return F.coalesce(F.from_json(text if isinstance(text, Column) else F.lit(text), "array<string>"), F.array().cast("array<string>"))
+
+
 def verification(tasks: DataFrame) -> DataFrame:
     """tasks(…, command, timed_out, error, exit_code, expected_exit, stdout, contains, excludes) with reason and passed.
 

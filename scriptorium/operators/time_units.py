@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.patterns import anywhere
+
 #: Unit names, how units are declared and annotated, how they are converted.
 UNITS = {"hours": ("hour", "hours", "hr", "hrs"), "minutes": ("minute", "minutes", "min", "mins"), "days": ("day", "days"), "seconds": ("second", "seconds", "sec", "secs"), "weeks": ("week", "weeks", "wk")}
 DECLARED = (
@@ -72,10 +74,9 @@ def direct_calls(models: DataFrame, solvers: DataFrame) -> DataFrame:
     calls = calls.filter(F.trim(F.split("args", ",")[0]) == "t")
     known = by_file(models).filter("unit is not null").join(models.select("file", "stem").distinct(), "file")
     hints = known.select("stem", "unit", F.explode(F.array_distinct(F.array("stem", F.split("stem", "_")[0]))).alias("hint"))
-    # a hint in a function's name begins at one of its characters, and is at most as long
-    grams = calls.withColumn("hint", F.explode(F.expr("array_distinct(flatten(transform(sequence(1, length(function)), i -> transform(sequence(1, length(function) - i + 1), n -> substring(function, i, n)))))")))
-    met = grams.join(hints, "hint")
-    return met.groupBy("file", "line_no", "function").agg(F.min_by("unit", F.struct("stem", "hint")).alias("unit"))
+    met = anywhere(calls.select(F.col("function").alias("text")), hints.select(F.col("hint").alias("pattern"))).select(F.col("text").alias("function"), F.col("pattern").alias("hint"))
+    first = met.join(hints, "hint").groupBy("function").agg(F.min_by("unit", F.struct("stem", "hint")).alias("unit"))
+    return calls.select("file", "line_no", "function").distinct().join(first, "function").select("file", "line_no", "function", "unit")
 
 
 def time_units(models: DataFrame, solvers: DataFrame) -> DataFrame:

@@ -157,7 +157,12 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier", CATALOGUE, "s_suppkey % 7 <> 1").withColumn("families", F.split("names", ",")).drop("names")
 
 
+#: The model and the agent that an event names, some of them none; they differ from event to event.
+EVENT_MODEL, EVENT_AGENT = "CASE WHEN event_id % 7 <> 0 THEN event_id % 4 END", "CASE WHEN event_id % 11 <> 0 THEN event_id % 5 END"
+
+
 def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(task_id, ts, event_id, event, model_id, difficulty) from the clicks of users."""
+    """(task_id, ts, event_id, event, model_id, agent_id, difficulty) from the clicks of users."""
     name = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "click", "complete").when(F.col("event_type") == "purchase", "verify").when(F.col("event_type") == "error", "fail").otherwise("start")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("task_id"), "ts", "event_id", name.alias("event"), (F.col("user_id") % 4).alias("model_id"), (F.col("user_id") % 3).alias("difficulty"))
+    of = lambda sql, name: F.expr(sql).cast("bigint").alias(name)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("task_id"), "ts", "event_id", name.alias("event"), of(EVENT_MODEL, "model_id"), of(EVENT_AGENT, "agent_id"), (F.col("user_id") % 3).alias("difficulty"))
