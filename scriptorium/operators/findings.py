@@ -60,6 +60,11 @@ def top_findings(found: DataFrame, n: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
 
 
+def by_severity(found: DataFrame) -> DataFrame:
+    """All findings by severity alone; within one they stay as they came."""
+    return found.withColumn("_came", F.monotonically_increasing_id()).orderBy(rank(), "_came").drop("_came")
+
+
 def severity_rollup(found: DataFrame) -> DataFrame:
     """Counts by check and severity, by check, and of all; totals have null keys."""
     return found.rollup("check_type", "severity").agg(F.count("*").alias("n_findings"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators.findings import severity_counts
+from scriptorium.sources.keyed import indexed
 
 
 def runs_of(found: DataFrame, run_id: str, timestamp: str) -> DataFrame:
@@ -14,11 +15,22 @@ def runs_of(found: DataFrame, run_id: str, timestamp: str) -> DataFrame:
 
 
 def store(found: DataFrame, folder: str, run_id: str, timestamp: str) -> None:
-    """Append the findings of a run, and its counts."""
-    found.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("check_type").parquet(f"{folder}/findings")
+    """Append the findings of a run, and its counts.
+
+    A run's files have its id alone, so that their statistics and Bloom filters
+    keep readers of other runs away; documents lie in them in order.
+    """
+    sorted_by = found.withColumn("run_id", F.lit(run_id)).sortWithinPartitions("check_type", "doc_id")
+    sorted_by.write.mode("append").option("parquet.bloom.filter.enabled#run_id", "true").partitionBy("check_type").parquet(f"{folder}/findings")
     runs_of(found, run_id, timestamp).write.mode("append").parquet(f"{folder}/runs")
 
 
+def compact(spark: SparkSession, folder: str, into: str) -> None:
+    """The findings of all runs in few files below another folder, in the order of runs, so that a run lies in one or two files."""
+    indexed(spark.read.parquet(f"{folder}/findings"), ("run_id",)).partitionBy("check_type").parquet(f"{into}/findings")
+    indexed(spark.read.parquet(f"{folder}/runs"), ("run_id",)).parquet(f"{into}/runs")
+
+
 def history(runs: DataFrame, doc_id: int | None = None, check_type: str | None = None, limit: int = 20) -> DataFrame:
     """The newest runs, by timestamp text; equals by document and check."""
     if doc_id is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.blocks import BLOCK, in_blocks, so_far
+
 #: Phrases of a claim's strength, and words that no claim may have.
 PERMITTED = ("indicates", "suggests", "is consistent with", "predicts", "shows", "supports", "provides evidence for", "to our knowledge")
 FORBIDDEN = ("demonstrates", "proves", "validates", "confirms", "novel", "paradigm shift", "breakthrough", "first ever", "clearly shows", "undeniably", "definitively")
@@ -72,6 +74,47 @@ def audit(models: DataFrame, stats: DataFrame) -> DataFrame:
     return by_model.join(by_stat, "paper_id", "full").na.fill(0)
 
 
+#: What needs an open claim or method, and is an error or passed over without.
+NEEDS_CLAIM, MAY_LACK_CLAIM = ("evidence", "statistic", "citation", "figure"), ("strength", "ablation_proof", "run_and_verify", "prior_art_check")
+NEEDS_METHOD, MAY_LACK_METHOD, OF_MODEL = ("model",), ("coupling", "verify_time_units"), ("param_published", "param_calibrated")
+
+
+def attached(log: DataFrame, blocks: int | None = None) -> DataFrame:
+    """log(paper_id, seq, kind, ...) of declarations with owner, the seq of what each belongs to, and status.
+
+    A claim is open from its declaration to the next claim or method, a method
+    to the next method, and a model to the next model or method; a claim leaves
+    the method open. status is `open` for claims and methods, `attached`,
+    `error` for what is declared where nothing is open for it, and `ignored` for
+    kinds that are then passed over. A paper with many declarations lies in
+    several blocks, over whose borders what is open is carried.
+    """
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    opened = lambda *kinds: F.when(is_(*kinds), F.struct("kind", "seq"))
+    rows = so_far(in_blocks(log, ["paper_id"], ["seq"], blocks), ["paper_id"], ["seq"], {"_claim": opened("claim", "method"), "_method": opened("method"), "_model": opened("method", "model")})
+    of = lambda mark, kind: F.when(F.col(f"{mark}.kind") == kind, F.col(f"{mark}.seq"))
+    method = of("_method", "method")
+    model = F.when(method.isNotNull(), of("_model", "model"))
+    owner = F.when(is_(*NEEDS_CLAIM, *MAY_LACK_CLAIM), of("_claim", "claim")).when(is_(*NEEDS_METHOD, *MAY_LACK_METHOD), method).when(is_(*OF_MODEL), model)
+    status = F.when(is_("claim", "method"), "open").when(F.col("owner").isNotNull(), "attached").when(is_(*NEEDS_CLAIM, *NEEDS_METHOD), "error").otherwise("ignored")
+    return rows.withColumn("owner", owner).withColumn("status", status).drop("_claim", "_method", "_model", BLOCK)
+
+
+def declared_claims(declared: DataFrame) -> DataFrame:
+    """(paper_id, seq, n_evidence, n_citations, n_statistics, issues) of attached(): each claim with what it has, and whether evidence or citations are missing."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = declared.filter("status = 'attached'").groupBy("paper_id", F.col("owner").alias("seq")).agg(n("evidence").alias("n_evidence"), n("citation").alias("n_citations"), n("statistic").alias("n_statistics"))
+    claims = declared.filter("kind = 'claim'").select("paper_id", "seq").join(counts, ["paper_id", "seq"], "left").na.fill(0, ["n_evidence", "n_citations", "n_statistics"])
+    return claims.withColumn("issues", F.concat_ws(",", F.when(F.col("n_evidence") == 0, "no_evidence"), F.when(F.col("n_citations") == 0, "no_citation")))
+
+
+def declared_models(declared: DataFrame) -> DataFrame:
+    """(paper_id, seq, n_published, n_calibrated) of attached(): each model of a method with its parameters."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    counts = declared.filter("status = 'attached'").groupBy("paper_id", F.col("owner").alias("seq")).agg(n("param_published").alias("n_published"), n("param_calibrated").alias("n_calibrated"))
+    return declared.filter("kind = 'model' and status = 'attached'").select("paper_id", "seq").join(counts, ["paper_id", "seq"], "left").na.fill(0, ["n_published", "n_calibrated"])
+
+
 def figure_digest(figures: DataFrame) -> DataFrame:
     """(path, digest) of files read by the binaryFile source."""
     return figures.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("digest"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import citations, evidence, findings, history, language, lines, numbers, paper, parameters, registry, reproduction, time_units
+from scriptorium.operators import citations, dependencies, evidence, findings, history, language, lines, numbers, paper, parameters, registry, reproduction, time_units
 from scriptorium.operators import statistics as stats
-from scriptorium.sources import manuscripts
+from scriptorium.sources import keyed, manuscripts
 from scriptorium.sources import rendered as r
+from scriptorium.tables import shared_folder
 
 #: A lexicon of the reader's own, for texts as they come.
 OWN_WORDS = (("insult", "warning", r"\b(?:stupid|worthless)\b"), ("version", "info", r"\bversion\s+\d"))
@@ -441,6 +444,11 @@ def title_similarity(spark, sf_dir):
     return met.select("bib_id", "key", F.round(citations.similarity(citations.normalized(F.col("title")), citations.normalized(F.col("known_title"))), 6).alias("similarity"))
 
 
+#: Alike as its first text has it: no title of another cohort is ever compared.
+_RATIOS = ", ".join(f"({k}, {round(SequenceMatcher(None, f'cortisol dynamics in cohort {k}', 'other matters altogether').ratio(), 6)})" for k in range(25))
+ORACLE_SQL["title_similarity"] = f"WITH {_CITED}, ratios(cohort, ratio) AS (VALUES {_RATIOS}) SELECT bib_id, key, CAST(CASE WHEN known_title = 'Other matters altogether' THEN ratio ELSE 1 END AS DOUBLE) AS similarity FROM citation_rows JOIN supplier ON s_suppkey = bib_id JOIN ratios ON cohort = s_nationkey WHERE doi_status = 'found'"
+
+
 @query()
 def citation_findings(spark, sf_dir):
     return citations.citations(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)).select("bib_id", "key", "severity", "issue")
@@ -626,17 +634,20 @@ ORACLE_SQL["task_state_counts"] = f"WITH {_FOLD} SELECT state, count(*) AS n_tas
 _STEPS = f"""WITH RECURSIVE {_FOLD.split("states AS")[0]} numbered AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY ts, event_id) AS k FROM task_events),
 walk AS (SELECT task_id, CAST(0 AS BIGINT) AS k, 'pending' AS s, '' AS e, 'pending' AS t UNION ALL SELECT n.task_id, n.k, w.t, n.event, (SELECT {_NEXT.replace("e = ", "n.event = ").replace(" s IN", " w.t IN").replace(" s = ", " w.t = ").replace("ELSE s", "ELSE w.t")}) FROM walk w JOIN numbered n ON n.task_id = w.task_id AND n.k = w.k + 1)"""
 _STEPS = _STEPS.replace("SELECT task_id, CAST(0 AS BIGINT) AS k, 'pending' AS s, '' AS e, 'pending' AS t", "SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS k, 'pending' AS s, '' AS e, 'pending' AS t FROM task_events")
-ORACLE_SQL["model_performance"] = (
-    f"{_STEPS} SELECT model_id, difficulty, attempts, successes, failures, CASE WHEN successes + failures > 0 THEN round(successes / (successes + failures), 6) END AS success_rate FROM (SELECT task_id % 4 AS model_id, task_id % 3 AS difficulty, count(*) FILTER (e = 'complete' AND s = 'in_progress') AS attempts, count(*) FILTER (e = 'verify') AS successes, count(*) FILTER (e = 'fail') AS failures FROM walk WHERE e IN ('verify', 'fail') OR s <> t GROUP BY ALL)"
-)
+ORACLE_SQL["model_performance"] = f"""{_STEPS}, credited AS (SELECT w.task_id, w.k, e, t, {r.EVENT_MODEL} AS model_id, last_value(CASE WHEN e = 'start' THEN struct_pack(a := {r.EVENT_AGENT}) END IGNORE NULLS) OVER (PARTITION BY w.task_id ORDER BY w.k) AS claimer
+    FROM walk w JOIN numbered n ON n.task_id = w.task_id AND n.k = w.k WHERE e IN ('verify', 'fail') OR s <> t)
+    SELECT model_id, difficulty, attempts, successes, failures, CASE WHEN successes + failures > 0 THEN round(successes / (successes + failures), 6) END AS success_rate
+    FROM (SELECT model_id, difficulty, count(*) FILTER (e = 'complete') AS attempts, count(*) FILTER (e = 'verify') AS successes, count(*) FILTER (e = 'fail') AS failures FROM (SELECT CASE WHEN e = 'complete' THEN model_id ELSE claimer.a END AS model_id, task_id % 3 AS difficulty, e FROM credited WHERE e <> 'start') WHERE model_id IS NOT NULL GROUP BY ALL)"""
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs with what is expected of them, as lists in JSON; of some tasks the text is no JSON."""
     out = r.outputs(spark, sf_dir)
-    return out.select(F.col("doc_id").alias("task_id"), F.when(F.col("doc_id") % 9 != 0, "python fit.py").alias("command"), (F.col("doc_id") % 11 == 0).alias("timed_out"), F.lit(None).cast("string").alias("error"), "exit_code", F.lit(0).alias("expected_exit"), "stdout", F.array(F.lit("dose"), F.lit(".5")).alias("contains"), F.array(F.lit("rate 150"), F.lit("ERROR")).alias("excludes"))
+    listed = lambda text: registry.listed(F.when(F.col("doc_id") % 17 == 0, "[dose").otherwise(text))
+    return out.select(F.col("doc_id").alias("task_id"), F.when(F.col("doc_id") % 9 != 0, "python fit.py").alias("command"), (F.col("doc_id") % 11 == 0).alias("timed_out"), F.lit(None).cast("string").alias("error"), "exit_code", F.lit(0).alias("expected_exit"), "stdout", listed('["dose", ".5"]').alias("contains"), listed('["rate 150", "ERROR"]').alias("excludes"))
 
 
-@query("SELECT doc_id AS task_id, CASE WHEN doc_id % 9 = 0 THEN 'no verification command' WHEN doc_id % 11 = 0 THEN 'timeout' WHEN exit_code <> 0 THEN 'exit code' WHEN NOT contains(stdout, 'dose') THEN 'stdout missing: dose' WHEN contains(stdout, 'rate 150') THEN 'stdout contains forbidden: rate 150' ELSE 'all checks passed' END AS reason, reason = 'all checks passed' AS passed, substr(sha256(stdout), 1, 16) AS output_hash FROM outputs")
+@query("SELECT doc_id AS task_id, CASE WHEN doc_id % 9 = 0 THEN 'no verification command' WHEN doc_id % 11 = 0 THEN 'timeout' WHEN exit_code <> 0 THEN 'exit code' WHEN doc_id % 17 = 0 THEN 'all checks passed' WHEN NOT contains(stdout, 'dose') THEN 'stdout missing: dose' WHEN contains(stdout, 'rate 150') THEN 'stdout contains forbidden: rate 150' ELSE 'all checks passed' END AS reason, reason = 'all checks passed' AS passed, substr(sha256(stdout), 1, 16) AS output_hash FROM outputs")
 def siv_verdict(spark, sf_dir):
     return registry.verification(_tasks(spark, sf_dir)).select("task_id", "reason", "passed", "output_hash")
 
@@ -661,5 +672,94 @@ def task_evidence(spark, sf_dir):
 
 ORACLE_SQL["regress_check"] = f"{ORACLE_SQL['siv_verdict'].replace(' SELECT doc_id AS task_id, CASE WHEN doc_id % 9', f', {_FOLD} SELECT task_id, reason, passed FROM states JOIN (SELECT doc_id AS task_id, CASE WHEN doc_id % 9')}) USING (task_id) WHERE state = 'verified'"
 ORACLE_SQL["task_evidence"] = f"""{_STEPS}, taken AS (SELECT task_id, k, e AS event, t AS to_state FROM walk WHERE e IN ('verify', 'fail') OR s <> t)
-    SELECT task_id, last_value(to_state) OVER (PARTITION BY task_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state, event_id, taken.event, to_state, CASE WHEN taken.event IN ('verify', 'fail') THEN '' ELSE CAST(task_id % 4 AS VARCHAR) END AS model_id
+    SELECT task_id, last_value(to_state) OVER (PARTITION BY task_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state, event_id, taken.event, to_state, CASE WHEN taken.event IN ('verify', 'fail') THEN '' ELSE CAST({r.EVENT_MODEL} AS VARCHAR) END AS model_id
     FROM taken JOIN numbered USING (task_id, k)"""
+
+
+# --- declarations in order ---
+
+_KINDS = ("claim", "evidence", "citation", "statistic", "figure", "strength", "evidence", "citation", "method", "model", "param_published", "param_calibrated", "coupling")
+_LOG = {
+    "paper_id": "CAST(floor(o_orderkey / 50) AS BIGINT)",
+    "seq": "CAST(o_orderkey % 50 AS BIGINT)",
+    "kind": r._case(f"o_custkey % {len(_KINDS)}", _KINDS),
+}
+
+
+def _one_of(kinds: tuple[str, ...]) -> str:
+    return "kind IN (" + ", ".join(f"'{k}'" for k in kinds) + ")"
+
+
+def _opened(*kinds: str) -> str:
+    return f"last_value(CASE WHEN {_one_of(kinds)} THEN struct_pack(k := kind, s := seq) END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY seq)"
+
+
+_ATTACHED = f"""log AS ({r.select(_LOG, "orders")}), marks AS (SELECT *, {_opened("claim", "method")} AS c, {_opened("method")} AS m, {_opened("method", "model")} AS o FROM log),
+owners AS (SELECT *, CASE WHEN {_one_of(paper.NEEDS_CLAIM + paper.MAY_LACK_CLAIM)} THEN CASE WHEN c.k = 'claim' THEN c.s END WHEN {_one_of(paper.NEEDS_METHOD + paper.MAY_LACK_METHOD)} THEN m.s WHEN {_one_of(paper.OF_MODEL)} AND m.s IS NOT NULL AND o.k = 'model' THEN o.s END AS owner FROM marks),
+attached AS (SELECT *, CASE WHEN kind IN ('claim', 'method') THEN 'open' WHEN owner IS NOT NULL THEN 'attached' WHEN {_one_of(paper.NEEDS_CLAIM + paper.NEEDS_METHOD)} THEN 'error' ELSE 'ignored' END AS status FROM owners)"""
+
+
+def _attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paper.attached(r.table(spark, sf_dir, "orders", _LOG))
+
+
+@query()
+def declarations(spark, sf_dir):
+    return _attached(spark, sf_dir).withColumn("owner", F.coalesce("owner", F.lit(-1)))
+
+
+@query()
+def declared_claims(spark, sf_dir):
+    return paper.declared_claims(_attached(spark, sf_dir))
+
+
+@query()
+def declared_models(spark, sf_dir):
+    return paper.declared_models(_attached(spark, sf_dir))
+
+
+ORACLE_SQL["declarations"] = f"WITH {_ATTACHED} SELECT paper_id, seq, kind, coalesce(owner, -1) AS owner, status FROM attached"
+ORACLE_SQL["declared_claims"] = f"""WITH {_ATTACHED} SELECT c.paper_id, c.seq, count(*) FILTER (a.kind = 'evidence') AS n_evidence, count(*) FILTER (a.kind = 'citation') AS n_citations, count(*) FILTER (a.kind = 'statistic') AS n_statistics,
+    concat_ws(',', CASE WHEN n_evidence = 0 THEN 'no_evidence' END, CASE WHEN n_citations = 0 THEN 'no_citation' END) AS issues FROM attached c LEFT JOIN attached a ON a.paper_id = c.paper_id AND a.owner = c.seq AND a.status = 'attached' WHERE c.kind = 'claim' GROUP BY c.paper_id, c.seq"""
+ORACLE_SQL["declared_models"] = f"""WITH {_ATTACHED} SELECT c.paper_id, c.seq, count(*) FILTER (a.kind = 'param_published') AS n_published, count(*) FILTER (a.kind = 'param_calibrated') AS n_calibrated
+    FROM attached c LEFT JOIN attached a ON a.paper_id = c.paper_id AND a.owner = c.seq AND a.status = 'attached' WHERE c.kind = 'model' AND c.status = 'attached' GROUP BY c.paper_id, c.seq"""
+
+
+# --- tasks that require others, tasks that are loaded again, findings by run ---
+
+
+@query()
+def task_problems(spark, sf_dir):
+    events = r.task_events(spark, sf_dir)
+    task = events.select("task_id").distinct()
+    edges = task.filter("task_id > 1").select("task_id", F.floor(F.col("task_id") / 2).alias("requires"))
+    edges = edges.union(task.filter("task_id % 100 = 93").select("task_id", F.col("task_id") * 2 + 1))
+    return dependencies.problems(edges, registry.task_states(events))
+
+
+_EDGES = "edges AS (SELECT DISTINCT task_id, CAST(floor(task_id / 2) AS BIGINT) AS requires FROM task_events WHERE task_id > 1 UNION SELECT task_id, task_id * 2 + 1 FROM task_events WHERE task_id % 100 = 93)"
+ORACLE_SQL["task_problems"] = f"""WITH RECURSIVE {_FOLD}, {_EDGES},
+held(task_id) AS (SELECT e.task_id FROM edges e JOIN states s ON s.task_id = e.requires AND s.state = 'regressed' UNION SELECT e.task_id FROM edges e JOIN held h ON e.requires = h.task_id),
+way(a, b) AS (SELECT task_id, requires FROM edges UNION SELECT w.a, e.requires FROM way w JOIN edges e ON w.b = e.task_id),
+turning AS (SELECT a FROM way WHERE a = b)
+SELECT task_id, 'prerequisite_regressed' AS problem FROM held UNION ALL SELECT DISTINCT a, 'cycle' FROM way WHERE a IN (FROM turning) OR b IN (FROM turning)"""
+
+
+@query("SELECT p_partkey AS task_id, CASE WHEN p_partkey % 3 = 0 THEN 'again ' || p_name ELSE p_name END AS title, p_size AS difficulty, CASE WHEN p_partkey % 3 = 0 THEN 'pending' WHEN p_partkey % 2 = 0 THEN 'verified' ELSE 'pending' END AS state FROM part")
+def task_reload(spark, sf_dir):
+    """Tasks are loaded, some are verified, and some are loaded again, which resets them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("task_id"), F.col("p_name").alias("title"), F.col("p_size").alias("difficulty"))
+    tasks = keyed.KeyedTable(spark, shared_folder(spark), ("task_id",), {"state": "'pending'"})
+    tasks.replace(part)
+    tasks.update(part.filter("task_id % 2 = 0").select("task_id", F.lit("verified").alias("state")))
+    tasks.replace(part.filter("task_id % 3 = 0").withColumn("title", F.concat(F.lit("again "), "title")))
+    return tasks.read()
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, severity, issue FROM findings WHERE check_type = 'overclaim' AND doc_id % 2 = 0")
+def run_findings(spark, sf_dir):
+    """The findings of one of three stored runs."""
+    found, folder = language.overclaims(_lines(spark, sf_dir)), shared_folder(spark)
+    for run, part in (("one", "true"), ("two", "doc_id % 2 = 0"), ("three", "doc_id % 5 = 0")):
+        history.store(found.filter(part), folder, run, f"2024-01-0{len(run)}")
+    return _long(history.findings_of(spark, folder, "two"), "doc_id", "line_no", "severity", "issue")

@@ -2,10 +2,11 @@ import hashlib
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import citations, lines, numbers, paper, parameters, registry, statistics, time_units
-from scriptorium.sources import manuscripts
+from scriptorium.sources import folders, manuscripts
 
 BIB = """% a comment
 @article{gupta2007, title = {Inclusion of the Serotonin system}, author = {Gupta, Shakti and Aslakson, Eric and Gurbaxani, Brian}, doi = {10.1186/1742-4682-7-34}, journal = {Theor Biol}, year = {2010}}
@@ -98,13 +99,37 @@ def test_folders(spark, tmp_path):
     assert manuscripts.resolved(refs, scripts).first().path.endswith("/sub/fit.py")
 
 
-def test_code_of_solvers_without_hidden_modules(spark, tmp_path):
-    for name in ("solver.py", "__init__.py", "plot.py", "coupling/gut.py"):
+def test_code_of_every_name_and_solvers_beside_the_models(spark, tmp_path):
+    names = ("models/__init__.py", "models/_constants.py", "models/.hidden.py", "models/heart.py", "models/solver.py", "solver.py", "plot.py", "coupling/gut.py", "coupling/__init__.py")
+    for name in names:
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text("x = 1\ny = 2")
     every = manuscripts.code_lines(spark, str(tmp_path))
-    assert sorted((r.name, r.line_no) for r in every.collect()) == [(name, k) for name in ("gut.py", "plot.py", "solver.py") for k in (1, 2)]
-    assert sorted({r.name for r in manuscripts.solvers(every).collect()}) == ["gut.py", "solver.py"]
+    assert sorted((r.file.split(f"{tmp_path}/")[1], r.line_no) for r in every.collect()) == sorted((name, k) for name in names for k in (1, 2))
+    models = manuscripts.model_lines(manuscripts.code_lines(spark, f"{tmp_path}/models"))
+    assert {r.name for r in models.collect()} == {"_constants.py", ".hidden.py", "heart.py", "solver.py"}
+    assert sorted({r.file.split(f"{tmp_path}/")[1] for r in manuscripts.solvers(every, f"{tmp_path}/models").collect()}) == ["coupling/gut.py", "solver.py"]
+
+
+def test_files_are_read_by_partition(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"_{k}.TXT").write_bytes(b"\xff" + b"x" * k)
+    spark.dataSource.register(folders.TextFiles)
+    df = spark.read.format(folders.NAME).options(path=f"file://{tmp_path}", extensions=".txt,.md", partitionBytes=60).load()
+    assert df.rdd.getNumPartitions() > 5 and sorted(len(r.text) for r in df.collect()) == list(range(1, 31))
+    assert manuscripts.files(spark, f"{tmp_path}/_3.TXT").first().text == "\ufffdxxx"
+    with pytest.raises(FileNotFoundError):
+        manuscripts.manuscripts(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        manuscripts.manuscripts(spark, str(tmp_path), (".py",))
+
+
+def test_scripts_in_the_manuscripts_folder(spark):
+    refs = spark.createDataFrame([(1, 1, "fit.py"), (1, 2, "sub/run.py")], "doc_id long, line_no int, script string")
+    scripts = spark.createDataFrame([("/repo/deep/fit.py", "/repo"), ("/paper/fit.py", "/repo"), ("/repo/sub/run.py", "/repo"), ("/paper/sub/run.py", "/repo")], "path string, root string")
+    where = spark.createDataFrame([(1, "/paper")], "doc_id long, folder string")
+    got = {r.line_no: r.path for r in manuscripts.resolved(refs, scripts, where).collect()}
+    assert got == {1: "/paper/fit.py", 2: "/repo/sub/run.py"}
 
 
 def test_figures_have_the_start_of_their_digest(spark, tmp_path):
