@@ -1,9 +1,11 @@
 """Line deduplication by pairwise alignment.
 
-Documents meet through runs of lines: from each line on, the shortest run of
-consecutive lines that has BLOCK_WORDS words is named by a hash of its lines'
-hashes. A block that may be deleted begins with such a run, so documents
-without one in common need not be compared. Runs that most documents lack are
+Documents meet through runs of lines: from each line on and up to each line,
+the shortest run of consecutive lines that has BLOCK_WORDS words is named by a
+hash of its lines' hashes. Every line of a block that may be deleted lies in
+such a run inside the block: those that the run from its first line on doesn't
+have are the last of one. Documents without a run in common need not be
+compared. Runs that most documents lack are
 the rare ones that link; one that several have links each of them with the
 first document that has it, so a group of n documents gives at most n - 1
 pairs for each of its runs, however frequent it is. Pairs are aligned by
@@ -42,13 +44,16 @@ def _lines(chunk: tx.Chunk) -> dict:
     words = np.searchsorted(chunk.words.starts, ends) - np.searchsorted(chunk.words.starts, starts)
     size = np.bincount(doc, minlength=len(chunk))
     before = np.concatenate([[0], np.cumsum(words)])
-    # the run from line k on ends before line end[k], if its document has so many words
+    # the run from line k on ends before line end[k], the one up to line k begins with line begin[k], if its document has so many words
+    last = np.cumsum(size)
     end = np.searchsorted(before, before[:-1] + BLOCK_WORDS)
-    at = np.flatnonzero((words > 0) & (end <= np.cumsum(size)[doc]))
-    runs = tx.Prefixes(hashes).hash(at, end[at] - at)
+    begin = np.searchsorted(before, before[1:] - BLOCK_WORDS, "right") - 1
+    onward, up_to = np.flatnonzero(end <= last[doc]), np.flatnonzero(begin >= (last - size)[doc])
+    at, stop = np.concatenate([onward, begin[up_to]]), np.concatenate([end[onward], up_to + 1])
+    runs = tx.Prefixes(hashes).hash(at, stop - at)
     mark = tx.mix(np.arange(1, len(chunk) + 1, dtype=np.uint64))[doc[at]]
     _, first = np.unique(runs ^ mark, return_index=True)
-    first.sort()
+    first = first[np.argsort(doc[at[first]], kind="stable")]
     return {
         "doc_id": chunk.batch.column(0),
         "row": chunk.batch.column(2),

@@ -50,6 +50,30 @@ def test_lines_that_stand_first_elsewhere(spark):
     assert {i: n for i, n in got.items() if n} == {21: 8}
 
 
+def test_a_short_line_at_the_end_of_a_block(spark):
+    long, five = " ".join(f"a{k}" for k in range(19)), "one two three four five"
+    rows = [(1, f"{long}\n{five}"), (5, f"{long}\n{five}\nend"), (9, f"{long}\n{five}\nend")]
+    got = {r.doc_id: r.n_removed for r in linededup.without_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 5: 2, 9: 3}
+
+
+def test_random_corpora_equal_all_pairs(spark):
+    rng = random.Random(11)
+    rows = []
+    for corpus in range(30):
+        pool = [" ".join(f"{corpus}w{k}x{j}" for j in range(rng.choice([0, 1, 3, 5, 9, 19]))) for k in range(24)]
+        for k in range(7):
+            lines = []
+            for _ in range(rng.randrange(1, 4)):
+                a = rng.randrange(24)
+                lines += pool[a : a + rng.randrange(1, 9)] + [f"own {corpus} {k} {rng.random()}"] * rng.randrange(2)
+            rows.append((corpus * 100 + k, "\n".join(lines)))
+    split, gone = removed_places(rows)
+    want = {i: (len(lines), digest(lines, g)) for (i, lines), g in zip(split, gone, strict=True)}
+    got = {r.doc_id: (r.n_lines, r.kept_sha256) for r in linededup.without_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(map(bool, gone)) > 60 and got == want
+
+
 @pytest.mark.parametrize("others", [50, 150])
 def test_how_many_others_have_a_line_changes_nothing(spark, others):
     block = [f"item {k} of" for k in range(11)]
