@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -88,10 +88,10 @@ class ByteLevel:
 
 
 class Parts:
-    """What is known of the parts that a worker has met: numbers, ids and links of each."""
+    """What is known of the parts that a worker has met: numbers and links of each, and if asked for its groups as text."""
 
-    def __init__(self, a: ByteLevel, b: Model):
-        self.a, self.b = a, b
+    def __init__(self, a: ByteLevel, b: Model, named: bool = True):
+        self.a, self.b, self.named = a, b, named
         self.cuts = b.normalise.map is None and b.normalise.prefix and b.normalise.escape and not b.normalise.squeeze and not any(re.search(f"[^{SPACE}]{SPACE}", p.decode("utf-8", "replace")) for p in b.bytes)
         self.base = len(b.bytes)
         self.spelled = [p.replace(SPACE.encode(), b" ") for p in b.bytes]
@@ -116,19 +116,24 @@ class Parts:
         flat = list(chain.from_iterable(cut))
         if len(self.known) >= MOST_PARTS or self.characters >= MOST_CHARACTERS:
             self.forget()
-        at = list(map(self.known.get, flat))
-        new = list(dict.fromkeys([p for p, k in zip(flat, at, strict=True) if k is None]))
-        if new:
-            new = self.learn(new)
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            strange = [flat[k] for k in missing.tolist()]
+            new = self.learn(list(dict.fromkeys(strange)))
             self.characters += sum(map(len, new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            at = [self.known[p] if k is None else k for p, k in zip(flat, at, strict=True)]
-        return np.array(at, np.int64), starts_of(np.fromiter(map(len, cut), np.int64, len(cut)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, strange), np.int64, len(strange))
+        return at, starts_of(np.fromiter(map(len, cut), np.int64, len(cut)))
 
     def tokens(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bytes]]:
         """Ids of A and of B, and the bytes of a space and each text."""
         raw = [t.encode("utf-8", "replace") for t in texts]
-        ids_b = self.b.encode(b"".join(raw), starts_of(np.fromiter(map(len, raw), np.int64, len(raw)))).lists
+        if self.cuts:
+            # such a model normalises nothing but spaces
+            ids_b = self.b.plain.encode([SPACE + t.replace(" ", SPACE) if t else "" for t in texts], num_threads=1)
+        else:
+            ids_b = self.b.encode(b"".join(raw), starts_of(np.fromiter(map(len, raw), np.int64, len(raw)))).lists
         return self.a.encode([" " + t for t in texts]), ids_b, [b" " + r for r in raw]
 
     def same(self, ids_a: list[list[int]], ids_b: list[list[int]], spaced: list[bytes]) -> np.ndarray:
@@ -140,8 +145,8 @@ class Parts:
 
         Parts that may stand between two cuts are encoded many at a time, as one text.
         """
-        easy = [p for p in new if self.cuts and EDGES.match(p) and SPACE not in p]
-        hard = [p for p in new if not (self.cuts and EDGES.match(p) and SPACE not in p)]
+        fit = [self.cuts and EDGES.match(p) is not None and SPACE not in p for p in new]
+        easy, hard = list(compress(new, fit)), [p for p, f in zip(new, fit, strict=True) if not f]
         at = np.cumsum(np.fromiter(map(len, easy), np.int64, len(easy))) // JOINED
         cut = [*np.flatnonzero(np.diff(at, prepend=-1)).tolist(), len(easy)]
         joined = [" ".join(easy[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -168,7 +173,8 @@ class Parts:
         n_spans = np.cumsum(np.fromiter(map(len, _SPAN.findall(labels.tobytes())), np.int64))
         here = np.searchsorted(at, n_spans)
         n_groups = np.searchsorted(n_spans, part_end, "right")
-        self.groups += self.names(flat_a, flat_b, upto_a[here - 1], upto_b[here - 1], n_groups)
+        if self.named:
+            self.groups += self.names(flat_a, flat_b, upto_a[here - 1], upto_b[here - 1], n_groups)
         self.whole = np.concatenate([self.whole, whole])
         token_ends = (np.concatenate([[0], upto])[last] for upto in (upto_a, upto_b))
         self.counts = np.concatenate([self.counts, np.stack([np.diff(x, prepend=0) for x in (*token_ends, n_groups)], 1)])
@@ -200,9 +206,15 @@ class Parts:
 
 
 @lru_cache(maxsize=1)
-def parts_of(vocabulary: str | None, model: str | bytes | None) -> Parts:
+def byte_level(vocabulary: str | None) -> ByteLevel:
+    """Read once by a worker, for all its tasks."""
+    return ByteLevel(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def parts_of(vocabulary: str | None, model: str | bytes | None, named: bool = True) -> Parts:
     """Kept by a worker for all its tasks."""
-    return Parts(ByteLevel(vocabulary), model_of(model))
+    return Parts(byte_level(vocabulary), model_of(model), named)
 
 
 def _summed(of: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -220,7 +232,7 @@ def link_counts(docs: DataFrame, vocabulary: str | None = None, model: str | byt
     """(pair, n): how many links of all texts hold an id a of A and b of B, where pair is a * (size of B) + b."""
 
     def run(batches):
-        parts = parts_of(vocabulary, model)
+        parts = parts_of(vocabulary, model, named=False)
         seen, generation = np.zeros(0, np.int64), parts.generation
 
         def counted() -> pa.RecordBatch:
