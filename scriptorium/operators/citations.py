@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.tables import stored
+
 _START = re.compile(r"@(\w+)\s*\{\s*([^,\s}]+)\s*,")
 #: Fixed value: blocks that are no entries.
 NO_ENTRIES = ("string", "preamble", "comment")
@@ -65,13 +67,22 @@ def clean_doi(doi: Column) -> Column:
 
 
 def similarity(a: Column, b: Column) -> Column:
-    """Twice the matching characters by all characters, of longest common blocks."""
+    """Twice the matching characters by all characters, of longest common blocks; null is empty. Of equal texts, and where one is empty, no Python is asked."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([None if p is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    a, b = (F.coalesce(c, F.lit("")) for c in (a, b))
+    plain = F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0)
+    return F.coalesce(plain, ratio(F.when(plain.isNull(), a), F.when(plain.isNull(), b)))
+
 
-    return ratio(a, b)
+def most_alike(a: Column, b: Column) -> Column:
+    """An upper bound of similarity(a, b): no character can match more often than it occurs in either; 1 for empty texts."""
+    often = lambda text, c: F.length(text) - F.length(F.replace(text, c))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(often(a, c), often(b, c))))
+    return F.coalesce(F.try_divide(2 * common, F.length(a) + F.length(b)), F.lit(1.0))
 
 
 def family(author: Column) -> Column:
@@ -83,20 +94,25 @@ def family(author: Column) -> Column:
 SAME_NAME = 0.8
 
 
-def author_overlap(bib: Column, known: Column) -> Column:
-    """Authors whose family name contains, lies in or resembles a known one, by the larger number of names; null if a side is empty."""
+def with_author_overlap(df: DataFrame, bib: str, known: str, name: str) -> DataFrame:
+    """Adds the share of authors whose family name contains, lies in or resembles a known one, by the larger number of names; null if a side is empty.
 
-    def same(a: str, b: str) -> bool:
-        return a in b or b in a or SequenceMatcher(None, a, b).ratio() > SAME_NAME
+    Python is asked only about names that stand in no known one, and only
+    beside those that their characters let them resemble.
+    """
 
-    @F.pandas_udf("double")
-    def share(left: pd.Series, right: pd.Series) -> pd.Series:
-        both = ((ours, theirs) for ours, theirs in zip(left, right, strict=True))
-        return pd.Series([sum(any(same(a, b) for b in theirs) for a in ours) / max(len(ours), len(theirs)) if ours is not None and theirs is not None and len(ours) and len(theirs) else None for ours, theirs in both], dtype="float64")
+    @F.pandas_udf("long")
+    def resembling(batch: pd.Series) -> pd.Series:
+        return pd.Series([None if names is None else sum(any(SequenceMatcher(None, x["name"], b).ratio() > SAME_NAME for b in x["others"]) for x in names) for names in batch], dtype="Int64")
 
-    ours = F.filter(F.transform(bib, family), lambda a: a != "")
-    theirs = F.filter(F.transform(known, normalized), lambda a: a != "")
-    return share(ours, theirs)
+    given = df.withColumn("_ours", F.filter(F.transform(bib, family), lambda a: a != "")).withColumn("_theirs", F.filter(F.transform(known, normalized), lambda a: a != ""))
+    contained = lambda a: F.exists("_theirs", lambda b: a.contains(b) | b.contains(a))
+    near = F.transform(F.filter("_ours", lambda a: ~contained(a)), lambda a: F.struct(a.alias("name"), F.filter("_theirs", lambda b: most_alike(a, b) > SAME_NAME).alias("others")))
+    judged = given.withColumn("_sure", F.size(F.filter("_ours", contained))).withColumn("_near", F.filter(near, lambda x: F.size(x["others"]) > 0))
+    # filters on the share must not move below: the optimizer would then write the whole argument into the function's place
+    judged = judged.withColumn("_near", F.when(F.size("_near") > 0, F.col("_near"))).withColumn("_more", resembling.asNondeterministic()("_near"))
+    largest = F.when((F.size("_ours") > 0) & (F.size("_theirs") > 0), F.greatest(F.size("_ours"), F.size("_theirs")))
+    return judged.withColumn(name, (F.col("_sure") + F.coalesce("_more", F.lit(0))) / largest).drop("_ours", "_theirs", "_sure", "_near", "_more")
 
 
 def looked_up(found: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -113,11 +129,11 @@ def looked_up(found: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def citations(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(bib_id, ord, key, severity, issue, score): all findings on entries."""
-    met = looked_up(found, catalogue)
+    met = stored(looked_up(found, catalogue))
     ok = met.filter("doi_status = 'found'")
     rows = lambda df, issue, severity, score=None: df.select("bib_id", "ord", "key", F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), (F.lit(None) if score is None else F.col(score)).cast("double").alias("score"))
     title = ok.filter("title <> '' and known_title <> ''").withColumn("sim", similarity(normalized(F.col("title")), normalized(F.col("known_title"))))
-    people = ok.withColumn("sim", author_overlap(F.col("authors"), F.col("families"))).filter("sim is not null")
+    people = with_author_overlap(ok, "authors", "families", "sim").filter("sim is not null")
     journal = ok.filter("journal <> '' and known_journal <> ''").withColumn("sim", similarity(normalized(F.col("journal")), normalized(F.col("known_journal"))))
     status = [rows(met.filter(F.col("doi_status") == s), s, severity) for s, severity in (("no_doi", "info"), ("doi_not_found", "critical"), ("api_error", "info"))]
     compared = [

@@ -9,12 +9,14 @@ from scriptorium.operators.findings import finding, together
 from scriptorium.operators.lines import with_heading
 from scriptorium.operators.numbers import CLAIM_NUMBER, CLAIM_SECTIONS
 from scriptorium.operators.patterns import occurrences
+from scriptorium.tables import stored
 
 
 def claims(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, heading, claim, numbers): lines with numbers in sections on results."""
     numbers = F.transform(F.regexp_extract_all("line", F.lit(CLAIM_NUMBER), F.lit(0)), lambda x: F.trim(x))
-    inside = with_heading(lines).filter(F.col("heading").rlike(CLAIM_SECTIONS))
+    headed = lines if "heading" in lines.columns else with_heading(lines)
+    inside = headed.filter(F.col("heading").rlike(CLAIM_SECTIONS))
     return inside.select("doc_id", "line_no", "heading", F.trim("line").alias("claim"), numbers.alias("numbers")).filter(F.size("numbers") > 0)
 
 
@@ -38,7 +40,7 @@ def without_evidence(found: DataFrame, code: DataFrame) -> DataFrame:
 
 def evidence(lines: DataFrame, code: DataFrame) -> DataFrame:
     """Findings: manuscripts without claims, without code, and claims without evidence in code."""
-    found = claims(lines)
+    found = stored(claims(lines))
     docs = lines.select("doc_id").distinct()
     has_code = code.select(F.col("repo_id").alias("doc_id")).distinct()
     with_claims = found.select("doc_id").distinct()

@@ -92,7 +92,7 @@ def markdown_reports(found: DataFrame, width: int = 150) -> DataFrame:
 def tool_output(found: DataFrame, major: int = 20, minor: int = 20, suggestions: int = 10) -> DataFrame:
     """(doc_id, json): the first issues of each severity as text, for tools that read JSON."""
     limits = dict(zip(SEVERITIES, (major, minor, suggestions), strict=True))
-    order = Window.partitionBy("doc_id", "severity").orderBy("line_no", "issue", "matched_text")
+    order = Window.partitionBy("doc_id", "severity").orderBy("line_no", "issue", "matched_text", "details")
     few = found.withColumn("place", F.row_number().over(order)).filter(F.coalesce(*[F.when(F.col("severity") == s, F.col("place") <= n) for s, n in limits.items()], F.lit(False)))
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("place", issue_text().alias("text"))))), lambda x: x["text"]).alias(name) for s, name in zip(SEVERITIES, ("major_issues", "minor_issues", "suggestions"), strict=True)]
     return few.groupBy("doc_id").agg(*lists).select("doc_id", F.to_json(F.struct("major_issues", "minor_issues", "suggestions")).alias("json"))

@@ -98,6 +98,8 @@ def section_ranges(lines: DataFrame) -> DataFrame:
     return heads.withColumn("next", after).join(ends, "doc_id").select("doc_id", "heading", "start_line", F.coalesce("next", "doc_end").alias("end_line"))
 
 
-def with_context(lines: DataFrame, reach: int = 5) -> DataFrame:
-    """Adds context: the lines within reach, joined by spaces."""
-    return lines.withColumn("context", F.array_join(F.collect_list("line").over(_in_doc().rowsBetween(-reach, reach)), " "))
+def with_context(lines: DataFrame, where: Column, reach: int = 5) -> DataFrame:
+    """The lines for which `where` holds, with context: the lines within reach, joined by spaces. No other line's context is put together."""
+    around = [F.lag("line", k) if k > 0 else F.lead("line", -k) for k in range(reach, -reach - 1, -1)]
+    near = lines.withColumn("_around", F.struct(*[c.over(_in_doc()).alias(f"l{k}") for k, c in enumerate(around)]))
+    return near.filter(where).withColumn("context", F.concat_ws(" ", *[F.col(f"_around.l{k}") for k in range(2 * reach + 1)])).drop("_around")

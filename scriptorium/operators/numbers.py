@@ -27,8 +27,8 @@ OUTPUT_NUMBER = r"(?i)[-+]?\d+\.?\d*(?:e[+-]?\d+)?"
 CLAIM_SECTIONS = "result|discussion|finding|outcome|analysis|evaluation"
 
 
-#: Characters of context on either side of a number.
-REACH = 40
+#: Characters of context on either side of a number in prose, and of a line of output.
+REACH, OUTPUT_CONTEXT = 40, 120
 
 
 def prose_numbers(lines: DataFrame) -> DataFrame:
@@ -162,9 +162,10 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], blocks: int | None
 
 
 def output_numbers(outputs: DataFrame) -> DataFrame:
-    """(doc_id, script, line_no, raw, value) of outputs(doc_id, script, stdout)."""
+    """(doc_id, script, line_no, context, raw, value) of outputs(doc_id, script, stdout); context is the start of the line, OUTPUT_CONTEXT characters."""
     lines = outputs.select("doc_id", "script", F.posexplode(F.split("stdout", "\n")).alias("pos", "line"))
-    raw = lines.select("doc_id", "script", (F.col("pos") + 1).alias("line_no"), F.explode(F.regexp_extract_all("line", F.lit(OUTPUT_NUMBER), F.lit(0))).alias("raw"))
+    context = F.substring(F.regexp_replace("line", r"^\s+|\s+$", ""), 1, OUTPUT_CONTEXT).alias("context")
+    raw = lines.select("doc_id", "script", (F.col("pos") + 1).alias("line_no"), context, F.explode(F.regexp_extract_all("line", F.lit(OUTPUT_NUMBER), F.lit(0))).alias("raw"))
     return raw.withColumn("value", F.expr("try_cast(raw as double)")).filter("value is not null")
 
 

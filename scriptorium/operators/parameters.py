@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.findings import finding, together
 from scriptorium.operators.numbers import relative_difference
+from scriptorium.tables import stored
 
 #: A name and a number after a # or a quote, and names of steady states.
 COMMENT_VALUE = r"(?iU)#.*?(\w+)\s*[=:]\s*([+-]?\d+\.?\d*(?:e[+-]?\d+)?)|[\"'].*?(\w+)\s*[=:]\s*([+-]?\d+\.?\d*(?:e[+-]?\d+)?)"
@@ -88,7 +89,7 @@ def duplicates(assigned: DataFrame) -> DataFrame:
 
 def parameters(code: DataFrame, sources: DataFrame) -> DataFrame:
     """All findings on parameters; a file's number is its document's."""
-    known, said = literals(sources), comment_values(code)
+    known, said = stored(literals(sources)), comment_values(code)
     of = lambda kind: known.filter(F.col("kind") == kind)
     doc = lambda df: df.withColumn("doc_id", F.col("file"))
     name = F.col("name")

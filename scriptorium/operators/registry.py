@@ -58,11 +58,13 @@ def _judged(events: DataFrame, blocks: int | None) -> DataFrame:
     startable = (F.col("event") == "start") & F.col("before").isin("pending", "regressed") & ~F.col("started")
     completable = (F.col("event") == "complete") & F.col("started") & ~F.col("closed")
     to = F.when(F.col("event") == "verify", "verified").when(F.col("event") == "fail", "regressed").when(startable, "in_progress").when(completable, "claimed")
-    return flagged.withColumn("to_state", to).filter("to_state is not null").drop("span", "before", "started", "closed", "entry")
+    taken = flagged.withColumn("to_state", to).filter("to_state is not null")
+    was = F.coalesce(F.lag("to_state").over(order), "entry", F.lit("pending"))
+    return taken.withColumn("from_state", was).drop("span", "before", "started", "closed", "entry")
 
 
 def transitions(events: DataFrame, blocks: int | None = None) -> DataFrame:
-    """The events(task_id, ts, event_id, event, ...) that are allowed, with the state that each leads to.
+    """The events(task_id, ts, event_id, event, ...) that are allowed, with from_state and to_state.
 
     `start` needs pending or regressed, `complete` needs in_progress, and
     `verify` and `fail` are taken in any state. Since a verify or fail, all that
@@ -87,9 +89,9 @@ def task_states(events: DataFrame) -> DataFrame:
 
 
 def evidence(events: DataFrame) -> DataFrame:
-    """The evidence that each allowed event leaves, to be appended: verify and fail name no model."""
+    """The evidence that each allowed event leaves, to be appended, with its transition as `from->to`: verify and fail name no model."""
     anonymous = F.when(F.col("event").isin("verify", "fail"), F.lit("")).otherwise(F.col("model_id").cast("string"))
-    return transitions(events).select("task_id", "ts", "event_id", "event", "to_state", anonymous.alias("model_id"))
+    return transitions(events).select("task_id", "ts", "event_id", "event", "to_state", F.concat("from_state", F.lit("->"), "to_state").alias("transition"), anonymous.alias("model_id"))
 
 
 def task_evidence(events: DataFrame, state: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def p_values(lines: DataFrame) -> DataFrame:
 
 def near_p_values(lines: DataFrame) -> DataFrame:
     """p_values with has_sample_size and has_test: whether the lines within five say so. Only around p-values is the context read."""
-    some = with_context(lines).withColumn("p_values", _found()).filter(F.size("p_values") > 0)
+    has = reduce(lambda a, b: a | b, [F.col("line").rlike(f"(?U){p}") for p in P_VALUES])
+    some = with_context(lines, has).withColumn("p_values", _found())
     flags = some.withColumn("has_sample_size", F.col("context").rlike(f"(?U){SAMPLE_SIZES}")).withColumn("has_test", F.col("context").rlike(f"(?iU){TESTS}"))
     return flags.select(*lines.columns, "has_sample_size", "has_test", F.inline("p_values"))
 

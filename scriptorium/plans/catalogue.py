@@ -11,7 +11,7 @@ from scriptorium.operators import citations, dependencies, evidence, findings, h
 from scriptorium.operators import statistics as stats
 from scriptorium.sources import keyed, manuscripts
 from scriptorium.sources import rendered as r
-from scriptorium.tables import shared_folder
+from scriptorium.tables import shared_folder, stored
 
 #: A lexicon of the reader's own, for texts as they come.
 OWN_WORDS = (("insult", "warning", r"\b(?:stupid|worthless)\b"), ("version", "info", r"\bversion\s+\d"))
@@ -163,11 +163,11 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks of a review on the rendered manuscripts, bibliographies and code; a number names what belongs together."""
-    each = _lines(spark, sf_dir)
+    each = stored(lines.with_heading(lines.with_section(_lines(spark, sf_dir))))
     cited = citations.citations(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir)).withColumn("doc_id", F.col("bib_id"))
     parts = [
         language.overclaims(each),
-        numbers.consistency(numbers.prose_numbers(lines.with_section(each))),
+        numbers.consistency(stored(numbers.prose_numbers(each))),
         stats.statistics(each),
         findings.finding(cited, "citations", F.col("issue"), F.col("severity"), line=F.lit(0), matched=F.col("key")),
         evidence.evidence(each, _code(spark, sf_dir)),
@@ -426,13 +426,27 @@ def time_unit_findings(spark, sf_dir):
     return _long(time_units.time_units(code.filter("file % 10 < 8"), code.filter("file % 10 >= 8")))
 
 
+_ALL_UNITS = "(SELECT string_agg(DISTINCT unit, ',' ORDER BY unit) FROM model_units)"
+ORACLE_SQL["time_unit_findings"] = (
+    rf"""WITH {VIEWS}, {_DECL}, rates AS (SELECT file, line_no, line, {_UNIT.format(x="u")} AS unit FROM (SELECT file, line_no, line, regexp_extract(line, '#\s*.*?(?:1/|per\s+|/)(hr|min|day)', 1) AS u FROM code UNION ALL SELECT file, line_no, line, regexp_extract(line, '#\s*.*?\w+/(hr|min|day)', 1) FROM code) WHERE u <> ''),
+    model_units AS (SELECT * FROM declared WHERE file % 10 < 8), solvers AS (SELECT * FROM code WHERE file % 10 >= 8),
+    turned AS (SELECT file, line_no FROM solvers WHERE regexp_matches(line, 't\s*[*/]\s*(60|24|1440|3600)(\.0)?|[*/]\s*60(\.0)?\s*$'))
+    SELECT CAST(file AS VARCHAR) AS file, CAST(1 AS BIGINT) AS line_no, 'info' AS severity, 'time_unit_detected' AS issue, unit FROM model_units
+    UNION ALL SELECT CAST(file AS VARCHAR), line_no, CASE WHEN contains(line, 'converted to') THEN 'info' ELSE 'critical' END, CASE WHEN contains(line, 'converted to') THEN 'documented_unit_conversion' ELSE 'internal_unit_mismatch' END, r.unit FROM rates r JOIN model_units m USING (file) WHERE r.unit <> m.unit
+    UNION ALL SELECT CAST(file AS VARCHAR), min(line_no), 'warning', 'no_time_unit_declaration', string_agg(DISTINCT unit, ',' ORDER BY unit) FROM rates WHERE file % 10 < 8 AND file NOT IN (SELECT file FROM model_units) GROUP BY file
+    UNION ALL SELECT CAST(file AS VARCHAR), coalesce(line_no, 0), CASE WHEN line_no IS NULL THEN 'critical' ELSE 'info' END, CASE WHEN line_no IS NULL THEN 'missing_time_conversion' ELSE 'time_conversion_present' END, '' FROM (SELECT DISTINCT file FROM solvers) LEFT JOIN (SELECT file, min(line_no) AS line_no FROM turned GROUP BY file) USING (file) WHERE (SELECT count(DISTINCT unit) FROM model_units) > 1
+    UNION ALL SELECT CAST(file AS VARCHAR), line_no, 'warning', 'direct_t_pass', (SELECT unit FROM model_units ORDER BY 'hpa_' || file LIMIT 1) FROM solvers s WHERE contains(line, 'hpa_ode(t,') AND NOT EXISTS (SELECT 1 FROM turned t WHERE t.file = s.file AND abs(t.line_no - s.line_no) <= 2) AND EXISTS (FROM model_units)
+    UNION ALL SELECT NULL, 0, CASE WHEN count(DISTINCT unit) > 1 THEN 'warning' ELSE 'info' END, CASE WHEN count(DISTINCT unit) > 1 THEN 'multiple_time_units' ELSE 'uniform_time_units' END, {_ALL_UNITS} FROM model_units HAVING count(*) > 0"""
+)
+
+
 # --- citations ---
 
 @query()
 def citation_join(spark, sf_dir):
     met = citations.looked_up(citations.entries(r.bibliographies(spark, sf_dir)), r.catalogue(spark, sf_dir))
-    overlap = F.when(F.col("doi_status") == "found", citations.author_overlap(F.col("authors"), F.col("families")))
-    return met.select("bib_id", "key", F.col("clean_doi").alias("doi"), "doi_status", F.round(overlap, 6).alias("overlap"))
+    overlap = F.when(F.col("doi_status") == "found", F.round("overlap", 6)).alias("overlap")
+    return citations.with_author_overlap(met, "authors", "families", "overlap").select("bib_id", "key", F.col("clean_doi").alias("doi"), "doi_status", overlap)
 
 
 ORACLE_SQL["citation_join"] = f"WITH {_CITED} SELECT bib_id, key, doi, doi_status, round(overlap, 6) AS overlap FROM citation_rows"
@@ -480,12 +494,18 @@ def severity_rollup(spark, sf_dir):
     return findings.severity_rollup(_findings(spark, sf_dir))
 
 
-@query()
+_ROW = "CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 9 END AS rank, '| ' || concat_ws(' | ', severity, CAST(line_no AS VARCHAR), issue, substr(replace(details, '|', chr(92) || '|'), 1, 150)) || ' |' AS row"
+_TEXT = "concat_ws(' ', CASE WHEN line_no > 0 THEN '[:' || line_no || ']' END, CASE WHEN issue <> '' THEN '(' || issue || ')' END, CASE WHEN details <> '' THEN details ELSE matched_text END)"
+
+
+@query(f"""SELECT doc_id, '# Integrity report' || chr(10) || chr(10) || 'Findings: ' || CAST(sum(n) AS BIGINT) || ', critical: ' || CAST(sum(c) AS BIGINT) || ', warnings: ' || CAST(sum(w) AS BIGINT) || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY check_type) AS report
+    FROM (SELECT doc_id, check_type, count(*) AS n, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'warning') AS w, '## ' || check_type || chr(10) || chr(10) || '| Severity | Line | Issue | Details |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg(row, chr(10) ORDER BY rank, line_no, issue, row) AS part FROM (SELECT *, {_ROW} FROM findings) GROUP BY doc_id, check_type) GROUP BY doc_id""")
 def markdown_report(spark, sf_dir):
     return findings.markdown_reports(_findings(spark, sf_dir))
 
 
-@query()
+@query(f"""SELECT doc_id, CAST(to_json(struct_pack(major_issues := coalesce(list(text ORDER BY place) FILTER (severity = 'critical'), []), minor_issues := coalesce(list(text ORDER BY place) FILTER (severity = 'warning'), []), suggestions := coalesce(list(text ORDER BY place) FILTER (severity = 'info'), []))) AS VARCHAR) AS json
+    FROM (SELECT *, {_TEXT} AS text, row_number() OVER (PARTITION BY doc_id, severity ORDER BY line_no, issue, matched_text, details) AS place FROM findings) WHERE place <= CASE severity WHEN 'info' THEN 10 ELSE 20 END GROUP BY doc_id""")
 def tool_json(spark, sf_dir):
     return findings.tool_output(_findings(spark, sf_dir))
 
@@ -667,12 +687,12 @@ def regress_check(spark, sf_dir):
 
 @query()
 def task_evidence(spark, sf_dir):
-    return registry.task_evidence(r.task_events(spark, sf_dir)).select("task_id", "state", "event_id", "event", "to_state", "model_id")
+    return registry.task_evidence(r.task_events(spark, sf_dir)).select("task_id", "state", "event_id", "event", "transition", "model_id")
 
 
 ORACLE_SQL["regress_check"] = f"{ORACLE_SQL['siv_verdict'].replace(' SELECT doc_id AS task_id, CASE WHEN doc_id % 9', f', {_FOLD} SELECT task_id, reason, passed FROM states JOIN (SELECT doc_id AS task_id, CASE WHEN doc_id % 9')}) USING (task_id) WHERE state = 'verified'"
-ORACLE_SQL["task_evidence"] = f"""{_STEPS}, taken AS (SELECT task_id, k, e AS event, t AS to_state FROM walk WHERE e IN ('verify', 'fail') OR s <> t)
-    SELECT task_id, last_value(to_state) OVER (PARTITION BY task_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state, event_id, taken.event, to_state, CASE WHEN taken.event IN ('verify', 'fail') THEN '' ELSE CAST({r.EVENT_MODEL} AS VARCHAR) END AS model_id
+ORACLE_SQL["task_evidence"] = f"""{_STEPS}, taken AS (SELECT task_id, k, e AS event, t AS to_state, s || '->' || t AS transition FROM walk WHERE e IN ('verify', 'fail') OR s <> t)
+    SELECT task_id, last_value(to_state) OVER (PARTITION BY task_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS state, event_id, taken.event, transition, CASE WHEN taken.event IN ('verify', 'fail') THEN '' ELSE CAST({r.EVENT_MODEL} AS VARCHAR) END AS model_id
     FROM taken JOIN numbered USING (task_id, k)"""
 
 

@@ -25,7 +25,7 @@ def test_nearest_over_blocks_equals_all_pairs(spark, n):
 
 
 def followed(rows):
-    """(event_id, to_state, claimed_by) of allowed events by the rules, one event at a time."""
+    """(event_id, from_state, to_state, claimed_by) of allowed events by the rules, one event at a time."""
     state, claimer, out = {}, {}, []
     for task, _, event_id, event, agent in sorted(rows, key=lambda r: (r[1], r[2])):
         s = state.get(task, "pending")
@@ -33,7 +33,7 @@ def followed(rows):
         if to:
             state[task] = to
             claimer[task] = agent if event == "start" else claimer.get(task)
-            out.append((event_id, to, claimer.get(task)))
+            out.append((event_id, s, to, claimer.get(task)))
     return sorted(out)
 
 
@@ -44,8 +44,8 @@ def test_tasks_over_blocks_follow_the_rules(spark, n, weights):
     rows = [(rng.choice([1, 1, 1, 1, 2, 3]), k // 3, k, rng.choices(["start", "complete", "verify", "fail"], weights)[0], rng.choice(["a", "b", None])) for k in range(260)]
     events = spark.createDataFrame(rows, "task_id long, ts long, event_id long, event string, agent_id string")
     got = registry.claimed_transitions(events, n)
-    assert sorted((r.event_id, r.to_state, r.claimed_by) for r in got.collect()) == followed(rows)
-    assert sorted(registry.transitions(events, n).columns) == sorted([*events.columns, "to_state"])
+    assert sorted((r.event_id, r.from_state, r.to_state, r.claimed_by) for r in got.collect()) == followed(rows)
+    assert sorted(registry.transitions(events, n).columns) == sorted([*events.columns, "from_state", "to_state"])
 
 
 def test_a_hot_key_lies_in_many_blocks(spark):

@@ -34,7 +34,7 @@ def test_what_stands_near_a_p_value_may_be_broken_over_lines(spark):
 
 def test_similar_family_names_are_one(spark):
     rows = [(["Mueller, A.", "Bob Johanson"], ["Muller", "Johansson"]), (["Smith, A."], ["Jones", "Smith-Lee"]), ([], ["x"]), (None, ["x"]), (["Ann Lee"], ["Brown"])]
-    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(citations.author_overlap(F.col("a"), F.col("b")).alias("o")).collect()
+    got = citations.with_author_overlap(spark.createDataFrame(rows, "a array<string>, b array<string>"), "a", "b", "o").collect()
     assert [r.o for r in got] == [1.0, 0.5, None, None, 0.0]
 
 

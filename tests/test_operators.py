@@ -145,3 +145,24 @@ def test_evidence_names_no_model_for_verification(spark):
     assert got == [(1, 1, "in_progress", "7", "verified"), (1, 3, "claimed", "7", "verified"), (1, 4, "verified", "", "verified"), (2, 6, "regressed", "", "regressed")]
     assert [r.task_id for r in registry.task_evidence(events, "regressed").collect()] == [2]
     assert registry.task_evidence(events.filter("false")).isEmpty()
+
+
+def test_bounds_of_likeness_hold(spark):
+    rng = random.Random(9)
+    pairs = [("".join(rng.choice("abcd é.$") for _ in range(rng.randrange(12))), "".join(rng.choice("abcd é.$") for _ in range(rng.randrange(12)))) for _ in range(300)]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", citations.most_alike(F.col("a"), F.col("b")).alias("m")).collect():
+        assert r.m == pytest.approx(SequenceMatcher(None, r.a, r.b).quick_ratio()) and r.m + 1e-12 >= SequenceMatcher(None, r.a, r.b).ratio()
+
+
+def test_overlap_equals_python(spark):
+    rng = random.Random(10)
+    name = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9)))
+    rows = [([name() for _ in range(rng.randrange(4))], [name() for _ in range(rng.randrange(4))]) for _ in range(200)]
+    same = lambda a, b: a in b or b in a or SequenceMatcher(None, a, b).ratio() > 0.8
+    got = citations.with_author_overlap(spark.createDataFrame(rows, "a array<string>, b array<string>"), "a", "b", "o").collect()
+    assert all(r.o == (sum(any(same(a, b) for b in r.b) for a in r.a) / max(len(r.a), len(r.b)) if r.a and r.b else None) for r in got)
+
+
+def test_context_of_output(spark):
+    rows = numbers.output_numbers(spark.createDataFrame([(1, "s", f"  x\t12 {'y' * 200}  \nz")], "doc_id long, script string, stdout string")).collect()
+    assert [(r.line_no, r.raw, r.context) for r in rows] == [(1, "12", f"x\t12 {'y' * 200}"[:120])]
