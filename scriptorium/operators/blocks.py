@@ -54,3 +54,12 @@ def so_far(rows: DataFrame, keys: list[str], order: list[str], marks: dict[str,
     within = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     found = with_carry(rows.withColumns({f"_here_{name}": F.last(mark, ignorenulls=True).over(within) for name, mark in marks.items()}), carry, keys)
     return found.withColumns({name: F.coalesce(f"_here_{name}", f"_carried_{name}") for name in marks}).drop(*[f"_{part}_{name}" for part in ("here", "carried") for name in marks])
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """rows of in_blocks() with their number within their key, from 1 on."""
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = over_borders(rows, keys).groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"))
+    carry = sizes.select(*keys, BLOCK, F.sum("_n").over(before).alias("_before"))
+    here = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order))
+    return with_carry(rows.withColumn("_here", here), carry, keys).withColumn(name, F.col("_here") + F.coalesce("_before", F.lit(0))).drop("_here", "_before")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.blocks import in_blocks, numbered
+
 SEVERITIES = {"critical": 0, "warning": 1, "info": 2}
 COLUMNS = ("check_type", "doc_id", "line_no", "severity", "issue", "matched_text", "details")
 
@@ -89,6 +91,21 @@ def markdown_reports(found: DataFrame, width: int = 150) -> DataFrame:
     return grouped.select("doc_id", F.concat(totals, F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")).alias("report"))
 
 
+def printed_issues(found: DataFrame, width: int = 200, suggestions: int = 10, blocks: int | None = None) -> DataFrame:
+    """(doc_id, severity, place, text): what a verdict prints, numbered by severity and cut at `width`.
+
+    All critical findings and warnings, and the first `suggestions` of the
+    others, after which a line says how many more there are. A document with
+    many findings lies in several blocks.
+    """
+    keys, order = ["doc_id", "severity"], ["line_no", "issue", "matched_text", "details"]
+    rows = in_blocks(found.filter(F.col("severity").isin(*SEVERITIES)), keys, order, blocks)
+    some = numbered(rows, keys, order, "place").filter((F.col("severity") != "info") | (F.col("place") <= suggestions))
+    more = rows.filter("severity = 'info'").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > suggestions)
+    rest = more.select(*keys, F.lit(suggestions + 1).cast("bigint").alias("place"), F.concat(F.lit("... and "), F.col("n") - suggestions, F.lit(" more.")).alias("text"))
+    return some.select(*keys, F.col("place").cast("bigint").alias("place"), F.substring(issue_text(), 1, width).alias("text")).unionByName(rest)
+
+
 def tool_output(found: DataFrame, major: int = 20, minor: int = 20, suggestions: int = 10) -> DataFrame:
     """(doc_id, json): the first issues of each severity as text, for tools that read JSON."""
     limits = dict(zip(SEVERITIES, (major, minor, suggestions), strict=True))

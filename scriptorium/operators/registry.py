@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.blocks import BLOCK, in_blocks, over_borders, so_far, with_carry
 
+#: Characters of an output that a task keeps.
+KEPT_OUTPUT = 10_000
 STATES = ("pending", "in_progress", "claimed", "verified", "regressed")
 
 
@@ -122,7 +124,7 @@ def listed(text: Column) -> Column:
 
 
 def verification(tasks: DataFrame) -> DataFrame:
-    """tasks(…, command, timed_out, error, exit_code, expected_exit, stdout, contains, excludes) with reason and passed.
+    """tasks(…, command, timed_out, error, exit_code, expected_exit, stdout, contains, excludes) with reason, passed, output_hash and the first KEPT_OUTPUT characters of the output.
 
     The first failing rule is the reason: no command, timeout, error, exit
     code, a text that is missing, a text that is forbidden.
@@ -137,7 +139,8 @@ def verification(tasks: DataFrame) -> DataFrame:
         .when(missing.isNotNull(), F.concat(F.lit("stdout missing: "), missing))
         .when(forbidden.isNotNull(), F.concat(F.lit("stdout contains forbidden: "), forbidden))
     )
-    return tasks.withColumn("reason", F.coalesce(reason, F.lit("all checks passed"))).withColumn("passed", reason.isNull()).withColumn("output_hash", output_hash(F.col("stdout")))
+    judged = tasks.withColumn("reason", F.coalesce(reason, F.lit("all checks passed"))).withColumn("passed", reason.isNull()).withColumn("output_hash", output_hash(F.col("stdout")))
+    return judged.withColumn("verification_output", F.substring("stdout", 1, KEPT_OUTPUT))
 
 
 def output_hash(stdout: Column) -> Column:
@@ -158,6 +161,20 @@ def golden_drift(outputs: DataFrame, golden: DataFrame) -> DataFrame:
     return both.select("task_id", "output_key", drift.alias("drift")).filter("drift is not null")
 
 
+def tasks_of(tasks: DataFrame, spec_id: str | None = None, state: str | None = None) -> DataFrame:
+    """tasks(spec_id, task_id, state, ...) of one specification, in one state, or both, by specification and id."""
+    if spec_id is not None:
+        tasks = tasks.filter(F.col("spec_id") == spec_id)
+    if state is not None:
+        tasks = tasks.filter(F.col("state") == state)
+    return tasks.orderBy("spec_id", "task_id")
+
+
+def of_model(performance: DataFrame, model_id=None) -> DataFrame:
+    """model_performance of one model, or of all."""
+    return performance if model_id is None else performance.filter(F.col("model_id") == model_id)
+
+
 def regress_check(states: DataFrame, tasks: DataFrame) -> DataFrame:
-    """The verdict, anew, on each task that counts as verified."""
+    """The verdict, anew, on each task that counts as verified; of one specification if tasks are tasks_of it."""
     return verification(tasks.join(states.filter("state = 'verified'").select("task_id"), "task_id", "left_semi"))

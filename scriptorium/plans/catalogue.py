@@ -504,6 +504,12 @@ def markdown_report(spark, sf_dir):
     return findings.markdown_reports(_findings(spark, sf_dir))
 
 
+@query(f"""SELECT doc_id, severity, CAST(place AS BIGINT) AS place, substr(text, 1, 200) AS text FROM (SELECT *, {_TEXT} AS text, row_number() OVER (PARTITION BY doc_id, severity ORDER BY line_no, issue, matched_text, details) AS place FROM findings) WHERE severity <> 'info' OR place <= 10
+    UNION ALL SELECT doc_id, 'info', 11, '... and ' || (count(*) - 10) || ' more.' FROM findings WHERE severity = 'info' GROUP BY doc_id HAVING count(*) > 10""")
+def printed_issues(spark, sf_dir):
+    return findings.printed_issues(_findings(spark, sf_dir))
+
+
 @query(f"""SELECT doc_id, CAST(to_json(struct_pack(major_issues := coalesce(list(text ORDER BY place) FILTER (severity = 'critical'), []), minor_issues := coalesce(list(text ORDER BY place) FILTER (severity = 'warning'), []), suggestions := coalesce(list(text ORDER BY place) FILTER (severity = 'info'), []))) AS VARCHAR) AS json
     FROM (SELECT *, {_TEXT} AS text, row_number() OVER (PARTITION BY doc_id, severity ORDER BY line_no, issue, matched_text, details) AS place FROM findings) WHERE place <= CASE severity WHEN 'info' THEN 10 ELSE 20 END GROUP BY doc_id""")
 def tool_json(spark, sf_dir):

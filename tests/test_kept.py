@@ -97,6 +97,29 @@ def test_lists_that_are_no_json_are_empty(spark):
     assert [r.l for r in rows] == [["a", "b"], [], [], [], []]
 
 
+@pytest.mark.parametrize("n", [1, 6])
+def test_issues_are_numbered_over_blocks(spark, n):
+    rng = random.Random(n)
+    rows = [("c", rng.choice([1, 1, 1, 2]), rng.randrange(50), rng.choice(["critical", "warning", "info", "odd"]), "i", str(k), "") for k in range(200)]
+    found = spark.createDataFrame(rows, "check_type string, doc_id long, line_no int, severity string, issue string, matched_text string, details string")
+    got = {(r.doc_id, r.severity, r.place): r.text for r in findings.printed_issues(found, blocks=n).collect()}
+    want = {}
+    for doc in (1, 2):
+        for severity in ("critical", "warning", "info"):
+            mine = sorted((r[2], r[4], r[5]) for r in rows if r[1] == doc and r[3] == severity)
+            for place, (line, issue, matched) in enumerate(mine if severity != "info" else mine[:10], 1):
+                want[doc, severity, place] = (f"[:{line}] " if line else "") + f"({issue}) {matched}"
+            if severity == "info" and len(mine) > 10:
+                want[doc, severity, 11] = f"... and {len(mine) - 10} more."
+    assert got == want
+
+
+def test_tasks_of_a_specification(spark):
+    tasks = spark.createDataFrame([("b", 2, "verified"), ("a", 3, "pending"), ("a", 1, "verified")], "spec_id string, task_id int, state string")
+    ids = lambda df: [r.task_id for r in df.collect()]
+    assert (ids(registry.tasks_of(tasks)), ids(registry.tasks_of(tasks, "a")), ids(registry.tasks_of(tasks, state="verified")), ids(registry.tasks_of(tasks, "a", "verified"))) == ([1, 3, 2], [1, 3], [1, 2], [1])
+
+
 def test_severity_alone_orders(spark):
     rows = [("info", 1), ("warning", 2), ("critical", 3), ("info", 4), ("critical", 5), ("odd", 6)]
     assert [r.n for r in findings.by_severity(spark.createDataFrame(rows, "severity string, n int").coalesce(1)).collect()] == [3, 5, 2, 1, 4, 6]
