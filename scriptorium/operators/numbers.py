@@ -169,22 +169,49 @@ def output_numbers(outputs: DataFrame) -> DataFrame:
     return raw.withColumn("value", F.expr("try_cast(raw as double)")).filter("value is not null")
 
 
+#: The environments that are tables, in the order in which they are numbered.
+TABLES = (r"(?s)\\begin\{tabular[*x]?\}.*?\\end\{tabular[*x]?\}", r"(?s)\\begin\{longtable\}.*?\\end\{longtable\}")
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+
+
+def _with_lines(text: Column, pattern: str) -> Column:
+    """The matches of a pattern as (line_no, block): where a match begins follows from the line breaks before it."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("before"), whole.alias("block"))
+    none = F.array().cast("array<struct<line_no: int, block: string>>")
+    step = lambda a, x: F.struct((a["line"] + _breaks(x["before"]) + _breaks(x["block"])).alias("line"), F.concat(a["out"], F.array(F.struct((a["line"] + _breaks(x["before"])).alias("line_no"), x["block"].alias("block")))).alias("out"))
+    return F.aggregate(pairs, F.struct(F.lit(1).alias("line"), none.alias("out")), step, lambda a: a["out"])
+
+
+def _ending(rows: Column, first: Column) -> Column:
+    """Pieces of a block that begins in line `first` as (line, line_no), with the line in which each ends."""
+    none = F.array().cast("array<struct<line: string, line_no: int>>")
+    step = lambda a, x: F.struct((a["line"] + _breaks(x)).alias("line"), F.concat(a["out"], F.array(F.struct(x.alias("line"), (a["line"] + _breaks(x)).alias("line_no")))).alias("out"))
+    return F.aggregate(rows, F.struct(first.alias("line"), none.alias("out")), step, lambda a: a["out"])
+
+
 def table_numbers(docs: DataFrame) -> DataFrame:
-    """(doc_id, table_index, row_index, cell, raw, value) of the tabular environments of docs(doc_id, text), longtables last.
+    """(doc_id, table_index, row_index, line_no, cell, raw, value) of the tabular environments of docs(doc_id, text), longtables last.
 
     `a \\times 10^{b}` is one number; what else stands in its cell is read too.
+    line_no is the line of the text in which the row ends.
     """
-    blocks = F.concat(F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{tabular[*x]?\}.*?\\end\{tabular[*x]?\}"), F.lit(0)), F.regexp_extract_all("text", F.lit(r"(?s)\\begin\{longtable\}.*?\\end\{longtable\}"), F.lit(0)))
-    rows = docs.select("doc_id", F.posexplode(blocks).alias("table_index", "block")).select("doc_id", "table_index", F.posexplode(F.split("block", r"\\\\|\\hline|\\(?:top|mid|bottom)rule")).alias("row_index", "line"))
+    blocks = F.concat(*[_with_lines(F.col("text"), p) for p in TABLES])
+    split = F.split("t.block", r"\\\\|\\hline|\\(?:top|mid|bottom)rule")
+    placed = docs.select("doc_id", F.posexplode(blocks).alias("table_index", "t")).select("doc_id", "table_index", F.posexplode(_ending(split, F.col("t.line_no"))).alias("row_index", "r"))
+    rows = placed.select("doc_id", "table_index", "row_index", F.col("r.line").alias("line"), F.col("r.line_no").alias("line_no"))
     inner = F.regexp_replace("line", r"\\(?:begin|end)\{[a-z]+[*x]?\}(?:\{[^}]*\})*", "")
-    cells = rows.select("doc_id", "table_index", "row_index", F.explode(F.split(inner, "&")).alias("cell")).withColumn("cell", F.trim(F.regexp_replace("cell", r"\s+", " "))).filter("cell <> ''")
+    cells = rows.select("doc_id", "table_index", "row_index", "line_no", F.explode(F.split(inner, "&")).alias("cell")).withColumn("cell", F.trim(F.regexp_replace("cell", r"\s+", " "))).filter("cell <> ''")
     power = r"(\d+\.?\d*)\s*\\times\s*10\s*\^\s*\{?\s*([+-]?\d+)\s*\}?"
     plain = r"(?i)(?<![a-zA-Z\d.])([-+]?\d+\.?\d*)(?![.\d])"
     whole, mantissa, exponent = (F.regexp_extract_all("cell", F.lit(power), F.lit(g)) for g in range(3))
     sci = F.transform(F.arrays_zip(whole.alias("w"), mantissa.alias("m"), exponent.alias("e")), lambda x: F.struct(x["w"].alias("raw"), (x["m"].cast("double") * F.pow(F.lit(10.0), x["e"].cast("double"))).alias("value")))
     rest = F.regexp_replace("cell", power, " ")
     ordinary = F.transform(F.regexp_extract_all(rest, F.lit(plain), F.lit(1)), lambda m: F.struct(m.alias("raw"), m.cast("double").alias("value")))
-    return cells.select("doc_id", "table_index", "row_index", F.substring("cell", 1, 80).alias("cell"), F.inline(F.concat(sci, ordinary)))
+    return cells.select("doc_id", "table_index", "row_index", "line_no", F.substring("cell", 1, 80).alias("cell"), F.inline(F.concat(sci, ordinary)))
 
 
 def table_mismatches(tables: DataFrame, outputs: DataFrame, warning: float = 0.05, critical: float = 0.20) -> DataFrame:

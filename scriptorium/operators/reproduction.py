@@ -70,7 +70,7 @@ def verified_numbers(docs: DataFrame, outputs: DataFrame, warning: float = 0.05,
             finding(parsed, check, "tables_parsed", "info", line=none_line, details=F.format_string("%d numbers, %d tables", "n", "n_tables")),
             finding(met.filter("state is not null").select("doc_id", "script", "state.*"), check, F.col("issue"), F.col("severity"), line=none_line, matched=F.col("script"), details=F.col("details")),
             finding(n_shown, check, "output_parsed", "info", line=none_line, details=F.format_string("%d numbers", "n_shown")),
-            finding(near.filter("severity is not null"), check, "table_code_mismatch", F.col("severity"), line=none_line, matched=F.col("raw"), details=F.format_string("table %d, script %s: %.1f %%", F.col("table_index") + 1, F.col("nearest").cast("string"), F.col("rel_diff") * 100)),
+            finding(near.filter("severity is not null"), check, "table_code_mismatch", F.col("severity"), matched=F.col("raw"), details=F.format_string("table %d, script %s: %.1f %%", F.col("table_index") + 1, F.col("nearest").cast("string"), F.col("rel_diff") * 100)),
             finding(summary, check, "verification_summary", "info", line=none_line, details=F.concat(count("n_matched"), F.lit(" matched, "), count("n_apart"), F.lit(" apart"))),
         ]
     )

@@ -343,13 +343,13 @@ ORACLE_SQL["number_discrepancy"] = f"WITH {VIEWS}, {_OUT}, {_PAPER}, {_BEST} SEL
 def table_code_mismatch(spark, sf_dir):
     tables = numbers.table_numbers(r.documents(spark, sf_dir))
     shown = numbers.output_numbers(r.outputs(spark, sf_dir)).select("doc_id", "value")
-    return _long(numbers.table_mismatches(tables, shown, 0.001, 0.03).select("doc_id", "table_index", "raw", "value", "nearest", F.round("rel_diff", 6).alias("rel_diff"), "severity"))
+    return _long(numbers.table_mismatches(tables, shown, 0.001, 0.03).select("doc_id", "table_index", "line_no", "raw", "value", "nearest", F.round("rel_diff", 6).alias("rel_diff"), "severity"))
 
 
-_CELLS = r"""cells AS (SELECT doc_id, regexp_extract(line, '& ([\d.]+)', 1) AS raw, CAST(regexp_extract(line, '& ([\d.]+)', 1) AS DOUBLE) AS value FROM lines WHERE contains(line, 'begin{tabular}')
-    UNION ALL SELECT doc_id, '1.48 \times 10^{2}', 148.0 FROM lines WHERE contains(line, 'begin{tabular}'))"""
+_CELLS = r"""cells AS (SELECT doc_id, line_no, regexp_extract(line, '& ([\d.]+)', 1) AS raw, CAST(regexp_extract(line, '& ([\d.]+)', 1) AS DOUBLE) AS value FROM lines WHERE contains(line, 'begin{tabular}')
+    UNION ALL SELECT doc_id, line_no, '1.48 \times 10^{2}', 148.0 FROM lines WHERE contains(line, 'begin{tabular}'))"""
 ORACLE_SQL["table_code_mismatch"] = (
-    f"WITH {VIEWS}, {_OUT}, {_CELLS}, best AS (SELECT c.doc_id, c.raw, c.value, min(struct_pack(d := abs(o.value - c.value) / greatest(abs(o.value), abs(c.value)), v := o.value)) AS m FROM cells c JOIN shown o USING (doc_id) GROUP BY ALL) SELECT doc_id, CAST(0 AS BIGINT) AS table_index, raw, value, m.v AS nearest, round(m.d, 6) AS rel_diff, CASE WHEN m.d > 0.03 THEN 'critical' WHEN m.d > 0.001 THEN 'warning' END AS severity FROM best WHERE m.d <= 0.5"
+    f"WITH {VIEWS}, {_OUT}, {_CELLS}, best AS (SELECT c.doc_id, c.line_no, c.raw, c.value, min(struct_pack(d := abs(o.value - c.value) / greatest(abs(o.value), abs(c.value)), v := o.value)) AS m FROM cells c JOIN shown o USING (doc_id) GROUP BY ALL) SELECT doc_id, CAST(0 AS BIGINT) AS table_index, CAST(line_no AS BIGINT) AS line_no, raw, value, m.v AS nearest, round(m.d, 6) AS rel_diff, CASE WHEN m.d > 0.03 THEN 'critical' WHEN m.d > 0.001 THEN 'warning' END AS severity FROM best WHERE m.d <= 0.5"
 )
 
 
@@ -382,18 +382,18 @@ def script_references(spark, sf_dir):
 
 @query()
 def verify_numbers(spark, sf_dir):
-    return reproduction.verified_numbers(r.documents(spark, sf_dir), r.outputs(spark, sf_dir), 0.001, 0.03).select("doc_id", "severity", "issue", "matched_text", F.when(F.col("issue").isin("tables_parsed", "output_parsed", "verification_summary"), F.col("details")).alias("counts"))
+    return reproduction.verified_numbers(r.documents(spark, sf_dir), r.outputs(spark, sf_dir), 0.001, 0.03).select("doc_id", "severity", "issue", "matched_text", F.col("line_no").cast("bigint").alias("line_no"), F.when(F.col("issue").isin("tables_parsed", "output_parsed", "verification_summary"), F.col("details")).alias("counts"))
 
 
 ORACLE_SQL["verify_numbers"] = f"""WITH {VIEWS}, {_OUT}, {_CELLS}, good AS (SELECT *, {_STATE} AS issue FROM outputs WHERE doc_id IN (SELECT doc_id FROM cells)),
-best AS (SELECT c.doc_id, c.raw, c.value, min(abs(o.value - c.value) / greatest(abs(o.value), abs(c.value))) AS d FROM cells c JOIN good g ON g.doc_id = c.doc_id AND g.issue IS NULL JOIN shown o ON o.doc_id = c.doc_id GROUP BY ALL),
+best AS (SELECT c.doc_id, c.line_no, c.raw, c.value, min(abs(o.value - c.value) / greatest(abs(o.value), abs(c.value))) AS d FROM cells c JOIN good g ON g.doc_id = c.doc_id AND g.issue IS NULL JOIN shown o ON o.doc_id = c.doc_id GROUP BY ALL),
 apart AS (SELECT *, CASE WHEN d > 0.03 THEN 'critical' WHEN d > 0.001 THEN 'warning' END AS severity FROM best WHERE d <= 0.5)
-SELECT doc_id, 'info' AS severity, 'no_tables_found' AS issue, '' AS matched_text, NULL AS counts FROM (SELECT DISTINCT doc_id FROM lines) WHERE doc_id NOT IN (SELECT doc_id FROM cells)
-UNION ALL SELECT doc_id, 'info', 'tables_parsed', '', count(*) || ' numbers, 1 tables' FROM cells GROUP BY doc_id
-UNION ALL SELECT doc_id, {_GRADE.format("warning")}, issue, 'fit.py', NULL FROM good WHERE issue IS NOT NULL
-UNION ALL SELECT g.doc_id, 'info', 'output_parsed', '', count(*) || ' numbers' FROM good g JOIN shown USING (doc_id) WHERE g.issue IS NULL GROUP BY g.doc_id
-UNION ALL SELECT doc_id, severity, 'table_code_mismatch', raw, NULL FROM apart WHERE severity IS NOT NULL
-UNION ALL SELECT g.doc_id, 'info', 'verification_summary', '', coalesce(n, 0) || ' matched, ' || coalesce(k, 0) || ' apart' FROM good g LEFT JOIN (SELECT doc_id, count(*) AS n, count(severity) AS k FROM apart GROUP BY doc_id) USING (doc_id) WHERE g.issue IS NULL"""
+SELECT doc_id, 'info' AS severity, 'no_tables_found' AS issue, '' AS matched_text, CAST(0 AS BIGINT) AS line_no, NULL AS counts FROM (SELECT DISTINCT doc_id FROM lines) WHERE doc_id NOT IN (SELECT doc_id FROM cells)
+UNION ALL SELECT doc_id, 'info', 'tables_parsed', '', 0, count(*) || ' numbers, 1 tables' FROM cells GROUP BY doc_id
+UNION ALL SELECT doc_id, {_GRADE.format("warning")}, issue, 'fit.py', 0, NULL FROM good WHERE issue IS NOT NULL
+UNION ALL SELECT g.doc_id, 'info', 'output_parsed', '', 0, count(*) || ' numbers' FROM good g JOIN shown USING (doc_id) WHERE g.issue IS NULL GROUP BY g.doc_id
+UNION ALL SELECT doc_id, severity, 'table_code_mismatch', raw, line_no, NULL FROM apart WHERE severity IS NOT NULL
+UNION ALL SELECT g.doc_id, 'info', 'verification_summary', '', 0, coalesce(n, 0) || ' matched, ' || coalesce(k, 0) || ' apart' FROM good g LEFT JOIN (SELECT doc_id, count(*) AS n, count(severity) AS k FROM apart GROUP BY doc_id) USING (doc_id) WHERE g.issue IS NULL"""
 
 
 # --- time units ---

@@ -58,6 +58,12 @@ def test_tables_against_outputs(spark):
     assert got[1, "info", "verification_summary"] == "2 matched, 1 apart" and got[1, "info", "tables_parsed"] == "3 numbers, 1 tables"
 
 
+def test_table_numbers_have_the_line_of_their_row(spark):
+    text = "\n".join(["intro", r"\begin{longtable}{l} 1 \\", r" 2 & 3 \hline", r"\end{longtable} x \begin{tabular}{l}", "4", r"\\ 5 & $6 \times 10^{2}$", r"\end{tabular} and \begin{tabular}{l} 7 \\ \end{tabular}", r"\begin{tabular*}{l}", r"8 \end{tabular*}"])
+    got = [(r.table_index, r.line_no, r.raw) for r in numbers.table_numbers(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string")).collect()]
+    assert sorted(got) == [(0, 6, "4"), (0, 7, "5"), (0, 7, r"6 \times 10^{2}"), (1, 7, "7"), (2, 9, "8"), (3, 2, "1"), (3, 3, "2"), (3, 3, "3")]
+
+
 def test_declared_papers(spark):
     models = spark.createDataFrame([("p", "heart", 1, None, "hours", 4, 2), ("p", "gut", 2, "", "minutes", 3, 1), ("p", "lung", 2, "draft", "hours", 1, 0)], "paper_id string, name string, tier int, label string, time_unit string, n_equations int, n_calibrated int")
     couplings = spark.createDataFrame([("p", "heart", "gut"), ("p", "heart", "lung"), ("p", "heart", "skin")], "paper_id string, source string, target string")
