@@ -2,8 +2,8 @@
 
 The patterns give the base spans. A bidirectional LSTM over characters with
 CRF transitions is trained, in numpy, from labelled spans: the base spans of a
-bounded sample of documents, as they stand, and others of their kinds in their
-places, written the way people veil them. It reads overlapping windows around
+bounded sample of documents, as they stand, and others of all four kinds in
+their places, written the way people veil them. It reads overlapping windows around
 all places where a span can be; the windows are decoded by Viterbi, each
 character takes the tag of the window in which it lies deepest, and spans are
 read from the tags of the whole text. A new span must overlap no base span and
@@ -38,11 +38,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A written-out @ with what the check of an address asks for after it.
-_AT = re.compile(r"[\[( ]at[\]) ]\s?[\w-]+\s?(?:\.|[\[(]?dot[\])]?)\s?[\w-]", re.IGNORECASE)
+_AT = re.compile(r"[\[({ ]at[\])} ]\s?[\w-]+\s?(?:\.|[\[({]?dot[\])}]?)\s?[\w-]", re.IGNORECASE)
 #: Where a span can be: every kind's check asks for one of these.
 _PLACE = re.compile(r"[0-9@]+|" + _AT.pattern, re.IGNORECASE)
-_DOT = r"\s?(\.|[\[(]?dot[\])]?)\s?"
-_VEILED_EMAIL = re.compile(rf"[\w%+-]+({_DOT}[\w%+-]+)*\s?(@|[\[( ]at[\]) ])\s?[\w-]+({_DOT}[\w-]+)+", re.IGNORECASE)
+_DOT = r"\s?(\.|[\[({]?dot[\])}]?)\s?"
+_VEILED_EMAIL = re.compile(rf"[\w%+-]+({_DOT}[\w%+-]+)*\s?(@|[\[({{ ]at[\])}} ])\s?[\w-]+({_DOT}[\w-]+)+", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -107,6 +107,8 @@ _TABLE[[ord(c) for c in "0123456789"]] = len(_OWN) + 1
 _TABLE[[ord(c) for c in "abcdefghijklmnopqrstuvwxyz"]] = len(_OWN) + 2
 _TABLE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = len(_OWN) + 3
 _TABLE[[ord(c) for c in _OWN]] = np.arange(len(_OWN))
+# "AT" and "DOT" are read as "at" and "dot"
+_TABLE[[ord(c) for c in "ATDO"]] = _TABLE[[ord(c) for c in "atdo"]]
 _PAD = len(_OWN) + 4
 _TAGS = 1 + 2 * len(KINDS)
 
@@ -320,11 +322,17 @@ def made_up(kind: str, words: list[str], rng: np.random.Generator) -> str:
     return f"+{pick(['1', '44', '49', '33', '34'])} {pick([f'({digits(3)}) {digits(3)}-{digits(4)}', f'{digits(2)} {digits(4)} {digits(4)}', f'{digits(3)} {digits(3)} {digits(3)}', f'{digits(2)} {digits(3)} {digits(2)} {digits(2)}'])}"
 
 
+#: How @ and . are written out; each pair is learnt from alike, one in three in capitals.
+EMAIL_FORMS = ((" at ", " dot "), (" at ", " dot "), (" at ", "."), (" (at) ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" [at] ", "."), (" @ ", "."), (" @ ", " dot "), ("{at}", "{dot}"), (" {at} ", "."))
+
+
 def veiled(span: str, kind: str, rng: np.random.Generator) -> str:
     """A way in which people rewrite such data, which the patterns miss."""
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == "email":
-        return span.replace(".", pick(" dot ", " [dot] ", "(dot)", ".", ".")).replace("@", pick(" at ", " (at) ", " [at] ", " @ ", "(at)", "[at]"))
+        at, dot = EMAIL_FORMS[rng.integers(len(EMAIL_FORMS))]
+        text = span.replace(".", dot).replace("@", at)
+        return text if rng.integers(3) else pick(text.upper(), span.replace(".", dot.upper()).replace("@", at.upper()))
     if kind == "ip":
         return span.replace(".", pick("[.]", " . ", " dot ", "(.)"))
     if kind == "card":
@@ -335,11 +343,16 @@ def veiled(span: str, kind: str, rng: np.random.Generator) -> str:
     return pick("00", "00 ", "", "(0)") + pick(bare, re.sub("[ ()-]+", pick(" ", ".", "-"), bare))
 
 
+#: What is put in a span's place, each alike, whatever kind the span is of: addresses have the most forms.
+DRAWN = ("email", "email", "email", "ip", "card", "phone")
+
+
 def rewritten(text: str, spans: list[tuple[int, int, str]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with other, veiled data in place of its spans, and where they are."""
     words = [w.lower() for w in re.findall(r"[A-Za-z]{3,9}", text[: 1 << 12])] or ["name"]
     out, moved, at, size = [], [], 0, 0
-    for a, b, kind in spans:
+    for a, b, _ in spans:
+        kind = DRAWN[rng.integers(len(DRAWN))]
         new = veiled(made_up(kind, words, rng), kind, rng)
         out += [text[at:a], new]
         size += a - at
@@ -351,7 +364,7 @@ def rewritten(text: str, spans: list[tuple[int, int, str]], rng: np.random.Gener
 
 #: What may be data that the patterns miss: numbers of so many digits in any grouping, and addresses but for those that a sentence's end makes.
 _NUMBER = re.compile(r"[0-9](?:[0-9 ().\[\]/_-]|dot)*[0-9]")
-_NO_SENTENCE = re.compile(r"@|[\[(]|\bdot\b|\w\.\w", re.IGNORECASE)
+_NO_SENTENCE = re.compile(r"@|[\[({]|\bdot\b|\w\.\w", re.IGNORECASE)
 
 
 def unsure_spans(text: str) -> list[tuple[int, int]]:
@@ -417,7 +430,7 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KI
 _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
 _BEFORE_AT, _AFTER_AT = np.zeros((2, 256), bool)
-_BEFORE_AT[list(b"[( ")] = _AFTER_AT[list(b"]) ")] = True
+_BEFORE_AT[list(b"[({ ")] = _AFTER_AT[list(b"])} ")] = True
 DECODED = 512
 
 
@@ -472,8 +485,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     (base and model) and their number n_spans. Offsets are code points, the end is exclusive. A
     null or empty text has none. Null and repeated doc_ids pass through.
     Without base spans in the sample there is no model, and base spans are
-    all. Columns other than doc_id and text are ignored; an empty table gives
-    no rows.
+    all. Spans of the model have at most WINDOW characters, as its windows do;
+    base spans have no bound. Columns other than doc_id and text are ignored; an
+    empty table gives no rows.
     """
     docs = tx.documents_of(docs)
     shared = docs.sparkSession.sparkContext.broadcast(trained(docs))

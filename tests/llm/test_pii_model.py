@@ -45,6 +45,31 @@ def test_held_out_veiled_spans(found):
         assert true[kind] == 100 and hit[kind] >= 85 and wrong[kind] <= 8
 
 
+#: Forms by themselves; the last four are in none of the pairs that the model learns from.
+FORMS = ("{a} at {b} dot com", "{A} AT {B} DOT COM", "{a} AT {b} DOT com", "{a}.{c} at {b} dot net", "{a}{{at}}{b}.org", "{a} (at) {b} dot com", "{a} [at] {b} [dot] com", "{a} dot {c}7 at mail3 dot {b} dot com", "{a}.{c}(at){b}.com", "{a} (at) {b} [dot] com", "{a}[at]{b} dot com", "{a} [at] {b}(dot)org", "{a} {{at}} {b} dot net")
+
+
+def test_each_form_of_address(spark, small):
+    rng = np.random.default_rng(5)
+    plain = [tuple(r) for r in small.select("doc_id", "text").collect()]
+    usable = [t for _, t in plain if 200 <= len(t or "") <= 3000 and not pii.base_spans(t)]
+    rows, truth = list(plain), {}
+    for f, form in enumerate(FORMS):
+        for k in range(40):
+            text = usable[(f * 40 + k) % len(usable)]
+            a, b, c = rng.choice(["jane", "miller", "sato", "robin", "kim", "okafor", "lind", "example", "library", "garden"], 3, replace=False)
+            new = form.format(a=a, b=b, c=c, A=a.upper(), B=b.upper())
+            at = max(0, text.find(" ", int(rng.integers(0, len(text) - 20))))
+            rows.append((5_000_000 + f * 100 + k, f"{text[:at]} {new} {text[at:]}"))
+            truth[rows[-1][0]] = f"email:{at + 1}:{at + 1 + len(new)}"
+    got = {r.doc_id: r.spans.split(",") for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [sum(truth[5_000_000 + f * 100 + k] in got[5_000_000 + f * 100 + k] for k in range(40)) for f in range(len(FORMS))]
+    print(dict(zip(FORMS, found, strict=True)))
+    assert min(found) >= 32 and min(found[:3]) >= 36 and sum(found) >= 0.9 * 40 * len(FORMS)
+    base = lambda t: {f"{k}:{a}:{b}" for a, b, k in pii.base_spans(t or "")}
+    assert sum(len(set(got[i]) - {""} - base(t)) for i, t in plain) <= 3
+
+
 def test_plain_texts_get_no_more_than_their_base_spans(found):
     extra = [s for i, (_, _, spans, base, _) in found.items() if i < 1_000_000 for s in set(spans) - set(base)]
     assert len(extra) <= 3
