@@ -25,7 +25,7 @@ from scriptorium.llm import text as tx
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bound of the training sample: documents, bytes of one, and windows, which are drawn from all these documents alike.
-SAMPLE, SAMPLE_BYTES, MOST_WINDOWS = 500, 1 << 15, 2400
+SAMPLE, SAMPLE_BYTES, MOST_WINDOWS = 500, 1 << 15, 2800
 WINDOW, STRIDE, MARGIN = 96, 48, 48
 #: Texts with spans are rewritten so many times at most, until there are enough windows.
 MOST_TURNS = 60
@@ -311,8 +311,8 @@ def made_up(kind: str, words: list[str], rng: np.random.Generator) -> str:
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     if kind == "email":
         word = lambda: pick(words)
-        local = pick([word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}.{digits(2)}", f"{word()}_{word()}"])
-        return f"{local}@{pick([word(), f'mail{digits(1)}.{word()}', f'{word()}-{word()}', f'mail{digits(1)}.example'])}.{pick(['com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io'])}"
+        local = pick([word(), word(), word(), f"{word()}.{word()}", f"{word()}{digits(2)}", f"{word()}.{digits(2)}", f"{word()}_{word()}"])
+        return f"{local}@{pick([word(), word(), word(), f'mail{digits(1)}.{word()}', f'{word()}-{word()}', f'mail{digits(1)}.example'])}.{pick(['com', 'org', 'net', 'de', 'fr', 'es', 'co.uk', 'io'])}"
     if kind == "ip":
         return ".".join(map(str, rng.integers(0, 256, 4)))
     if kind == "card":
@@ -323,7 +323,7 @@ def made_up(kind: str, words: list[str], rng: np.random.Generator) -> str:
 
 
 #: How @ and . are written out; each pair is learnt from alike, one in three in capitals.
-EMAIL_FORMS = ((" at ", " dot "), (" at ", " dot "), (" at ", "."), (" (at) ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" [at] ", "."), (" @ ", "."), (" @ ", " dot "), ("{at}", "{dot}"), (" {at} ", "."))
+EMAIL_FORMS = ((" at ", " dot "), (" at ", " dot "), (" at ", "."), (" (at) ", " dot "), (" (at) ", " (dot) "), ("(at)", "(dot)"), ("(at)", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" [at] ", "."), (" @ ", "."), (" @ ", " dot "), ("{at}", "{dot}"), (" {at} ", "."))
 
 
 def veiled(span: str, kind: str, rng: np.random.Generator) -> str:
@@ -343,8 +343,8 @@ def veiled(span: str, kind: str, rng: np.random.Generator) -> str:
     return pick("00", "00 ", "", "(0)") + pick(bare, re.sub("[ ()-]+", pick(" ", ".", "-"), bare))
 
 
-#: What is put in a span's place, each alike, whatever kind the span is of: addresses have the most forms.
-DRAWN = ("email", "email", "email", "ip", "card", "phone")
+#: What is put in a span's place, each alike, whatever kind the span is of: e-mail addresses and phone numbers have the most forms.
+DRAWN = ("email", "email", "email", "ip", "card", "phone", "phone", "phone")
 
 
 def rewritten(text: str, spans: list[tuple[int, int, str]], rng: np.random.Generator) -> tuple[str, list[tuple[int, int, str]]]:
