@@ -181,9 +181,10 @@ def _rest(tested: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
 
     compared = members.join(sets, "u").join(others, "v").select("u", "v", "component", "words", "others").mapInArrow(_differences, tx.ddl(_DIFFERENCES))
     rows = stored(compared.select("v", "u", "component", "linked", "size", "differs", "stands", "stands_wide", F.explode("element").alias("element")))
-    common = rows.groupBy("v", "element").agg(F.count("*").alias("n")).filter("n > 1")
+    # a difference that only members of one component have leads to no new link, however many they are
+    common = rows.groupBy("v", "element").agg(F.count("*").alias("n"), (F.min("component") < F.max("component")).alias("mixed")).filter("n > 1")
     place = F.row_number().over(Window.partitionBy("v", "u").orderBy(F.coalesce("n", F.lit(1)), "element"))
-    ranked = rows.join(common, ["v", "element"], "left").withColumn("place", place).filter("n > 1")
+    ranked = rows.join(common, ["v", "element"], "left").withColumn("place", place).filter("mixed")
     ranked = stored(ranked.select("v", "element", "u", "component", "linked", "size", "differs", "place", (F.col("place") <= F.col("stands")).alias("standing"), (F.col("place") <= F.col("stands_wide")).alias("wide")))
     theirs = ranked.filter("standing").select("v", "element", F.col("u").alias("w"), F.col("component").alias("other"), F.col("linked").alias("w_linked"), F.col("size").alias("w_size"), F.col("differs").alias("w_differs"), F.col("place").alias("w_place"))
     alike = f"component <> other and 100 * least(size, w_size) >= {PERCENT} * greatest(size, w_size)"
