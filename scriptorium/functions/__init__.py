@@ -1,11 +1 @@
-"""Column functions of the engine, in one place."""
-
-from scriptorium.operators.citations import author_overlap, authors, clean_doi, field, normalized, similarity
-from scriptorium.operators.findings import issue_text, rank, rating
-from scriptorium.operators.lines import without_comment
-from scriptorium.operators.numbers import relative_difference
-from scriptorium.operators.paper import forbidden_words
-from scriptorium.operators.registry import output_hash
-from scriptorium.operators.time_units import canonical
-
-__all__ = ["author_overlap", "authors", "canonical", "clean_doi", "field", "forbidden_words", "issue_text", "normalized", "output_hash", "rank", "rating", "relative_difference", "similarity", "without_comment"]
+"""Functions of columns that several operators use."""

@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.likeness import most_alike, normalized, similarity
 from scriptorium.tables import stored
 
+#: Fixed value: how an entry begins.
 _START = re.compile(r"@(\w+)\s*\{\s*([^,\s}]+)\s*,")
 #: Fixed value: blocks that are no entries.
 NO_ENTRIES = ("string", "preamble", "comment")
@@ -57,34 +59,10 @@ def entries(bibs: DataFrame) -> DataFrame:
     return rows.select("bib_id", "ord", "key", "entry_type", field(raw, "title").alias("title"), authors(field(raw, "author")).alias("authors"), field(raw, "doi").alias("doi"), field(raw, "journal").alias("journal"), field(raw, "year").alias("year"), "raw")
 
 
-def normalized(text: Column) -> Column:
-    """Without braces and backslashes, white space as single spaces, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"[{}\\]", ""), r"\s+", " ")))
-
-
 def clean_doi(doi: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(doi, r"(?i)^https?://doi\.org/", ""), r"(?i)^doi:\s*", ""))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Twice the matching characters by all characters, of longest common blocks; null is empty. Of equal texts, and where one is empty, no Python is asked."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    a, b = (F.coalesce(c, F.lit("")) for c in (a, b))
-    plain = F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0)
-    return F.coalesce(plain, ratio(F.when(plain.isNull(), a), F.when(plain.isNull(), b)))
-
-
-def most_alike(a: Column, b: Column) -> Column:
-    """An upper bound of similarity(a, b): no character can match more often than it occurs in either; 1 for empty texts."""
-    often = lambda text, c: F.length(text) - F.length(F.replace(text, c))
-    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(often(a, c), often(b, c))))
-    return F.coalesce(F.try_divide(2 * common, F.length(a) + F.length(b)), F.lit(1.0))
-
-
 def family(author: Column) -> Column:
     """What stands before a comma, else the last word."""
     return normalized(F.when(author.contains(","), F.split(author, ",")[0]).otherwise(F.element_at(F.split(F.trim(author), r"\s+"), -1)))
@@ -127,8 +105,13 @@ def looked_up(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     return both.withColumn("doi_status", status)
 
 
+#: Below the first a mismatch, below the second a partial one.
+TITLE, AUTHORS, JOURNAL = (0.6, 0.85), (0.3, 0.6), 0.5
+
+
 def citations(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(bib_id, ord, key, severity, issue, score): all findings on entries."""
+    below = lambda *x: (F.col("sim") < x[0]) if len(x) == 1 else (F.col("sim") >= x[0]) & (F.col("sim") < x[1])
     met = stored(looked_up(found, catalogue))
     ok = met.filter("doi_status = 'found'")
     rows = lambda df, issue, severity, score=None: df.select("bib_id", "ord", "key", F.lit(severity).alias("severity"), F.lit(issue).alias("issue"), (F.lit(None) if score is None else F.col(score)).cast("double").alias("score"))
@@ -137,11 +120,11 @@ def citations(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     journal = ok.filter("journal <> '' and known_journal <> ''").withColumn("sim", similarity(normalized(F.col("journal")), normalized(F.col("known_journal"))))
     status = [rows(met.filter(F.col("doi_status") == s), s, severity) for s, severity in (("no_doi", "info"), ("doi_not_found", "critical"), ("api_error", "info"))]
     compared = [
-        rows(title.filter("sim < 0.6"), "title_mismatch", "critical", "sim"),
-        rows(title.filter("sim >= 0.6 and sim < 0.85"), "title_partial_mismatch", "warning", "sim"),
-        rows(people.filter("sim < 0.3"), "author_mismatch", "critical", "sim"),
-        rows(people.filter("sim >= 0.3 and sim < 0.6"), "author_partial_mismatch", "warning", "sim"),
-        rows(journal.filter("sim < 0.5"), "journal_mismatch", "warning", "sim"),
+        rows(title.filter(below(TITLE[0])), "title_mismatch", "critical", "sim"),
+        rows(title.filter(below(*TITLE)), "title_partial_mismatch", "warning", "sim"),
+        rows(people.filter(below(AUTHORS[0])), "author_mismatch", "critical", "sim"),
+        rows(people.filter(below(*AUTHORS)), "author_partial_mismatch", "warning", "sim"),
+        rows(journal.filter(below(JOURNAL)), "journal_mismatch", "warning", "sim"),
     ]
     first, *rest = status + compared
     for df in rest:

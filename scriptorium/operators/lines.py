@@ -72,6 +72,7 @@ def in_abstract(lines: DataFrame) -> DataFrame:
     return marked.filter("inside = 1 and mark is null").drop("mark", "inside")
 
 
+#: Fixed value: how LaTeX names a section.
 _HEADING = r"\\(?:section|subsection)\*?\{([^}]+)\}"
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.values import relative_difference
 from scriptorium.operators.blocks import BLOCK, in_blocks, over_borders, with_carry
 from scriptorium.operators.findings import finding
 
@@ -124,11 +125,6 @@ def consistency(numbers: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def relative_difference(a: Column, b: Column) -> Column:
-    """|a - b| by the larger of both."""
-    return F.abs(a - b) / F.greatest(F.abs(a), F.abs(b))
-
-
 def nearest(left: DataFrame, right: DataFrame, by: list[str], blocks: int | None = None) -> DataFrame:
     """left(*by, value, ...) with the nearest value of right(*by, value) and rel_diff; ties take the smaller value.
 
@@ -205,6 +201,7 @@ def table_numbers(docs: DataFrame) -> DataFrame:
     rows = placed.select("doc_id", "table_index", "row_index", F.col("r.line").alias("line"), F.col("r.line_no").alias("line_no"))
     inner = F.regexp_replace("line", r"\\(?:begin|end)\{[a-z]+[*x]?\}(?:\{[^}]*\})*", "")
     cells = rows.select("doc_id", "table_index", "row_index", "line_no", F.explode(F.split(inner, "&")).alias("cell")).withColumn("cell", F.trim(F.regexp_replace("cell", r"\s+", " "))).filter("cell <> ''")
+    # fixed values: powers of ten and plain numbers of cells
     power = r"(\d+\.?\d*)\s*\\times\s*10\s*\^\s*\{?\s*([+-]?\d+)\s*\}?"
     plain = r"(?i)(?<![a-zA-Z\d.])([-+]?\d+\.?\d*)(?![.\d])"
     whole, mantissa, exponent = (F.regexp_extract_all("cell", F.lit(power), F.lit(g)) for g in range(3))

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.values import relative_difference
 from scriptorium.operators.findings import finding, together
-from scriptorium.operators.numbers import relative_difference
 from scriptorium.tables import stored
 
 #: A name and a number after a # or a quote, and names of steady states.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.values import listed, output_hash
 from scriptorium.operators.blocks import BLOCK, in_blocks, over_borders, so_far, with_carry
 
 #: Characters of an output that a task keeps.
@@ -118,11 +119,6 @@ def model_performance(events: DataFrame) -> DataFrame:
     return counts.withColumn("success_rate", F.try_divide("successes", F.col("successes") + F.col("failures")))
 
 
-def listed(text: Column) -> Column:
-    """A JSON list of texts as an array; what is no such list is an empty one."""
-    return F.coalesce(F.from_json(text if isinstance(text, Column) else F.lit(text), "array<string>"), F.array().cast("array<string>"))
-
-
 def verification(tasks: DataFrame) -> DataFrame:
     """tasks(…, command, timed_out, error, exit_code, expected_exit, stdout, contains, excludes) with reason, passed, output_hash and the first KEPT_OUTPUT characters of the output.
 
@@ -143,10 +139,6 @@ def verification(tasks: DataFrame) -> DataFrame:
     return judged.withColumn("verification_output", F.substring("stdout", 1, KEPT_OUTPUT))
 
 
-def output_hash(stdout: Column) -> Column:
-    return F.substring(F.sha2(stdout, 256), 1, 16)
-
-
 def golden_drift(outputs: DataFrame, golden: DataFrame) -> DataFrame:
     """(task_id, output_key, drift) of golden(task_id, output_key, pattern, golden_value, tolerance): missing, value or text.
 

@@ -12,16 +12,16 @@ from scriptorium.operators.lines import with_context
 
 #: Patterns of statistical reporting. Both p-value patterns apply to each line.
 P_VALUES = (r"(?:p|P)[\s-]*(?:value)?\s*([<=>≤≥])\s*(\d*\.?\d+(?:e[+-]?\d+)?)", r"(?:p|P)[\s-]*(?:value)?\s*([<=>≤≥])\s*(\.?\d+(?:e[+-]?\d+)?)")
-TESTS = r"t[\s-]?test|Mann[\s-]Whitney|Wilcoxon|ANOVA|chi[\s-]?square|χ\s*2|chi2|Kruskal[\s-]Wallis|Fisher'?s?\s+exact|Kolmogorov[\s-]Smirnov|K[\s-]S\s+test|Shapiro[\s-]Wilk|Spearman|Pearson|linear\s+regression|logistic\s+regression|Cox\s+regression|log[\s-]?rank|mixed[\s-]?model|bootstrap|permutation\s+test|Friedman|McNemar|Tukey|Bonferroni|Holm|Benjamini[\s-]Hochberg|FDR|Welch|Dunnett|paired|unpaired|two[\s-]?sided|one[\s-]?sided|two[\s-]?tailed|one[\s-]?tailed"
+TESTS = "|".join((r"t[\s-]?test", r"Mann[\s-]Whitney", r"Wilcoxon", r"ANOVA", r"chi[\s-]?square", r"χ\s*2", r"chi2", r"Kruskal[\s-]Wallis", r"Fisher'?s?\s+exact", r"Kolmogorov[\s-]Smirnov", r"K[\s-]S\s+test", r"Shapiro[\s-]Wilk", r"Spearman", r"Pearson", r"linear\s+regression", r"logistic\s+regression", r"Cox\s+regression", r"log[\s-]?rank", r"mixed[\s-]?model", r"bootstrap", r"permutation\s+test", r"Friedman", r"McNemar", r"Tukey", r"Bonferroni", r"Holm", r"Benjamini[\s-]Hochberg", r"FDR", r"Welch", r"Dunnett", r"paired", r"unpaired", r"two[\s-]?sided", r"one[\s-]?sided", r"two[\s-]?tailed", r"one[\s-]?tailed"))
 SAMPLE_SIZES = r"[nN]\s*=\s*\d+|(?i:sample\s+size\s+(?:of\s+)?\d+|\d+\s+(?:subjects?|participants?|patients?|samples?|observations?|trials?|mice|rats|animals?))"
-POWER = r"power\s+analysis|statistical\s+power|sample\s+size\s+calculation|a\s+priori\s+power|effect\s+size|Cohen'?s?\s+[dfw]|G\*?Power"
+POWER = "|".join((r"power\s+analysis", r"statistical\s+power", r"sample\s+size\s+calculation", r"a\s+priori\s+power", r"effect\s+size", r"Cohen'?s?\s+[dfw]", r"G\*?Power"))
 EQUIVALENCE = (
     r"(?:no|not?)\s+(?:statistically\s+)?significant\s+difference.*(?:similar|same|equal|equivalent|identical|comparable)",
     r"(?:similar|same|equal|equivalent|identical|comparable).*(?:no|not?)\s+(?:statistically\s+)?significant",
     r"p\s*[>=>≥]\s*0\.0?5.*(?:no\s+difference|same|equal|equivalent)",
     r"(?:failed\s+to\s+reject|did\s+not\s+reject).*(?:therefore|thus|hence|so)\s+(?:the\s+)?(?:groups?\s+)?(?:are|were)\s+(?:the\s+)?same",
 )
-CORRECTIONS = r"Bonferroni|Holm|Benjamini[\s-]Hochberg|FDR\s+correct|false\s+discovery\s+rate|multiple\s+comparison|post[\s-]?hoc\s+correct|Tukey'?s?\s+HSD|Dunnett|Sidak|family[\s-]?wise\s+error"
+CORRECTIONS = "|".join((r"Bonferroni", r"Holm", r"Benjamini[\s-]Hochberg", r"FDR\s+correct", r"false\s+discovery\s+rate", r"multiple\s+comparison", r"post[\s-]?hoc\s+correct", r"Tukey'?s?\s+HSD", r"Dunnett", r"Sidak", r"family[\s-]?wise\s+error"))
 ROUND = (0.05, 0.01, 0.001)
 
 
