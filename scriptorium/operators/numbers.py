@@ -64,13 +64,13 @@ def prose_numbers(lines: DataFrame) -> DataFrame:
 def within(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str, tolerance: float) -> DataFrame:
     """Rows of left and right of one `by` whose numbers a and b differ, by at most so large a part of a; adds rel_diff.
 
-    Numbers so near are in the same or in neighbouring bins of their logarithm.
+    Zeros and numbers that are not finite have none. Numbers so near are in the same or in neighbouring bins of their logarithm.
     Distinct numbers meet there first, and rows then join the pairs by number,
     so that of equal numbers no pairs are made.
     """
     width = -math.log(1 - tolerance) * 1.001
     bin_of = lambda x: F.floor(F.log(F.abs(x)) / width)
-    of = lambda df, x, bins: df.filter((F.col(x) != 0) & ~F.isnan(x)).select(*by, F.col(x).cast("double").alias(x)).distinct().select(*by, x, F.signum(x).alias("sign"), bins.alias("bin"))
+    of = lambda df, x, bins: df.filter((F.col(x) != 0) & (F.abs(x) < float("inf"))).select(*by, F.col(x).cast("double").alias(x)).distinct().select(*by, x, F.signum(x).alias("sign"), bins.alias("bin"))
     near = of(left, a, F.explode(F.array(*[bin_of(F.col(a)) + k for k in (-1, 0, 1)]))).join(of(right, b, bin_of(F.col(b))), [*by, "sign", "bin"])
     pairs = near.withColumn("rel_diff", F.abs(F.col(b) - F.col(a)) / F.abs(a)).filter((F.col("rel_diff") > 0) & (F.col("rel_diff") <= tolerance)).select(*by, a, b, "rel_diff")
     return left.join(pairs, [*by, a]).join(right, [*by, b])

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions.values import listed, output_hash
 from scriptorium.operators.blocks import BLOCK, in_blocks, over_borders, so_far, with_carry
 
-#: Characters of an output that a task keeps.
-KEPT_OUTPUT = 10_000
+#: Characters of an output that a task keeps, and of the code's version that evidence names.
+KEPT_OUTPUT, VERSION = 10_000, 12
 STATES = ("pending", "in_progress", "claimed", "verified", "regressed")
 
 
@@ -91,10 +91,10 @@ def task_states(events: DataFrame) -> DataFrame:
     return events.select("task_id").distinct().join(last, "task_id", "left").select("task_id", F.coalesce("state", F.lit("pending")).alias("state"))
 
 
-def evidence(events: DataFrame) -> DataFrame:
-    """The evidence that each allowed event leaves, to be appended, with its transition as `from->to`: verify and fail name no model."""
+def evidence(events: DataFrame, code_version: str = "") -> DataFrame:
+    """The evidence that each allowed event leaves, to be appended, with its transition as `from->to` and the start of the code's version: verify and fail name no model."""
     anonymous = F.when(F.col("event").isin("verify", "fail"), F.lit("")).otherwise(F.col("model_id").cast("string"))
-    return transitions(events).select("task_id", "ts", "event_id", "event", "to_state", F.concat("from_state", F.lit("->"), "to_state").alias("transition"), anonymous.alias("model_id"))
+    return transitions(events).select("task_id", "ts", "event_id", "event", "to_state", F.concat("from_state", F.lit("->"), "to_state").alias("transition"), anonymous.alias("model_id"), F.lit(code_version[:VERSION]).alias("code_version"))
 
 
 def task_evidence(events: DataFrame, state: str | None = None) -> DataFrame:

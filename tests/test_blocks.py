@@ -64,7 +64,7 @@ def test_success_is_the_claimers(spark):
 
 def test_numbers_within_a_band_equal_all_pairs(spark):
     rng = random.Random(3)
-    of = lambda: rng.choice([0.0, 100.0, 95.0, 105.0, 95.2, -100.0, -104.9, rng.uniform(90, 120), 10.0 ** rng.randrange(-300, 300)])
+    of = lambda: rng.choice([0.0, float("inf"), float("nan"), 100.0, 95.0, 105.0, 95.2, -100.0, -104.9, rng.uniform(90, 120), 10.0 ** rng.randrange(-300, 300)])
     left, right = [(rng.randrange(2), of(), k) for k in range(200)], [(rng.randrange(2), of(), k) for k in range(200)]
     for tolerance in (0.05, 0.1):
         got = numbers.within(spark.createDataFrame(left, "d int, a double, i int"), spark.createDataFrame(right, "d int, b double, j int"), ["d"], "a", "b", tolerance)

@@ -145,6 +145,7 @@ def test_evidence_names_no_model_for_verification(spark):
     assert got == [(1, 1, "in_progress", "7", "verified"), (1, 3, "claimed", "7", "verified"), (1, 4, "verified", "", "verified"), (2, 6, "regressed", "", "regressed")]
     assert [r.task_id for r in registry.task_evidence(events, "regressed").collect()] == [2]
     assert registry.task_evidence(events.filter("false")).isEmpty()
+    assert {(r.event_id, r.transition, r.code_version) for r in registry.evidence(events, "0123456789abcdef").filter("task_id = 1").collect()} == {(1, "pending->in_progress", "0123456789ab"), (3, "in_progress->claimed", "0123456789ab"), (4, "claimed->verified", "0123456789ab")}
 
 
 def test_bounds_of_likeness_hold(spark):
