@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.store import stored
 
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: The bound of the training sample; trees, depth, and the weight of the overall share in a suffix's.
 SAMPLE, TREES, DEPTH, PRIOR = 20_000, 16, 4, 20.0
 
