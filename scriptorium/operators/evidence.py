@@ -20,31 +20,35 @@ def claims(lines: DataFrame) -> DataFrame:
     return inside.select("doc_id", "line_no", "heading", F.trim("line").alias("claim"), numbers.alias("numbers")).filter(F.size("numbers") > 0)
 
 
-def searched(number) -> F.Column:
-    """What is looked for in code: every %, backslash, f, o, l, d, x and space of a number goes."""
-    return F.regexp_replace(F.regexp_replace(number, r"(?i)[%\\fold x]", ""), r"^\s+|\s+$", "")
+#: Characters of a number that code is not searched for; `f` and the backslash are among those of the project this follows.
+DROPPED = r"%\\fold x"
 
 
-def without_evidence(found: DataFrame, code: DataFrame) -> DataFrame:
-    """The claims none of whose numbers occurs, as a substring, in code(repo_id = doc_id, line).
+def searched(number, dropped: str = DROPPED) -> F.Column:
+    """What is looked for in code: a number without the characters of a regular expression's class, in either case."""
+    return F.regexp_replace(F.regexp_replace(number, f"(?i)[{dropped}]", ""), r"^\s+|\s+$", "")
+
+
+def without_evidence(found: DataFrame, code: DataFrame, dropped: str = DROPPED) -> DataFrame:
+    """The claims none of whose numbers occurs, as a substring, in code(repo_id = doc_id, line); dropped: as in searched.
 
     An automaton over a manuscript's distinct numbers reads the lines of its
     repository that have a digit, each once.
     """
-    wanted = found.select("doc_id", F.explode("numbers").alias("number")).withColumn("pattern", searched(F.col("number"))).filter("pattern <> ''")
+    wanted = found.select("doc_id", F.explode("numbers").alias("number")).withColumn("pattern", searched(F.col("number"), dropped)).filter("pattern <> ''")
     lines = code.filter(F.col("line").rlike("[0-9]")).select(F.col("repo_id").alias("doc_id"), F.col("line").alias("text"))
     hit = occurrences(lines, wanted.select("doc_id", "pattern"), "doc_id")
-    supported = found.select("doc_id", "line_no", F.explode("numbers").alias("number")).withColumn("pattern", searched(F.col("number"))).join(hit, ["doc_id", "pattern"], "left_semi").select("doc_id", "line_no").distinct()
+    supported = found.select("doc_id", "line_no", F.explode("numbers").alias("number")).withColumn("pattern", searched(F.col("number"), dropped)).join(hit, ["doc_id", "pattern"], "left_semi").select("doc_id", "line_no").distinct()
     return found.join(supported, ["doc_id", "line_no"], "left_anti")
 
 
-def evidence(lines: DataFrame, code: DataFrame) -> DataFrame:
-    """Findings: manuscripts without claims, without code, and claims without evidence in code."""
+def evidence(lines: DataFrame, code: DataFrame, dropped: str = DROPPED) -> DataFrame:
+    """Findings: manuscripts without claims, without code, and claims without evidence in code; dropped: as in searched."""
     found = stored(claims(lines))
     docs = lines.select("doc_id").distinct()
     has_code = code.select(F.col("repo_id").alias("doc_id")).distinct()
     with_claims = found.select("doc_id").distinct()
-    gaps = without_evidence(found, code).join(has_code, "doc_id", "left_semi")
+    gaps = without_evidence(found, code, dropped).join(has_code, "doc_id", "left_semi")
     return together(
         [
             finding(docs.join(with_claims, "doc_id", "left_anti"), "evidence", "no_claims_found", "info", line=F.lit(0)),
