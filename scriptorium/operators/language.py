@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.findings import finding
-from scriptorium.operators.lines import in_abstract, without_comment
+from scriptorium.operators.lines import with_abstract, without_comment
 
 #: Name, severity, pattern.
 CLAIM_LANGUAGE = (
@@ -36,20 +36,24 @@ def matches(lines: DataFrame, lexicon: Iterable[tuple[str, str, str]]) -> DataFr
     Patterns are literals of one expression, so each is compiled once and the
     lines are read once. Case doesn't matter, letters are Unicode letters.
     """
-    def found(k: int, name: str, severity: str, pattern: str) -> Column:
-        row = lambda m, i: F.struct(F.lit(name).alias("pattern_name"), F.lit(severity).alias("severity"), m.alias("matched_text"), (F.lit(1000 * k) + i).alias("ord"))
-        return F.transform(F.regexp_extract_all("cut", F.lit(f"(?iU){pattern}"), F.lit(0)), row)
+    return _rows(lines, [_found(k, *entry) for k, entry in enumerate(lexicon)])
 
-    each = [found(k, *entry) for k, entry in enumerate(lexicon)]
+
+def _found(k: int, name: str, severity: str, pattern: str) -> Column:
+    row = lambda m, i: F.struct(F.lit(name).alias("pattern_name"), F.lit(severity).alias("severity"), m.alias("matched_text"), (F.lit(1000 * k) + i).alias("ord"))
+    return F.transform(F.regexp_extract_all("cut", F.lit(f"(?iU){pattern}"), F.lit(0)), row)
+
+
+def _rows(lines: DataFrame, each: list[Column]) -> DataFrame:
     cut = lines.withColumn("cut", without_comment(F.col("line"), F.col("ext")))
     return cut.select("doc_id", "line_no", F.trim("line").alias("context"), F.inline(F.concat(*each)))
 
 
 def overclaims(lines: DataFrame, lexicon=CLAIM_LANGUAGE) -> DataFrame:
-    """Findings of claim language, and of `novel` in abstracts."""
-    found = matches(lines, lexicon)
-    novel = matches(in_abstract(lines), [("novel_in_abstract", "warning", r"\bnovel\b")])
-    both = found.unionByName(novel)
+    """Findings of claim language, and of `novel` in abstracts; lines are read once."""
+    each = [_found(k, *entry) for k, entry in enumerate(lexicon)]
+    novel = F.filter(_found(len(each), "novel_in_abstract", "warning", r"\bnovel\b"), lambda _: F.col("in_abstract"))
+    both = _rows(with_abstract(lines), [*each, novel])
     return finding(both, "overclaim", F.col("pattern_name"), F.col("severity"), matched=F.col("matched_text"), details=F.col("context"))
 
 

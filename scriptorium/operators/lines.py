@@ -62,6 +62,11 @@ def with_section(lines: DataFrame) -> DataFrame:
 
 def in_abstract(lines: DataFrame) -> DataFrame:
     """The lines inside an abstract, without those that begin or end it."""
+    return with_abstract(lines).filter("in_abstract").drop("in_abstract")
+
+
+def with_abstract(lines: DataFrame) -> DataFrame:
+    """Adds in_abstract: whether a line is inside an abstract; those that begin or end it are not."""
     has = lambda s: F.col("line").contains(s)
     text = F.trim("line")
     starts = F.lower(text).startswith("## abstract") | F.lower(text).startswith("# abstract")
@@ -69,7 +74,7 @@ def in_abstract(lines: DataFrame) -> DataFrame:
     md = F.when(starts, 1).when(text.startswith("#"), 0)
     mark = F.when(F.col("ext") == ".tex", tex).when(F.col("ext") == ".md", md)
     marked = lines.withColumn("mark", mark).withColumn("inside", F.last("mark", ignorenulls=True).over(_so_far()))
-    return marked.filter("inside = 1 and mark is null").drop("mark", "inside")
+    return marked.withColumn("in_abstract", F.expr("coalesce(inside = 1, false) and mark is null")).drop("mark", "inside")
 
 
 #: Fixed value: how LaTeX names a section.

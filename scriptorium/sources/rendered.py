@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.tables import dealt
+
 _SENTENCES = (
     "This result proves the rule and has proven proof  that it holds.",
     "The model was validated, not validated twice, and qualitatively validated once.",
@@ -128,8 +130,9 @@ def select(columns: dict[str, str], table_name: str, where: str = "true") -> str
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, ext, text): the manuscripts as whole texts."""
-    lines = table(spark, sf_dir, "orders", MANUSCRIPT_LINES).groupBy("doc_id", "ext").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    """(doc_id, ext, text): the manuscripts as whole texts. Keys travel, and lines are written where their document is."""
+    keys = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), F.expr(_DOC))
+    lines = keys.selectExpr(*[f"{sql} AS {c}" for c, sql in MANUSCRIPT_LINES.items()]).groupBy("doc_id", "ext").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     return lines.select("doc_id", "ext", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Rows of one task where the work on a row is large beside its bytes, by which Spark would deal.
+TASK_ROWS = 50_000
+
+
+def dealt(df: DataFrame, key: Column, rows: int = TASK_ROWS) -> DataFrame:
+    """df by key in partitions of about so many rows, however few bytes these have, so that tasks grow in number and not in length; df is counted, so it should be read from files."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // rows + 1)
+    return df.repartition(n, key)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its rows and what names their partitions are settled, and lost executors cost nothing of it.
 
