@@ -29,8 +29,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def without_comment(line: Column, ext: Column) -> Column:
     """LaTeX from an unescaped percent sign on, Markdown within a comment; other kinds have no comments."""
-    tex = F.regexp_replace(line, r"(?<!\\)%.*$", "")
-    md = F.regexp_replace(line, r"^((?:(?!-->).)*?<!--)(?:(?!-->).)*", "$1")
+    tex = F.when(line.contains("%"), F.regexp_replace(line, r"(?<!\\)%.*$", "")).otherwise(line)
+    md = F.when(line.contains("<!--"), F.regexp_replace(line, r"^((?:(?!-->).)*?<!--)(?:(?!-->).)*", "$1")).otherwise(line)
     return F.when(ext == ".tex", tex).when(ext == ".md", md).otherwise(line)
 
 
@@ -56,7 +56,7 @@ def with_section(lines: DataFrame) -> DataFrame:
     )
     heading = low.startswith("# ") | low.startswith("## ")
     md = F.when(heading, F.when(low.contains("abstract"), "abstract").otherwise("body"))
-    mark = F.when(F.col("ext") == ".tex", tex).when(F.col("ext") == ".md", md)
+    mark = F.when(F.col("ext") == ".tex", F.when(has("\\"), tex)).when(F.col("ext") == ".md", md)
     return lines.withColumn("section", F.coalesce(F.last(mark, ignorenulls=True).over(_so_far()), F.lit("body")))
 
 
@@ -87,7 +87,7 @@ def with_heading(lines: DataFrame) -> DataFrame:
     LaTeX: `body` everywhere if there is no heading, null before the first one.
     Markdown: the last line that begins with #; null on such lines.
     """
-    title = F.when(F.col("line").rlike(_HEADING), F.lower(F.trim(F.regexp_extract("line", _HEADING, 1))))
+    title = F.when(F.col("line").contains("section") & F.col("line").rlike(_HEADING), F.lower(F.trim(F.regexp_extract("line", _HEADING, 1))))
     none = F.count(title).over(Window.partitionBy("doc_id")) == 0
     tex = F.when(none, "body").otherwise(F.last(title, ignorenulls=True).over(_so_far()))
     text = F.lower(F.trim("line"))
@@ -105,7 +105,7 @@ def section_ranges(lines: DataFrame) -> DataFrame:
 
 
 def with_context(lines: DataFrame, where: Column, reach: int = 5) -> DataFrame:
-    """The lines for which `where` holds, with context: the lines within reach, joined by spaces. No other line's context is put together."""
+    """Adds context to the lines for which `where` holds: the lines within reach, joined by spaces. No other line's context is put together; it is null."""
     around = [F.lag("line", k) if k > 0 else F.lead("line", -k) for k in range(reach, -reach - 1, -1)]
     near = lines.withColumn("_around", F.struct(*[c.over(_in_doc()).alias(f"l{k}") for k, c in enumerate(around)]))
-    return near.filter(where).withColumn("context", F.concat_ws(" ", *[F.col(f"_around.l{k}") for k in range(2 * reach + 1)])).drop("_around")
+    return near.withColumn("context", F.when(where, F.concat_ws(" ", *[F.col(f"_around.l{k}") for k in range(2 * reach + 1)]))).drop("_around")
